@@ -35,3 +35,8 @@ def list_sizes(path: str) -> dict[str, int]:
         entries = fs.get_file_info(pafs.FileSelector(inner, recursive=True))
         return {scheme + e.path: e.size for e in entries if e.type == pafs.FileType.File}
     return {}
+
+
+def path_exists(path: str) -> bool:
+    fs, inner = filesystem(path)
+    return fs.get_file_info(inner).type != pafs.FileType.NotFound

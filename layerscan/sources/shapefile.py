@@ -338,7 +338,7 @@ class ShapefileReader(DataSourceReader):
     def pushFilters(self, filters: list) -> Iterator:
         """Take over comparisons on ``fid``; they cut record ranges before any read."""
         for item in filters:
-            on_fid = getattr(item, "attribute", None) == ("fid",) and isinstance(item.value, int)
+            on_fid = getattr(item, "attribute", None) == ("fid",) and isinstance(getattr(item, "value", None), int)
             if on_fid and isinstance(item, (GreaterThan, GreaterThanOrEqual)):
                 self.low = max(self.low, item.value + isinstance(item, GreaterThan))
             elif on_fid and isinstance(item, (LessThan, LessThanOrEqual)):
