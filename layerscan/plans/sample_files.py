@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from layerscan.sources.files import filesystem
+
 WGS84_WKT = (
     'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],'
     'PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433],AUTHORITY["EPSG","4326"]]'
@@ -102,10 +104,16 @@ def tiff_file(tags: list[tuple[int, str, tuple]], blocks: list[bytes]) -> bytes:
 
 
 def _write(path: str, data: bytes) -> None:
-    partial = f"{path}.{os.getpid()}.part"
-    with open(partial, "wb") as target:
+    fs, inner = filesystem(path)
+    partial = f"{inner}.{os.getpid()}.part"
+    with fs.open_output_stream(partial) as target:
         target.write(data)
-    os.replace(partial, path)
+    fs.move(partial, inner)
+
+
+def _make_folder(path: str) -> None:
+    fs, inner = filesystem(path)
+    fs.create_dir(inner, recursive=True)
 
 
 WRITTEN = "path STRING, rows BIGINT"
@@ -117,7 +125,7 @@ def write_point_shapefiles(df: DataFrame, folder: str, key: str, x: str, y: str)
     columns = [(name, *kinds[kind]) for name, kind in df.dtypes if name not in (x, y)]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
+        _make_folder(folder)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -147,7 +155,7 @@ def write_array_rasters(df: DataFrame, folder: str, key: str, values: str, nodat
     """Rows of an array column as image lines of one pixel, one band per element."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
+        _make_folder(folder)
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -47,10 +47,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
     Only a local master may fall back to a temporary folder of this machine.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    context = spark.sparkContext
+    base = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/layerscan/{purpose}-{uuid.uuid4().hex}"

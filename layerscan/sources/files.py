@@ -5,11 +5,15 @@ from __future__ import annotations
 import pyarrow.fs as pafs
 
 
+def plain_path(path: str) -> str:
+    """A local path without its scheme; any other path as it is."""
+    return "/" + path[len("file:") :].lstrip("/") if path.startswith("file:") else path
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and inner path of a local path or URI (file, hdfs, s3, gs …)."""
     path = path if path == "/" else path.rstrip("/")
-    if path.startswith("file:"):
-        path = "/" + path[len("file:") :].lstrip("/")
+    path = plain_path(path)
     if path.startswith(("s3a://", "s3n://")):
         path = "s3" + path[3:]
     if "://" in path:

@@ -38,7 +38,7 @@ from layerscan.functions.crs import crs_label, wkt_authority_code, wkt_name
 from layerscan.functions.geometry import layer_geometry_type
 from layerscan.functions.paths import stem
 from layerscan.sources.discovery import list_files
-from layerscan.sources.files import list_sizes, open_file
+from layerscan.sources.files import list_sizes, open_file, plain_path
 from layerscan.sources.wkb import polygon_wkb, polyline_wkb, multipoint_wkb, point_wkb
 
 ROWS_PER_PARTITION = 200_000
@@ -196,12 +196,12 @@ def _decode_shape(content: memoryview, with_wkb: bool):
     base, has_z, has_m = code % 10, 10 < code < 20, 20 < code < 30
     if code == 0:
         return None, None, None, None
+    if base not in (1, 3, 5, 8) or code > 30:
+        return None, None, None, f"Shape type {code} is not decoded"
     if base == 1:
         x, y = struct.unpack_from("<2d", content, 4)
         extra = struct.unpack_from("<d", content, 20) if has_z or has_m else ()
         return "POINT", point_wkb(x, y, extra, has_m) if with_wkb else None, (x, x, y, y), None
-    if base not in (3, 5, 8):
-        return None, None, None, f"Shape type {code} is not decoded"
     xmin, ymin, xmax, ymax = struct.unpack_from("<4d", content, 4)
     box = (xmin, xmax, ymin, ymax)
     if base == 8:
@@ -267,8 +267,9 @@ def find_shapefiles(path: str, layer: str | None = None) -> list[dict]:
 
     Extensions are matched without regard to case; hidden entries are left out.
     """
-    single = path.rstrip("/").lower().endswith(".shp")
-    root = path.rstrip("/").rsplit("/", 1)[0] if single else path
+    path = plain_path(path.rstrip("/"))
+    single = path.lower().endswith(".shp")
+    root = path.rsplit("/", 1)[0] if single else path
     sizes = list_sizes(path)
     if single and sizes:
         base = next(iter(sizes))[: -len(".shp")]
@@ -279,7 +280,7 @@ def find_shapefiles(path: str, layer: str | None = None) -> list[dict]:
     by_lower = {name.lower(): name for name in sizes}
     found = []
     for name in sorted(sizes):
-        inner = name[len(root.rstrip("/")) :] if name.startswith(root) else name
+        inner = name[len(root) :] if name.startswith(root) else name
         hidden = any(part.startswith(".") for part in inner.split("/"))
         if not name.lower().endswith(".shp") or hidden:
             continue
