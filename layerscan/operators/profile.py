@@ -14,8 +14,12 @@ def concat_layers(parts: list[DataFrame]) -> DataFrame:
 
 
 def extent_of(xmin: Column, xmax: Column, ymin: Column, ymax: Column) -> Column:
-    """Aggregate: bounding box of boxes; null when no row has one."""
-    low_x, high_x, low_y, high_y = F.min(xmin), F.max(xmax), F.min(ymin), F.max(ymax)
+    """Aggregate: bounding box of boxes; null when no row has one.
+
+    Adding zero turns -0.0, which compares equal to 0.0, into the same edge every time.
+    """
+    edges = F.min(xmin), F.max(xmax), F.min(ymin), F.max(ymax)
+    low_x, high_x, low_y, high_y = (edge + F.lit(0.0) for edge in edges)
     box = F.struct(
         low_x.cast("double").alias("xmin"),
         high_x.cast("double").alias("xmax"),

@@ -47,8 +47,8 @@ def extent_text(gap: str) -> str:
 def box(name: str, source: str, x: str, y: str) -> str:
     return (
         f"SELECT '{name}' AS layer, count(*) AS feature_count, "
-        f"CAST(min({x}) AS DOUBLE) AS xmin, CAST(max({x}) AS DOUBLE) AS xmax, "
-        f"CAST(min({y}) AS DOUBLE) AS ymin, CAST(max({y}) AS DOUBLE) AS ymax FROM {source}"
+        f"CAST(min({x}) AS DOUBLE) + 0.0 AS xmin, CAST(max({x}) AS DOUBLE) + 0.0 AS xmax, "
+        f"CAST(min({y}) AS DOUBLE) + 0.0 AS ymin, CAST(max({y}) AS DOUBLE) + 0.0 AS ymax FROM {source}"
     )
 
 
@@ -108,8 +108,8 @@ CARD_FACTS = " UNION ALL ".join(
 )
 
 STATS = """
-    CASE WHEN blank THEN NULL ELSE round(lo, 6) END AS "min", CASE WHEN blank THEN NULL ELSE round(hi, 6) END AS "max",
-    CASE WHEN blank THEN NULL ELSE round(mid, 6) END AS mean, CASE WHEN blank THEN NULL ELSE round(dev, 6) END AS stddev
+    CASE WHEN blank THEN NULL ELSE round(lo, 6) + 0.0 END AS "min", CASE WHEN blank THEN NULL ELSE round(hi, 6) + 0.0 END AS "max",
+    CASE WHEN blank THEN NULL ELSE round(mid, 6) + 0.0 END AS mean, CASE WHEN blank THEN NULL ELSE round(dev, 6) + 0.0 END AS stddev
 """
 
 
@@ -348,7 +348,7 @@ ORACLES = {
     """,
     "raster_pixels": """
         SELECT vec_id, CAST(generate_subscripts(embedding, 1) AS INTEGER) AS band,
-               round(CAST(unnest(embedding) AS DOUBLE), 6) AS value, CAST(NULL AS VARCHAR) AS error
+               round(CAST(unnest(embedding) AS DOUBLE), 6) + 0.0 AS value, CAST(NULL AS VARCHAR) AS error
         FROM embeddings
     """,
     "raster_band_stats": bands(EMBEDDING_PIXELS),

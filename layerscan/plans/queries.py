@@ -292,7 +292,7 @@ def _rounded_stats(stats: DataFrame) -> DataFrame:
     return stats.select(
         "band",
         "valid_count",
-        *[F.round(name, 6).alias(name) for name in ("min", "max", "mean", "stddev")],
+        *[(F.round(name, 6) + F.lit(0.0)).alias(name) for name in ("min", "max", "mean", "stddev")],
     )
 
 
@@ -484,7 +484,7 @@ def _embedding_images(spark: SparkSession, sf_dir: str) -> str:
 def raster_pixels(spark, sf_dir):
     pixels = spark.read.format("raster").load(_embedding_images(spark, sf_dir))
     start = F.regexp_extract("path", r"image_(\d+)\.tif$", 1).cast("bigint")
-    return pixels.select((start + F.col("row")).alias("vec_id"), "band", F.round("value", 6).alias("value"), "error")
+    return pixels.select((start + F.col("row")).alias("vec_id"), "band", (F.round("value", 6) + F.lit(0.0)).alias("value"), "error")
 
 
 def raster_band_statistics(spark, sf_dir):

@@ -19,7 +19,7 @@ def connect(sf_dir: str):
 
 def plain(value):
     if isinstance(value, float):
-        return repr(value + 0.0)
+        return repr(value)
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     return value
