@@ -66,12 +66,10 @@ def with_bucket(df: DataFrame, key: str, layout: KeyLayout) -> DataFrame:
     The number is never null. Were it nullable, a join on it would filter one of its two
     inputs, and inputs that differ cannot share one exchange.
     """
-    if layout.dense:
-        width = -(-layout.count // layout.buckets)
-        place = F.floor((F.col(key) - layout.low) / width).cast("int")
-        return df.withColumn(BUCKET, F.coalesce(place, F.lit(0)))
     if not layout.cuts:
-        return df.withColumn(BUCKET, F.lit(0))
+        span = layout.high - layout.low + 1 if layout.count else 1
+        place = F.floor((F.col(key) - (layout.low or 0)) / -(-span // layout.buckets)).cast("int")
+        return df.withColumn(BUCKET, F.coalesce(place, F.lit(0)))
     edges = [float("-inf"), *layout.cuts, float("inf")]
     as_double = df.withColumn("_key", F.col(key).cast("double"))
     placed = Bucketizer(splits=edges, inputCol="_key", outputCol="_place").transform(as_double)

@@ -32,9 +32,8 @@ def extent_of(xmin: Column, xmax: Column, ymin: Column, ymax: Column) -> Column:
 def _one_row_each(layers: dict[str, DataFrame]) -> DataFrame:
     """One row per layer name, so that an empty layer still gets its line."""
     session = next(iter(layers.values())).sparkSession
-    names = F.array(*[F.struct(F.lit(n).alias("layer"), F.lit(len(d.columns)).alias("field_count"))
-                      for n, d in layers.items()])
-    return session.range(1).select(F.inline(names))
+    names = F.array(*[F.lit(name) for name in layers])
+    return session.range(1).select(F.explode(names).alias("layer"))
 
 
 def layer_extents(layers: dict[str, DataFrame], axes: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -63,21 +62,6 @@ def layer_extents(layers: dict[str, DataFrame], axes: dict[str, tuple[Column, Co
     )
 
 
-def layer_counts(layers: dict[str, DataFrame]) -> DataFrame:
-    """Feature and field count per layer; the scans read no column at all."""
-    marks = [
-        df.select(F.lit(name).alias("layer"), F.lit(len(df.columns)).alias("field_count"), F.lit(1).alias("n"))
-        for name, df in layers.items()
-    ]
-    seeds = _one_row_each(layers).withColumn("n", F.lit(0))
-    return (
-        concat_layers([*marks, seeds])
-        .groupBy("layer", "field_count")
-        .agg(F.sum("n").alias("feature_count"))
-        .select("layer", "feature_count", "field_count")
-    )
-
-
 def array_bands(df: DataFrame, values: str, keep: list[str] | None = None) -> DataFrame:
     """An array column as pixels: one row per element, its 1-based place being the band."""
     place, value = F.col("_place"), F.col("_value")

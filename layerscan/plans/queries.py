@@ -22,7 +22,7 @@ from layerscan.operators.paging import (
     preview_summary,
     scan_from,
 )
-from layerscan.operators.profile import array_bands, band_stats, layer_counts, layer_extents
+from layerscan.operators.profile import array_bands, band_stats, layer_extents
 from layerscan.operators.search import match_ring, search_rows
 from layerscan.plans.sample_files import write_array_rasters, write_point_shapefiles
 from layerscan.session import configure, shared_folder
@@ -74,10 +74,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return container.read_layer(spark, sf_dir, name)
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: table(spark, sf_dir, name) for name in LAYERS}
-
-
 def edges(extent: Column) -> list[Column]:
     return [extent.getField(name).alias(name) for name in BOX]
 
@@ -86,7 +82,10 @@ def edges(extent: Column) -> list[Column]:
 
 
 def container_info(spark, sf_dir):
-    return layer_counts(tables(spark, sf_dir))
+    """Rows counted by a scan, fields from the footers; a layer without rows counts 0."""
+    fields = container.container_catalog(configure(spark), sf_dir).select("layer", "field_count")
+    counted = fields.join(container.container_counts(spark, sf_dir), "layer", "left")
+    return counted.select("layer", F.coalesce("feature_count", F.lit(0)).alias("feature_count"), "field_count")
 
 
 def container_footers(spark, sf_dir):
@@ -136,12 +135,9 @@ def layer_extent(spark, sf_dir):
 
 def _layer_card(spark, sf_dir, requested):
     """One layer's schema facts, with count and extent looked up by name."""
-    catalog = container.container_catalog(configure(spark), sf_dir)
-    names = catalog.agg(
-        F.max(F.when(F.col("layer") == requested, F.col("layer"))).alias("asked"), F.min("layer").alias("first")
-    ).select(F.coalesce("asked", "first").alias("layer"))
     # Bounded: the chosen name is a single row.
-    card = catalog.join(F.broadcast(names), "layer", "left_semi").select(
+    chosen = F.broadcast(container.chosen_layer(configure(spark), sf_dir, requested))
+    card = container.container_catalog(spark, sf_dir, chosen).select(
         F.lit("Feature Class").alias("type"), "layer", "field_count"
     )
     facts = layer_extents(

@@ -42,6 +42,15 @@ def layer_names(spark: SparkSession, root: str) -> DataFrame:
     return container_files(spark, root).select("layer").distinct().orderBy("layer")
 
 
+def chosen_layer(spark: SparkSession, root: str, requested: str | None) -> DataFrame:
+    """The requested layer if there is one of that name, else the first; a single row."""
+    layer = F.col("layer")
+    names = container_files(spark, root).agg(
+        F.max(F.when(layer == F.lit(requested), layer)).alias("asked"), F.min(layer).alias("first")
+    )
+    return names.select(F.coalesce("asked", "first").alias("layer"))
+
+
 def read_layer(spark: SparkSession, root: str, layer: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{layer}.parquet")
 
@@ -102,13 +111,17 @@ _FOOTER_ARROW = pa.schema(
 )
 
 
-def container_catalog(spark: SparkSession, root: str) -> DataFrame:
+def container_catalog(spark: SparkSession, root: str, only: DataFrame | None = None) -> DataFrame:
     """One row per layer from the file footers: rows, size, fields.
 
     Footers are read by the executors, file by file; no data page is touched. The fields
-    are those of the layer's first file. Unreadable files show up in ``error``.
+    are those of the layer's first file. Unreadable files show up in ``error``. ``only``
+    names the layers wanted, in a column ``layer``; the others' files are not opened.
     """
-    footers = container_files(spark, root).mapInArrow(_read_footers, FOOTER_SCHEMA)
+    files = container_files(spark, root)
+    if only is not None:
+        files = files.join(only, "layer", "left_semi").select("path", "length", "layer")
+    footers = files.mapInArrow(_read_footers, FOOTER_SCHEMA)
     return (
         footers.groupBy("layer")
         .agg(
@@ -121,6 +134,21 @@ def container_catalog(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def container_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Rows per layer, counted over all layers in one scan that reads no column.
+
+    The layers need not share a schema, and their number does not matter to the plan.
+    """
+    everything = (
+        spark.read.schema("_none STRING")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.parquet")
+        .parquet(root)
+    )
+    layer = layer_of(F.col("_metadata.file_path"), root).alias("layer")
+    return everything.select(layer).groupBy("layer").agg(F.count(F.lit(1)).alias("feature_count"))
+
+
 def schema_table(catalog: DataFrame) -> DataFrame:
     """One row per field of every layer."""
     return catalog.select("layer", F.inline("fields"))

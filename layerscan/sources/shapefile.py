@@ -188,6 +188,10 @@ def decode_values(raw: np.ndarray, field: Field, encoding: str) -> pa.Array:
 # --- geometry ---------------------------------------------------------------------
 
 
+LINE_HEAD = struct.pack("<BI", 1, 2)
+ONE_RING_HEAD = struct.pack("<BII", 1, 3, 1)
+
+
 def _decode_shape(content: memoryview, with_wkb: bool):
     """``(name, wkb, box, error)`` of one record's content."""
     if len(content) < 4:
@@ -209,6 +213,12 @@ def _decode_shape(content: memoryview, with_wkb: bool):
         parts, at = np.zeros(1, "<i4"), 40
     else:
         count, points = struct.unpack_from("<2i", content, 36)
+        if count == 1 and not has_z and not has_m:
+            name, head = ("LINESTRING", LINE_HEAD) if base == 3 else ("POLYGON", ONE_RING_HEAD)
+            body = content[48 : 48 + 16 * points]
+            if len(body) < 16 * points:
+                raise ValueError("record is cut off")
+            return name, head + struct.pack("<I", points) + bytes(body) if with_wkb else None, box, None
         parts, at = np.frombuffer(content, "<i4", count, 44), 44 + 4 * count
     xy = np.frombuffer(content, "<f8", 2 * points, at).reshape(points, 2)
     third = None
@@ -221,7 +231,30 @@ def _decode_shape(content: memoryview, with_wkb: bool):
     return name, wkb, box, None
 
 
-def _decode_shapes(block: bytes, base: int, offsets: np.ndarray, lengths: np.ndarray, with_wkb: bool):
+def _decode_points(block: bytes, base: int, offsets: np.ndarray, with_wkb: bool) -> dict | None:
+    """All records at once when every one is a plain point; None when one is not."""
+    at = (offsets - base + 8)[:, None]
+    raw = np.frombuffer(block, np.uint8)[at + np.arange(20)]
+    if (raw[:, :4].view("<i4") != 1).any():
+        return None
+    x, y = np.ascontiguousarray(raw[:, 4:12]).view("<f8").ravel(), np.ascontiguousarray(raw[:, 12:]).view("<f8").ravel()
+    columns = {"xmin": x, "xmax": x, "ymin": y, "ymax": y}
+    columns = {name: pa.array(values) for name, values in columns.items()}
+    columns["geometry"] = pa.repeat("POINT", len(raw))
+    if with_wkb:
+        # WKB puts a byte order mark before the same little-endian code and coordinates.
+        wkb = np.concatenate([np.ones((len(raw), 1), np.uint8), raw], axis=1)
+        fixed = pa.Array.from_buffers(pa.binary(21), len(raw), [None, pa.py_buffer(np.ascontiguousarray(wkb))])
+        columns["geometry_wkb"] = fixed.cast(pa.binary())
+    return columns
+
+
+def _decode_shapes(block: bytes, base: int, offsets: np.ndarray, lengths: np.ndarray, with_wkb: bool) -> dict:
+    """Geometry columns of a block of records; a damaged record says so in ``error``."""
+    if (lengths == 20).all() and offsets.max() - base + 28 <= len(block):
+        columns = _decode_points(block, base, offsets, with_wkb)
+        if columns is not None:
+            return columns
     names, wkbs, boxes, errors = [], [], [], []
     view = memoryview(block)
     for offset, length in zip(offsets.tolist(), lengths.tolist(), strict=True):
@@ -234,7 +267,10 @@ def _decode_shapes(block: bytes, base: int, offsets: np.ndarray, lengths: np.nda
         wkbs.append(wkb)
         boxes.append(box)
         errors.append(error)
-    return names, wkbs, boxes, errors
+    columns = {"geometry": names, "geometry_wkb": wkbs, "error": errors}
+    for place, name in enumerate(("xmin", "xmax", "ymin", "ymax")):
+        columns[name] = [None if b is None else b[place] for b in boxes]
+    return columns
 
 
 # --- source -----------------------------------------------------------------------
@@ -436,26 +472,17 @@ def _read_shapes(piece: Piece, low: int, high: int, with_wkb: bool) -> dict:
     index = np.frombuffer(entries, ">i4").reshape(-1, 2).astype(np.int64) * 2
     offsets, lengths = index[:, 0], index[:, 1]
     base, end = int(offsets.min()), int((offsets + lengths).max()) + 8
-    names, wkbs, boxes, errors = [], [], [], []
     with open_file(piece.shp) as handle:
         if end - base <= 4 * int(lengths.sum() + 8 * len(lengths)):
             handle.seek(base)
-            names, wkbs, boxes, errors = _decode_shapes(
-                handle.read(end - base), base, offsets, lengths, with_wkb
-            )
-        else:
-            # Records lie scattered through the file: fetch each on its own.
-            for offset, length in index.tolist():
-                handle.seek(offset)
-                one = _decode_shapes(
-                    handle.read(length + 8), offset, np.array([offset]), np.array([length]), with_wkb
-                )
-                for all_values, value in zip((names, wkbs, boxes, errors), one, strict=True):
-                    all_values += value
-    columns = {"geometry": names, "geometry_wkb": wkbs, "error": errors}
-    for place, name in enumerate(("xmin", "xmax", "ymin", "ymax")):
-        columns[name] = [None if b is None else b[place] for b in boxes]
-    return columns
+            return _decode_shapes(handle.read(end - base), base, offsets, lengths, with_wkb)
+        # Records lie scattered through the file: fetch each on its own, put them together.
+        records = []
+        for offset, length in index.tolist():
+            handle.seek(offset)
+            records.append(handle.read(length + 8))
+    starts = np.cumsum([0, *map(len, records)])[:-1]
+    return _decode_shapes(b"".join(records), 0, starts, lengths, with_wkb)
 
 
 # --- headers ----------------------------------------------------------------------
