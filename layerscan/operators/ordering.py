@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1 << 20
 MAX_BUCKETS = 1 << 14
-# Quantile cuts come from a sketch, which is kept smaller.
-MAX_CUTS = 1 << 11
+# Quantile cuts come from a sketch that one task merges, so there are fewer of them.
+MAX_CUTS = 1 << 13
 BUCKET = "_bucket"
 
 
@@ -56,7 +56,7 @@ def key_layout(df: DataFrame, key: str, with_cuts: bool = True) -> KeyLayout:
         return plain
     parts = min(MAX_CUTS, -(-count // ROWS_PER_BUCKET))
     marks = [i / parts for i in range(1, parts)]
-    quantiles = df.agg(F.percentile_approx(key, marks, 10 * parts)).first()[0]
+    quantiles = df.agg(F.percentile_approx(key, marks, max(1000, 4 * parts))).first()[0]
     return KeyLayout(count, low, high, sorted({float(q) for q in quantiles}))
 
 

@@ -16,12 +16,27 @@ from layerscan.operators.ordering import (
     within_bucket,
 )
 
+DIGITS = "0123456789"
+
+# The characters the text of a value can be made of; none of them is a capital letter.
+ALPHABETS = {
+    T.ByteType: DIGITS + "-",
+    T.ShortType: DIGITS + "-",
+    T.IntegerType: DIGITS + "-",
+    T.LongType: DIGITS + "-",
+    T.DoubleType: DIGITS + "+-.e" + "nan" + "inf",
+    T.DateType: DIGITS + "+-",
+    T.TimestampNTZType: DIGITS + "+-.: ",
+}
+
 
 def row_matches(df: DataFrame, query: str, columns: list[str] | None = None) -> Column:
     """True for rows where some cell contains the query, ignoring case.
 
     A null cell never matches and an empty query matches nothing. The conditions are
-    joined with OR, which stays inside generated code; an array of cells would not.
+    joined with OR, which stays inside generated code; an array of cells would not. A
+    column whose text cannot hold every character of the query is not looked at: words
+    are not searched for in numbers.
     """
     if not query:
         return F.lit(False)
@@ -32,7 +47,11 @@ def row_matches(df: DataFrame, query: str, columns: list[str] | None = None) ->
             continue
         if isinstance(field.dataType, T.BinaryType):
             continue
-        cell = F.lower(cell_text(F.col(f"`{field.name}`"), field.dataType))
+        alphabet = ALPHABETS.get(type(field.dataType))
+        if alphabet and not set(query.lower()) <= set(alphabet):
+            continue
+        cell = cell_text(F.col(f"`{field.name}`"), field.dataType)
+        cell = cell if alphabet else F.lower(cell)
         found = found | F.coalesce(cell.contains(wanted), F.lit(False))
     return found
 

@@ -24,6 +24,9 @@ def configure(spark: SparkSession) -> SparkSession:
         context.addPyFile(_package_archive())
         _shipped.add(context.applicationId)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    # A search over many columns can make a generated method that the JVM refuses to
+    # compile; beyond this size Spark then splits it up.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.dataSource.register(ShapefileSource)
     spark.dataSource.register(RasterSource)
     return spark

@@ -115,3 +115,18 @@ def test_search_is_one_filter_in_generated_code(spark, sf_dir):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "*(1) Filter" in plan
     assert "Exchange" not in plan
+
+
+def test_search_looks_at_numbers_only_for_number_queries(spark):
+    df = spark.createDataFrame(
+        [(1, 12345678.5, True, "x"), (-77, 1e-7, False, "y"), (None, float("nan"), None, None)],
+        "n int, d double, b boolean, s string",
+    )
+
+    def found(query):
+        return [r.n for r in search_rows(df, query).collect()]
+
+    assert found("78.5") == [1] and found("1e-07") == [-77] and found("-7") == [-77] and found("nan") == [None]
+    assert found("TRUE") == [1] and found("7x") == []
+    plan = search_rows(df, "word")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(lower(s" in plan and "cast(n" not in plan and "cast(d" not in plan
