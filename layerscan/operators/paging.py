@@ -25,15 +25,18 @@ def feature_rows(df: DataFrame, key: str, geometry: Column | None = None) -> Dat
     return df.select(F.col(key).alias("fid"), *attributes, shape.alias("geometry"))
 
 
-def preview(df: DataFrame, key: str, limit: int = PREVIEW_ROWS) -> DataFrame:
+def preview(
+    df: DataFrame, key: str, limit: int = PREVIEW_ROWS, keys: DataFrame | None = None
+) -> DataFrame:
     """The first ``limit`` rows in key order; none when the limit is not positive.
 
     The key column is read first to find where the preview ends, so that the scan of all
-    columns can skip every row group behind that point.
+    columns can skip every row group behind that point. ``keys`` may give that column
+    for a source that does not prune columns by itself.
     """
     if limit <= 0:
         return df.limit(0)
-    end = key_at(df, key, limit)
+    end = key_at(df if keys is None else keys, key, limit)
     return (df if end is None else df.where(F.col(key) < end)).orderBy(key).limit(limit)
 
 
@@ -46,15 +49,15 @@ def preview_summary(df: DataFrame, limit: int = PREVIEW_ROWS) -> DataFrame:
     )
 
 
-def scan_from(df: DataFrame, key: str, skip: int) -> DataFrame:
+def scan_from(df: DataFrame, key: str, skip: int, keys: DataFrame | None = None) -> DataFrame:
     """All rows from a position on.
 
     The position is turned into a key first, and the scan then filters on that key, which
-    reaches the file reader. Nothing is shuffled.
+    reaches the file reader. Nothing is shuffled. ``keys`` as for :func:`preview`.
     """
     if skip <= 0:
         return df
-    start = key_at(df, key, skip)
+    start = key_at(df if keys is None else keys, key, skip)
     return df.where(F.lit(False)) if start is None else df.where(F.col(key) >= start)
 
 

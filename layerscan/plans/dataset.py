@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from layerscan.functions.geometry import geometry_name
 from layerscan.functions.paths import extension, unsupported_message
 from layerscan.functions.text import human_size
+from layerscan.operators.ordering import key_layout
 from layerscan.operators.paging import PREVIEW_ROWS, feature_rows, preview, preview_summary, scan_from
 from layerscan.operators.profile import concat_layers, extent_of
 from layerscan.operators.search import match_ring, search_rows
@@ -83,6 +84,11 @@ class Dataset:
         """Rows of a layer, the name of its row key and its geometry name."""
         raise NotImplementedError
 
+    def keys(self, layer: str) -> DataFrame:
+        """The row keys of a layer alone."""
+        df, key, _ = self.read(layer)
+        return df.select(key)
+
     def layers(self) -> DataFrame:
         """Layer names in order."""
         if not self.exists():
@@ -182,7 +188,7 @@ class Dataset:
 
         def rows(name: str) -> DataFrame:
             df, key, shape = self.read(name)
-            return self._features(preview(df, key, limit), key, shape)
+            return self._features(preview(df, key, limit, self.keys(name)), key, shape)
 
         return self._with_layer(layer, rows)
 
@@ -190,8 +196,7 @@ class Dataset:
         """Layer, rows in all, rows a preview shows."""
 
         def counts(name: str) -> DataFrame:
-            df, _, _ = self.read(name)
-            return preview_summary(df, limit).select(F.lit(name).alias("layer"), "total_features", "showing")
+            return preview_summary(self.keys(name), limit).select(F.lit(name).alias("layer"), "total_features", "showing")
 
         return self._with_layer(layer, counts)
 
@@ -200,7 +205,7 @@ class Dataset:
 
         def scan(name: str) -> DataFrame:
             df, key, shape = self.read(name)
-            return self._features(scan_from(df, key, skip), key, shape)
+            return self._features(scan_from(df, key, skip, self.keys(name)), key, shape)
 
         return self._with_layer(layer, scan)
 
@@ -218,7 +223,8 @@ class Dataset:
 
         def ring(name: str) -> DataFrame:
             df, key, shape = self.read(name)
-            return match_ring(self._features(df, key, shape), "fid", query)
+            layout = key_layout(self.keys(name), key)
+            return match_ring(self._features(df, key, shape), "fid", query, layout=layout)
 
         return self._with_layer(layer, ring)
 
@@ -238,18 +244,44 @@ class Container(Dataset):
     def __init__(self, spark, path, keys: dict[str, str] | None = None,
                  axes: dict[str, tuple[str, str]] | None = None):
         super().__init__(spark, path)
-        self.keys, self.axes = keys or {}, axes or {}
+        self.key_columns, self.axes = keys or {}, axes or {}
 
     def read(self, layer):
         df = container.read_layer(self.spark, self.path, layer)
         shape = geometry_name(F.col("geometry_wkb")) if "geometry_wkb" in df.columns else None
-        return df, self.keys.get(layer) or _default_key(df), shape
+        return df, self.key_columns.get(layer) or _default_key(df), shape
 
     def layers(self) -> DataFrame:
         if not self.exists():
             return super().layers()
         return container.layer_names(self.spark, self.path)
 
+    def info(self) -> DataFrame:
+        if self.exists() and not self._readable():
+            return self.spark.range(1).select(
+                F.lit(self.label).alias("type"),
+                F.lit(self.path).alias("path"),
+                F.lit(self.name).alias("name"),
+                F.lit(True).alias("exists"),
+                F.lit(self.size().first()["size"]).alias("size"),
+                F.lit(0).alias("layer_count"),
+                F.lit(self._cannot_open()).alias("error"),
+            )
+        return super().info()
+
+    def schema(self, layer: str | None = None) -> DataFrame:
+        return super().schema(layer) if self._readable() else error_row(self.spark, self._cannot_open())
+
+    def extent(self, layer: str | None = None) -> DataFrame:
+        return super().extent(layer) if self._readable() else error_row(self.spark, self._cannot_open())
+
+    def _with_layer(self, layer, then):
+        return super()._with_layer(layer, then) if self._readable() else error_row(self.spark, self._cannot_open())
+
+    def _readable(self) -> bool:
+        """A folder named like a container may hold no layer of ours."""
+        return self.exists() and self.first_layer() is not None
+
     def catalog(self) -> DataFrame:
         """Counts and fields come from file footers; only layers with coordinates are scanned."""
         catalog = container.container_catalog(self.spark, self.path).withColumn(
@@ -318,13 +350,21 @@ class Shapefile(Dataset):
     def catalog(self) -> DataFrame:
         return shapefile.shapefile_headers(self.spark, self.path)
 
+    def _load(self, layer: str, columns: list[str] | None = None) -> DataFrame:
+        reader = self.spark.read.format("shapefile").option("layer", layer)
+        return (reader.option("columns", ",".join(columns)) if columns else reader).load(self.path)
+
     def read(self, layer):
-        rows = self.spark.read.format("shapefile").option("layer", layer).load(self.path)
-        return rows, "fid", F.col("geometry")
+        """fid, attributes and geometry name; the source is not asked for the rest."""
+        extras = {"layer", "geometry_wkb", *BOX, "error"}
+        wanted = [c for c in self._load(layer).columns if c not in extras]
+        return self._load(layer, wanted), "fid", F.col("geometry")
+
+    def keys(self, layer: str) -> DataFrame:
+        return self._load(layer, ["fid"])
 
     def _features(self, df, key, shape):
-        """The source already gives fid first and the geometry name; drop its extras."""
-        return df.drop("layer", "geometry_wkb", *BOX, "error")
+        return df
 
     def _size_root(self) -> str:
         return self.path.rsplit("/", 1)[0] if self.path.lower().endswith(".shp") else self.path

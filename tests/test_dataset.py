@@ -131,3 +131,12 @@ def test_unknown_layers_and_formats(spark, tree, sf_dir):
     assert store.peek(layer="lakes").first().error == "Layer not found: lakes"
     other = layerscan.open_dataset(spark, "/some/file.csv")
     assert other.info().first().error.startswith("Unsupported input type: /some/file.csv")
+
+
+def test_container_without_layers_of_ours(spark, tree):
+    store = layerscan.open_dataset(spark, str(tree / "store.gdb"))
+    info = store.info().first()
+    assert (info.name, info.exists, info.size, info.layer_count, info.error) == (
+        "store.gdb", True, "8 B", 0, "Could not open dataset")
+    for answer in (store.schema(), store.extent("x"), store.peek()):
+        assert answer.first().error == "Could not open dataset"
