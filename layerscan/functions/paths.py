@@ -36,18 +36,27 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(trim_separators(path), r"\.([A-Za-z0-9]+)$", 1))
 
 
-def path_format(path: Column) -> Column:
-    """``shapefile``, ``raster`` or ``geodatabase``; null when the path is none of them."""
-    ext = extension(path)
+def format_of(ext: Column) -> Column:
+    """``shapefile``, ``raster`` or ``geodatabase`` for an extension; null for any other."""
     chain = None
     for name, members in FORMATS.items():
         chain = (F if chain is None else chain).when(ext.isin(members), F.lit(name))
     return chain
 
 
+def path_format(path: Column) -> Column:
+    """The format a path stands for; null when it is none."""
+    return format_of(extension(path))
+
+
+def label_of(fmt: Column) -> Column:
+    """Title word for a format: Shapefile, Raster, Geodatabase, or Input when null."""
+    return F.coalesce(F.initcap(fmt), F.lit("Input"))
+
+
 def type_label(path: Column) -> Column:
-    """Title word for a path: Shapefile, Raster, Geodatabase, or Input when unknown."""
-    return F.coalesce(F.initcap(path_format(path)), F.lit("Input"))
+    """Title word for a path."""
+    return label_of(path_format(path))
 
 
 def unsupported_message(path: Column) -> Column:

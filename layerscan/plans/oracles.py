@@ -139,6 +139,29 @@ SHAPE_TYPES = {
     23: "Measured Line String", 25: "Measured Polygon", 28: "Measured Multi Point", 31: "3D Unknown (any)",
 }
 
+CATALOG = f"""
+    WITH files AS (SELECT {LISTED_FILES} AS path, CAST(p_size * 1000 AS BIGINT) AS length FROM part),
+    owned AS (
+        SELECT path, length,
+               CASE WHEN contains(path, '.gdb/') THEN split_part(path, '.gdb/', 1) || '.gdb'
+                    WHEN path LIKE '%.tif' THEN path
+                    WHEN path LIKE '%.shp.xml' THEN left(path, length(path) - 4)
+                    WHEN path LIKE '%.txt' THEN NULL
+                    ELSE left(path, length(path) - 4) || '.shp' END AS owner
+        FROM files WHERE path NOT LIKE '/data/.hidden/%'),
+    folded AS (
+        SELECT owner AS path, count(*) AS file_count, CAST(sum(length) AS BIGINT) AS size_bytes,
+               bool_or(path = owner OR contains(path, '.gdb/')) AS complete
+        FROM owned WHERE owner IS NOT NULL GROUP BY owner)
+    SELECT path, regexp_extract(path, '([^/]*)\\.[a-z]+$', 1) AS layer,
+           CASE right(path, 4) WHEN '.shp' THEN 'shapefile' WHEN '.tif' THEN 'raster' ELSE 'geodatabase' END
+               AS format,
+           CASE right(path, 4) WHEN '.shp' THEN 'Shapefile' WHEN '.tif' THEN 'Raster' ELSE 'Geodatabase' END
+               AS type_label,
+           file_count, size_bytes, {size_text("size_bytes")} AS size
+    FROM folded WHERE complete
+"""
+
 ORACLES = {
     "container_info": COUNTS,
     "container_footers": f"SELECT *, CAST(NULL AS VARCHAR) AS error FROM ({COUNTS})",
@@ -260,28 +283,8 @@ ORACLES = {
                hidden, inside_container, NOT hidden AND NOT inside_container AND format IS NOT NULL AS is_dataset
         FROM typed
     """,
-    "dataset_catalog": f"""
-        WITH files AS (SELECT {LISTED_FILES} AS path, CAST(p_size * 1000 AS BIGINT) AS length FROM part),
-        owned AS (
-            SELECT path, length,
-                   CASE WHEN contains(path, '.gdb/') THEN split_part(path, '.gdb/', 1) || '.gdb'
-                        WHEN path LIKE '%.tif' THEN path
-                        WHEN path LIKE '%.shp.xml' THEN left(path, length(path) - 4)
-                        WHEN path LIKE '%.txt' THEN NULL
-                        ELSE left(path, length(path) - 4) || '.shp' END AS owner
-            FROM files WHERE path NOT LIKE '/data/.hidden/%'),
-        folded AS (
-            SELECT owner AS path, count(*) AS file_count, CAST(sum(length) AS BIGINT) AS size_bytes,
-                   bool_or(path = owner OR contains(path, '.gdb/')) AS complete
-            FROM owned WHERE owner IS NOT NULL GROUP BY owner)
-        SELECT path, regexp_extract(path, '([^/]*)\\.[a-z]+$', 1) AS layer,
-               CASE right(path, 4) WHEN '.shp' THEN 'shapefile' WHEN '.tif' THEN 'raster' ELSE 'geodatabase' END
-                   AS format,
-               CASE right(path, 4) WHEN '.shp' THEN 'Shapefile' WHEN '.tif' THEN 'Raster' ELSE 'Geodatabase' END
-                   AS type_label,
-               file_count, size_bytes, {size_text("size_bytes")} AS size
-        FROM folded WHERE complete
-    """,
+    "dataset_catalog": CATALOG,
+    "search_catalog": f"SELECT * FROM ({CATALOG}) WHERE contains(layer, 'image_1')",
     "human_size": f"""
         SELECT lang, total, {size_text("total")} AS size
         FROM (SELECT lang, CAST(sum(n_chars) AS BIGINT) AS total FROM documents GROUP BY lang)

@@ -336,6 +336,11 @@ def dataset_catalog(spark, sf_dir):
     return fold_datasets(listing)
 
 
+def search_catalog(spark, sf_dir):
+    """Datasets of a tree whose label contains the query."""
+    return search_rows(dataset_catalog(spark, sf_dir), "IMAGE_1", ["layer"])
+
+
 def human_size(spark, sf_dir):
     totals = table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum("n_chars").alias("total"))
     return totals.select("lang", "total", fn.human_size(F.col("total")).alias("size"))
@@ -544,6 +549,7 @@ QUERIES = {
     "raster_extent": raster_extent,
     "classify_paths": classify,
     "dataset_catalog": dataset_catalog,
+    "search_catalog": search_catalog,
     "human_size": human_size,
     "human_size_units": human_size_units,
     "render_values": render_values,

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerscan.functions.paths import (
+    RASTER_EXTENSIONS,
+    SHAPEFILE_EXTENSION,
     basename,
     extension,
+    format_of,
     is_hidden,
     is_inside_container,
+    label_of,
     path_format,
     stem,
     trim_separators,
-    type_label,
     unsupported_message,
 )
 from layerscan.functions.text import human_size
@@ -38,19 +41,21 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 def classify_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     """Name, stem, extension, format and visibility of each path."""
     p = F.col(path)
-    shown = ~is_hidden(p) & ~is_inside_container(p) & path_format(p).isNotNull()
-    return paths.select(
+    named = paths.select(
         p.alias("path"),
         trim_separators(p).alias("clean_path"),
         basename(p).alias("name"),
         stem(p).alias("stem"),
         extension(p).alias("extension"),
-        path_format(p).alias("format"),
-        type_label(p).alias("type_label"),
         is_hidden(p).alias("hidden"),
         is_inside_container(p).alias("inside_container"),
+    ).withColumn("format", format_of(F.col("extension")))
+    shown = ~F.col("hidden") & ~F.col("inside_container") & F.col("format").isNotNull()
+    return named.select(
+        "*",
+        label_of(F.col("format")).alias("type_label"),
         shown.alias("is_dataset"),
-        unsupported_message(p).alias("error"),
+        unsupported_message(F.col("path")).alias("error"),
     )
 
 
@@ -62,21 +67,24 @@ def fold_datasets(files: DataFrame, below: str = "") -> DataFrame:
     other files are left out. Sums are partial before the shuffle, so one huge container
     is no hot group. ``below`` is the root, whose own name may start with a dot.
     """
-    path, ext = F.col("path"), extension(F.col("path"))
-    container = F.regexp_extract(path, r"(?i)^(.*?\.gdb)[/\\]", 1)
-    is_shape_xml = path.rlike(r"(?i)\.shp\.xml$")
-    bare = F.regexp_replace(path, r"(?i)(\.shp\.xml|\.[^./\\]+)$", "")
-    sidecar = is_shape_xml | ext.isin(SIDECAR_EXTENSIONS)
+    path, ext, container = F.col("path"), F.col("_ext"), F.col("_container")
+    visible = files.where(~is_hidden(F.substring(path, len(below) + 1, 1 << 30))).select(
+        "path",
+        "length",
+        F.when(path.rlike(r"(?i)\.shp\.xml$"), F.lit("shp.xml")).otherwise(extension(path)).alias("_ext"),
+        F.regexp_extract(path, r"(?i)^(.*?\.gdb)[/\\]", 1).alias("_container"),
+    )
+    inside = container != ""
+    of_shapefile = ext.isin(SHAPEFILE_EXTENSION, "shp.xml", *SIDECAR_EXTENSIONS)
+    bare = F.left(path, F.length(path) - F.length(ext))
     owner = (
-        F.when(container != "", container)
-        .when((ext == "shp") | sidecar, F.concat(bare, F.lit(".shp")))
-        .when(path_format(path) == "raster", path)
+        F.when(inside, container)
+        .when(of_shapefile, F.concat(bare, F.lit(SHAPEFILE_EXTENSION)))
+        .when(ext.isin(RASTER_EXTENSIONS), path)
     )
-    main = (container != "") | (path_format(path).isNotNull() & ~is_shape_xml)
-    actual = F.when(container != "", container).otherwise(path)
-    visible = files.where(~is_hidden(F.substring(path, len(below) + 1, 1 << 30)))
-    return (
-        visible.select(owner.alias("_owner"), "length", F.when(main, actual).alias("_main"))
+    main = F.when(inside, container).when(ext.isin(SHAPEFILE_EXTENSION, *RASTER_EXTENSIONS), path)
+    folded = (
+        visible.select(owner.alias("_owner"), "length", main.alias("_main"))
         .where(F.col("_owner").isNotNull())
         .groupBy("_owner")
         .agg(
@@ -84,16 +92,17 @@ def fold_datasets(files: DataFrame, below: str = "") -> DataFrame:
             F.sum("length").alias("size_bytes"),
             F.count(F.lit(1)).alias("file_count"),
         )
-        .where(F.col("path").isNotNull())
-        .select(
-            "path",
-            stem(F.col("path")).alias("layer"),
-            path_format(F.col("path")).alias("format"),
-            type_label(F.col("path")).alias("type_label"),
-            "file_count",
-            "size_bytes",
-            human_size(F.col("size_bytes")).alias("size"),
-        )
+        .where(path.isNotNull())
+        .withColumn("format", path_format(path))
+    )
+    return folded.select(
+        "path",
+        stem(path).alias("layer"),
+        "format",
+        label_of(F.col("format")).alias("type_label"),
+        "file_count",
+        "size_bytes",
+        human_size(F.col("size_bytes")).alias("size"),
     )
 
 

@@ -12,10 +12,11 @@ def values(spark, rows, schema, *columns):
 
 
 def test_sizes(spark):
-    sizes = [0, 1023, 1024, 1024**2, 1024**3, 1024**4, 1024**5, 1024**6, -1, 1536000, None]
+    sizes = [0, 1023, 1024, 1024**2, 1024**3, 1024**4, 1024**5, 1024**6, -1, 1536000, None, 1024**2 - 1,
+             10 * 1024**5 - 1]
     got = values(spark, [(s,) for s in sizes], "s bigint", fn.human_size(F.col("s")))
     assert got == ["0 B", "1023 B", "1.00 KB", "1.00 MB", "1.00 GB", "1.00 TB", "1.00 PB", "1024.00 PB", "0 B",
-                   "1.46 MB", None]
+                   "1.46 MB", None, "1024.00 KB", "10.00 PB"]
 
 
 def test_double_text_follows_python(spark):
@@ -26,7 +27,8 @@ def test_double_text_follows_python(spark):
 
 
 def test_render_double(spark):
-    numbers = [0.0, 0.5, -0.125, 0.9999999, 1.0, 1.005, 2.675, -3.14159, 1e9]
+    numbers = [0.0, 0.5, -0.125, 0.9999999, 1.0, 1.005, 2.675, -3.14159, 1e9, float("nan"), float("-inf"),
+               float("inf")]
     got = values(spark, [(x,) for x in numbers], "x double", fn.render_value(F.col("x"), T.DoubleType()))
     assert got == [f"{x:.6f}" if abs(x) < 1 else f"{x:.2f}" for x in numbers]
 
