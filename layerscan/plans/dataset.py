@@ -18,7 +18,7 @@ from layerscan.functions.paths import extension, unsupported_message
 from layerscan.functions.text import human_size
 from layerscan.operators.ordering import key_layout
 from layerscan.operators.paging import PREVIEW_ROWS, feature_rows, preview, preview_summary, scan_from
-from layerscan.operators.profile import concat_layers, extent_of
+from layerscan.operators.profile import layer_extents
 from layerscan.operators.search import match_ring, search_rows
 from layerscan.session import configure
 from layerscan.sources import container, shapefile, tiff
@@ -26,7 +26,6 @@ from layerscan.sources.discovery import fold_datasets, list_files
 from layerscan.sources.files import path_exists
 
 SHORT_FIELDS = "transform(fields, f -> struct(f.name AS name, f.type AS type, f.width AS width))"
-NO_EXTENT = "struct<xmin:double,xmax:double,ymin:double,ymax:double>"
 BOX = ("xmin", "xmax", "ymin", "ymax")
 
 # Layer type name for a geometry name.
@@ -283,47 +282,27 @@ class Container(Dataset):
         return self.exists() and self.first_layer() is not None
 
     def catalog(self) -> DataFrame:
-        """Counts and fields come from file footers; only layers with coordinates are scanned."""
-        catalog = container.container_catalog(self.spark, self.path).withColumn(
-            "crs", F.lit(None).cast("string")
-        )
-        located = self._located(catalog)
-        if located is None:
-            return catalog.withColumn("extent", F.lit(None).cast(NO_EXTENT)).withColumn(
-                "geometry_type", F.lit("None")
-            )
-        joined = catalog.join(located, "layer", "left")
-        return joined.withColumn("geometry_type", F.coalesce("geometry_type", F.lit("None")))
-
-    def _located(self, catalog: DataFrame) -> DataFrame | None:
-        """Extent and geometry type of the layers that have coordinates."""
-        boxed = catalog.where(
-            F.expr("exists(fields, f -> f.name = 'xmin') OR exists(fields, f -> f.name = 'geometry_wkb')")
-        )
-        parts = []
-        for name in sorted({*self.axes, *(r.layer for r in boxed.select("layer").collect())}):
-            df = container.read_layer(self.spark, self.path, name)
-            if name in self.axes:
-                x, y = (F.col(c) for c in self.axes[name])
-                edges = (x, x, y, y)
-            elif set(BOX) <= set(df.columns):
-                edges = tuple(F.col(c) for c in BOX)
-            else:
-                edges = (F.lit(None),) * 4
-            shape = geometry_name(F.col("geometry_wkb")) if "geometry_wkb" in df.columns else F.lit(None)
-            parts.append(
-                df.select(
-                    F.lit(name).alias("layer"),
-                    *[e.cast("double").alias(n) for e, n in zip(edges, BOX, strict=True)],
-                    shape.cast("string").alias("_shape"),
-                )
-            )
-        if not parts:
-            return None
-        kinds = F.collect_set("_shape")
-        only = F.when(F.size(kinds) == 1, _type_name(kinds[0])).when(F.size(kinds) > 1, F.lit("Unknown (any)"))
-        return concat_layers(parts).groupBy("layer").agg(
-            extent_of(*[F.col(n) for n in BOX]).alias("extent"), only.alias("geometry_type")
+        """Counts and fields come from file footers, extents from one scan of the coordinates."""
+        names, extent = F.col("geometry_names"), F.col("extent")
+        located = container.container_extents(self.spark, self.path)
+        catalog = container.container_catalog(self.spark, self.path).join(located, "layer", "left")
+        if self.axes:
+            points = {layer: container.read_layer(self.spark, self.path, layer) for layer in self.axes}
+            axes = {layer: (F.col(x), F.col(y)) for layer, (x, y) in self.axes.items()}
+            given = layer_extents(points, axes).select("layer", extent.alias("_given"))
+            catalog = catalog.join(given, "layer", "left").withColumn("extent", F.coalesce("_given", extent))
+        return catalog.select(
+            "layer",
+            "feature_count",
+            F.when(F.size(names) == 1, _type_name(names[0]))
+            .when(F.size(names) > 1, F.lit("Unknown (any)"))
+            .otherwise(F.lit("None"))
+            .alias("geometry_type"),
+            "extent",
+            F.lit(None).cast("string").alias("crs"),
+            "field_count",
+            "fields",
+            "error",
         )
 
 

@@ -12,9 +12,11 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from layerscan.functions.geometry import geometry_name
 from layerscan.functions.types import field_type_name
-from layerscan.sources.files import open_file
+from layerscan.operators.profile import extent_of
 from layerscan.sources.discovery import list_files
+from layerscan.sources.files import open_file
 
 LAYER_PATTERN = r"(?i)^([^/]+?)(\.parquet)?(/|$)"
 
@@ -134,19 +136,36 @@ def container_catalog(spark: SparkSession, root: str, only: DataFrame | None = N
     )
 
 
-def container_counts(spark: SparkSession, root: str) -> DataFrame:
-    """Rows per layer, counted over all layers in one scan that reads no column.
-
-    The layers need not share a schema, and their number does not matter to the plan.
-    """
-    everything = (
-        spark.read.schema("_none STRING")
+def _all_layers(spark: SparkSession, root: str, columns: str) -> DataFrame:
+    """Chosen columns of all layers in one scan, with the layer name; null where a layer
+    has no such column. The number of layers does not matter to the plan."""
+    rows = (
+        spark.read.schema(columns)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.parquet")
         .parquet(root)
     )
-    layer = layer_of(F.col("_metadata.file_path"), root).alias("layer")
-    return everything.select(layer).groupBy("layer").agg(F.count(F.lit(1)).alias("feature_count"))
+    return rows.select("*", layer_of(F.col("_metadata.file_path"), root).alias("layer"))
+
+
+def container_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Rows per layer, counted in a scan that reads no column."""
+    rows = _all_layers(spark, root, "_none STRING").select("layer")
+    return rows.groupBy("layer").agg(F.count(F.lit(1)).alias("feature_count"))
+
+
+def container_extents(spark: SparkSession, root: str) -> DataFrame:
+    """Extent from the box columns and geometry names from the WKB column, per layer.
+
+    Layers without these columns come out with a null extent and no name. The set of
+    names is as small as the list of geometry types.
+    """
+    rows = _all_layers(spark, root, "xmin DOUBLE, xmax DOUBLE, ymin DOUBLE, ymax DOUBLE, geometry_wkb BINARY")
+    box = [F.col(name) for name in ("xmin", "xmax", "ymin", "ymax")]
+    return rows.groupBy("layer").agg(
+        extent_of(*box).alias("extent"),
+        F.collect_set(geometry_name(F.col("geometry_wkb"))).alias("geometry_names"),
+    )
 
 
 def schema_table(catalog: DataFrame) -> DataFrame:
