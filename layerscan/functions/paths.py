@@ -22,6 +22,13 @@ def trim_separators(path: Column) -> Column:
     return F.regexp_replace(path, r"[/\\]+$", "")
 
 
+def below(path: Column, root: str) -> Column:
+    """The part of a path below a folder; the whole path when it lies elsewhere."""
+    start = root.removeprefix("file:").rstrip("/") + "/"
+    at = F.instr(path, start)
+    return F.when(at > 0, F.substring(path, at + len(start), F.length(path))).otherwise(path)
+
+
 def basename(path: Column) -> Column:
     return F.regexp_extract(trim_separators(path), r"([^/\\]*)$", 1)
 

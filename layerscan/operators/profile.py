@@ -99,25 +99,39 @@ def band_stats(pixels: DataFrame, by: list[str], nodata: float | Column | None =
     return sums.select(*by, F.col("valid").alias("valid_count"), *_without_empty(F.col("valid"), stats))
 
 
-def merge_band_parts(parts: DataFrame, by: list[str]) -> DataFrame:
-    """Band statistics from partial ones: ``valid, min, max, mean, m2`` per piece.
+MERGE_SHARDS = 64
 
-    ``m2`` is the sum of squared distances from the piece's own mean. A piece stands for
-    a whole group of raster blocks, so there are few; the window and the aggregate share
-    one exchange.
-    """
+
+def _merge_once(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Pieces of one group as one piece; the window and the aggregate share an exchange."""
     group = Window.partitionBy(*by)
     n = F.col("valid")
     mean = F.sum(n * F.col("mean")).over(group) / F.nullif(F.sum(n).over(group), F.lit(0))
-    centred = parts.withColumn("_mean", mean)
     off = F.col("mean") - F.col("_mean")
-    sums = centred.groupBy(*by).agg(
-        F.sum(n).alias("valid"),
-        F.min("min").alias("min"),
-        F.max("max").alias("max"),
-        F.max("_mean").alias("mean"),
-        F.sum(F.col("m2") + n * off * off).alias("m2"),
+    return (
+        parts.withColumn("_mean", mean)
+        .groupBy(*by)
+        .agg(
+            F.sum(n).alias("valid"),
+            F.min("min").alias("min"),
+            F.max("max").alias("max"),
+            F.sum(F.col("m2") + n * off * off).alias("m2"),
+            F.max("_mean").alias("mean"),
+            F.max("error").alias("error"),
+        )
     )
+
+
+def merge_band_parts(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Band statistics from partial ones: ``valid, min, max, mean, m2`` per piece.
+
+    ``m2`` is the sum of squared distances from the piece's own mean. A piece stands for
+    a whole group of raster blocks. Pieces are merged in two rounds, the first over
+    shards of each group, so that a group with most of the pieces does not end up in one
+    task. A piece that could not be read only brings its ``error``.
+    """
+    shard = F.pmod(F.xxhash64("path", "valid", "mean"), F.lit(MERGE_SHARDS)).cast("int")
+    sums = _merge_once(_merge_once(parts.withColumn("_shard", shard), [*by, "_shard"]), by)
     total = F.nullif(F.col("valid"), F.lit(0))
     stats = {
         "min": F.col("min"),
@@ -125,4 +139,5 @@ def merge_band_parts(parts: DataFrame, by: list[str]) -> DataFrame:
         "mean": F.col("mean"),
         "stddev": F.sqrt(F.col("m2") / total),
     }
-    return sums.select(*by, F.col("valid").alias("valid_count"), *_without_empty(F.col("valid"), stats))
+    kept = _without_empty(F.col("valid"), stats)
+    return sums.select(*by, F.col("valid").alias("valid_count"), *kept, "error")

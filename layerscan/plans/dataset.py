@@ -388,7 +388,7 @@ class Raster(Dataset):
             return super().info()
         bands = tiff.band_schema(self._headers()).select("path", "band", "data_type", "nodata")
         stats = tiff.raster_band_stats(self.spark, self.path)
-        stats = stats.withColumn("_file", _plain_path(F.col("path"))).drop("path", "valid_count")
+        stats = stats.withColumn("_file", _plain_path(F.col("path"))).drop("path", "valid_count", "error")
         per_band = bands.withColumn("_file", _plain_path(F.col("path"))).join(stats, ["_file", "band"], "left")
         entry = F.struct("band", "data_type", "nodata", "min", "max", "mean", "stddev")
         listed = per_band.groupBy("path").agg(F.sort_array(F.collect_list(entry)).alias("bands"))

@@ -9,10 +9,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerscan.functions.geometry import geometry_name
+from layerscan.functions.paths import below
 from layerscan.functions.types import field_type_name
 from layerscan.operators.profile import extent_of
 from layerscan.sources.discovery import list_files
@@ -27,10 +28,9 @@ FOOTER_SCHEMA = """
 """
 
 
-def layer_of(path, root: str):
-    """Layer name of a file path below the root."""
-    inner = F.regexp_replace(F.substring_index(path, root.rstrip("/") + "/", -1), "^/+", "")
-    return F.regexp_extract(inner, LAYER_PATTERN, 1)
+def layer_of(path: Column, root: str) -> Column:
+    """Layer name of a file path: the first name below the root, without its ending."""
+    return F.regexp_extract(below(path, root), LAYER_PATTERN, 1)
 
 
 def container_files(spark: SparkSession, root: str) -> DataFrame:

@@ -9,6 +9,7 @@ from layerscan.functions.paths import (
     RASTER_EXTENSIONS,
     SHAPEFILE_EXTENSION,
     basename,
+    below,
     extension,
     format_of,
     is_hidden,
@@ -59,16 +60,16 @@ def classify_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
-def fold_datasets(files: DataFrame, below: str = "") -> DataFrame:
+def fold_datasets(files: DataFrame, root: str = "") -> DataFrame:
     """Fold a file listing into datasets with their size.
 
     Files inside a geodatabase count towards that geodatabase, the sidecars of a
     shapefile towards the shapefile; hidden entries, sidecars without a shapefile and
     other files are left out. Sums are partial before the shuffle, so one huge container
-    is no hot group. ``below`` is the root, whose own name may start with a dot.
+    is no hot group. Only names below ``root`` count as hidden, not its own.
     """
     path, ext, container = F.col("path"), F.col("_ext"), F.col("_container")
-    visible = files.where(~is_hidden(F.substring(path, len(below) + 1, 1 << 30))).select(
+    visible = files.where(~is_hidden(below(path, root) if root else path)).select(
         "path",
         "length",
         F.when(path.rlike(r"(?i)\.shp\.xml$"), F.lit("shp.xml")).otherwise(extension(path)).alias("_ext"),
@@ -108,7 +109,7 @@ def fold_datasets(files: DataFrame, below: str = "") -> DataFrame:
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """All datasets below a folder, with size; one row each."""
-    return fold_datasets(list_files(spark, root))
+    return fold_datasets(list_files(spark, root), root)
 
 
 def raster_layers(datasets: DataFrame) -> DataFrame:

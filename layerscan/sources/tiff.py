@@ -411,9 +411,10 @@ def _add_block(total: list, values: np.ndarray) -> None:
 
 
 def raster_band_stats(spark: SparkSession, path: str, by: list[str] | None = None) -> DataFrame:
-    """Exact band statistics of all readable TIFFs at or below a path."""
+    """Exact band statistics of all TIFFs at or below a path; an unreadable file has no
+    band but an ``error``."""
     parts = spark.read.format("raster").option("mode", "parts").load(path)
-    return merge_band_parts(parts.where(F.col("error").isNull()), by or ["path", "band"])
+    return merge_band_parts(parts, by or ["path", "band"])
 
 
 # --- headers ----------------------------------------------------------------------

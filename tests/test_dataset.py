@@ -42,6 +42,14 @@ def test_discovery(spark, tree):
     assert [r.layer for r in raster_layers(discover(spark, str(tree))).collect()] == ["dem", "ortho"]
 
 
+def test_discovery_below_a_hidden_root(spark, tmp_path):
+    root = tmp_path / ".data"
+    (root / ".no").mkdir(parents=True)
+    for name in ("a.tif", ".no/b.tif"):
+        (root / name).write_text("x")
+    assert [r.layer for r in discover(spark, str(root)).collect()] == ["a"]
+
+
 def test_shapefile_questions(spark, tree):
     single = layerscan.open_dataset(spark, str(tree / "vector" / "cities.shp"))
     info = single.info().first()
