@@ -28,6 +28,14 @@ from layerscan.sources.files import path_exists
 SHORT_FIELDS = "transform(fields, f -> struct(f.name AS name, f.type AS type, f.width AS width))"
 BOX = ("xmin", "xmax", "ymin", "ymax")
 
+# What is said when there is no answer.
+LAYER_NOT_FOUND = "Layer not found: "
+NO_LAYERS = "No layers in dataset"
+CANNOT_OPEN = "Could not open dataset"
+NO_SHAPEFILE = "No shapefile found"
+CANNOT_OPEN_RASTER = "Could not open raster dataset"
+NO_RASTER_PEEK = "Peek is not supported for raster datasets; ask for info or schema instead."
+
 # Layer type name for a geometry name.
 LAYER_TYPE_NAMES = {
     "POINT": "Point",
@@ -146,7 +154,7 @@ class Dataset:
         if layer is None:
             return answer
         if not self._has(layer):
-            return error_row(self.spark, f"Layer not found: {layer}")
+            return error_row(self.spark, LAYER_NOT_FOUND + layer)
         return answer.where(F.col("layer") == layer)
 
     def _has(self, layer: str) -> bool:
@@ -171,7 +179,7 @@ class Dataset:
         return self._of_layer(self.catalog().select("layer", "crs", "extent", "error"), layer)
 
     def _cannot_open(self) -> str:
-        return "Could not open dataset"
+        return CANNOT_OPEN
 
     def _with_layer(self, layer: str | None, then: Callable[[str], DataFrame]) -> DataFrame:
         """Run on the named layer, or on the first one when none is named."""
@@ -179,8 +187,8 @@ class Dataset:
             return error_row(self.spark, self._cannot_open())
         if layer is None:
             layer = self.first_layer()
-            return error_row(self.spark, "No layers in dataset") if layer is None else then(layer)
-        return then(layer) if self._has(layer) else error_row(self.spark, f"Layer not found: {layer}")
+            return error_row(self.spark, NO_LAYERS) if layer is None else then(layer)
+        return then(layer) if self._has(layer) else error_row(self.spark, LAYER_NOT_FOUND + layer)
 
     def peek(self, limit: int = PREVIEW_ROWS, layer: str | None = None) -> DataFrame:
         """The first rows of a layer in key order."""
@@ -366,7 +374,7 @@ class Shapefile(Dataset):
         return super().extent(self._one(layer)) if self.exists() else super().extent(layer)
 
     def _cannot_open(self) -> str:
-        return "No shapefile found"
+        return NO_SHAPEFILE
 
 
 class Raster(Dataset):
@@ -416,9 +424,7 @@ class Raster(Dataset):
         return self._of_layer(found, layer)
 
     def peek(self, limit: int = PREVIEW_ROWS, layer: str | None = None) -> DataFrame:
-        return error_row(
-            self.spark, "Peek is not supported for raster datasets; ask for info or schema instead."
-        )
+        return error_row(self.spark, NO_RASTER_PEEK)
 
     summary = rows = search = matches = peek
 
@@ -427,7 +433,7 @@ class Raster(Dataset):
         return self.spark.read.format("raster").load(self.path)
 
     def _cannot_open(self) -> str:
-        return "Could not open raster dataset"
+        return CANNOT_OPEN_RASTER
 
 
 def _plain_path(path: Column) -> Column:
