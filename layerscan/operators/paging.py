@@ -12,6 +12,8 @@ PREVIEW_ROWS = 10
 FIRST_PAGE_ROWS = 200
 NEXT_PAGE_ROWS = 500
 
+TOP_ROWS = 10_000
+
 
 def feature_rows(df: DataFrame, key: str, geometry: Column | None = None) -> DataFrame:
     """Rows as features: ``fid``, all attributes, then the geometry name (null without one).
@@ -37,7 +39,10 @@ def preview(
     if limit <= 0:
         return df.limit(0)
     end = key_at(df if keys is None else keys, key, limit)
-    return (df if end is None else df.where(F.col(key) < end)).orderBy(key).limit(limit)
+    rows = (df if end is None else df.where(F.col(key) < end)).orderBy(key)
+    # The filter is exact already. A limit saves the sort's shuffle while few rows are
+    # asked for; for many it would hold them all in one place.
+    return rows.limit(limit) if limit <= TOP_ROWS else rows
 
 
 def preview_summary(df: DataFrame, limit: int = PREVIEW_ROWS) -> DataFrame:

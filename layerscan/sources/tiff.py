@@ -51,6 +51,9 @@ COMPRESSIONS = {1: "none", 2: "CCITT", 5: "LZW", 6: "JPEG", 7: "JPEG", 8: "defla
                 32946: "deflate", 34925: "LZMA", 50000: "ZSTD"}
 UNIT_NAMES = {9001: "metre", 9002: "foot", 9003: "US survey foot", 9101: "radian", 9102: "degree"}
 CRS_NAMES = {4326: "WGS 84", 4269: "NAD83", 4258: "ETRS89", 3857: "WGS 84 / Pseudo-Mercator"}
+# First code, number of codes, base name and hemisphere of UTM zones.
+UTM_RANGES = [(32601, 60, "WGS 84", "N"), (32701, 60, "WGS 84", "S"), (25828, 11, "ETRS89", "N"),
+              (26901, 23, "NAD83", "N")]
 
 # Type name and numpy code by (sample format, bits per sample).
 SAMPLE_TYPES = {
@@ -177,7 +180,8 @@ class Raster:
             return f"Unsupported compression: {COMPRESSIONS.get(method, method)}"
         if self.sample[1] is None or len(set(self.tags.get(BITS, (1,)))) > 1:
             return f"Unsupported sample type: {self.sample[0]}"
-        if self.one(PREDICTOR, 1) not in (1, 2):
+        allowed = (1, 3) if self.sample[1].startswith("f") else (1, 2)
+        if self.one(PREDICTOR, 1) not in allowed:
             return f"Unsupported predictor: {self.one(PREDICTOR)}"
         return None
 
@@ -237,8 +241,9 @@ class Raster:
 
 
 def _crs_name(code: int | None) -> str | None:
-    if code is not None and (32601 <= code <= 32660 or 32701 <= code <= 32760):
-        return f"WGS 84 / UTM zone {code % 100}{'N' if code < 32700 else 'S'}"
+    for first, zones, base, half in UTM_RANGES:
+        if code is not None and first <= code < first + zones:
+            return f"{base} / UTM zone {code % 100}{half}"
     return CRS_NAMES.get(code)
 
 
@@ -269,12 +274,27 @@ def read_block(handle, raster: Raster, index: int) -> tuple[int, int, int, np.nd
         data = handle.read(size)
         if raster.one(COMPRESSION, 1) != 1:
             data = zlib.decompress(data)
-        samples = np.frombuffer(data, dtype, stored * width * depth).reshape(shape)
-        if raster.one(PREDICTOR, 1) == 2:
+        predictor = raster.one(PREDICTOR, 1)
+        if predictor == 3:
+            samples = _undo_float_predictor(data, shape, dtype)
+        else:
+            samples = np.frombuffer(data, dtype, stored * width * depth).reshape(shape)
+        if predictor == 2:
             samples = np.cumsum(samples, axis=1, dtype=dtype.newbyteorder("="))
     return first_band + 1, top, left, samples[: raster.rows - top, : raster.columns - left]
 
 
+def _undo_float_predictor(data: bytes, shape: tuple[int, int, int], dtype: np.dtype) -> np.ndarray:
+    """Floats stored line by line as planes of bytes, highest byte first, each byte as the
+    difference from the one before it in its band."""
+    height, width, depth = shape
+    size = dtype.itemsize
+    raw = np.frombuffer(data, np.uint8, height * width * depth * size)
+    planes = np.cumsum(raw.reshape(height, size * width, depth), axis=1, dtype=np.uint8)
+    joined = planes.reshape(height, size, width * depth).transpose(0, 2, 1)
+    return np.ascontiguousarray(joined).view(f">f{size}").reshape(shape)
+
+
 # --- source -----------------------------------------------------------------------
 
 PIXEL_SCHEMA = "path STRING, band INT, row INT, col INT, value DOUBLE, nodata DOUBLE, error STRING"

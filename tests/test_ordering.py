@@ -68,6 +68,14 @@ def test_preview(spark, small_buckets, limit):
     assert got == keys[: max(limit, 0)]
 
 
+def test_large_preview_is_not_held_in_one_place(spark, small_buckets, monkeypatch):
+    monkeypatch.setattr(paging, "TOP_ROWS", 5)
+    keys = bunched_keys()
+    shown = paging.preview(layer(spark, keys), "fid", 300)
+    assert [r.fid for r in shown.collect()] == keys[:300]
+    assert "TakeOrdered" not in shown._jdf.queryExecution().executedPlan().toString()
+
+
 def test_preview_summary(spark):
     df = layer(spark, range(100))
     assert tuple(paging.preview_summary(df, 3).first()) == (100, 3)

@@ -77,6 +77,14 @@ def tiled(image, size, compress=True, predictor=1, separate=False, method=8):
                 block = np.zeros((size, size, part.shape[2]), image.dtype)
                 cut = part[top : top + size, left : left + size]
                 block[: cut.shape[0], : cut.shape[1]] = cut
+                if predictor == 3:
+                    width, depth, item = size, part.shape[2], image.dtype.itemsize
+                    planes = block.astype(f">f{item}").view("u1").reshape(size, width * depth, item)
+                    planes = planes.transpose(0, 2, 1).reshape(size, item * width, depth)
+                    block = np.diff(planes, axis=1, prepend=np.zeros((size, 1, depth), "u1"))
+                    raw = block.astype("u1").tobytes()
+                    blocks.append(zlib.compress(raw) if compress else raw)
+                    continue
                 if predictor == 2:
                     block = np.diff(block, axis=1, prepend=np.zeros((size, 1, part.shape[2]), image.dtype))
                 raw = block.astype(image.dtype).tobytes()
@@ -114,6 +122,14 @@ def test_float_tiles_with_nan(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("Float32", 16, 16, None)]
 
 
+@pytest.mark.parametrize("dtype", ["<f4", "<f8"])
+def test_float_predictor(spark, tmp_path, dtype):
+    image = (grid(20, 19, 2, "<f8") / 7).astype(dtype)
+    path = tmp_path / "p.tif"
+    path.write_bytes(tiled(image, 16, predictor=3))
+    assert pixels_of(spark, path) == expected_pixels(image)
+
+
 def test_colour_roles(spark, tmp_path):
     path = tmp_path / "rgba.tif"
     path.write_bytes(tiled(np.abs(grid(4, 4, 4, "<i2")).astype("<u1"), 16))
