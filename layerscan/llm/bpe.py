@@ -13,7 +13,8 @@ Decoding gathers from one block of token bytes through a table of offsets.
 from __future__ import annotations
 
 import json
-from array import array
+import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from layerscan.llm.tokens import Words
 
+#: A word that needs no cutting.
+_ONE_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Answers kept in the table of pairs.
 REMEMBERED_PAIRS = 400_000
 #: Words as the byte-level tokenizers cut them; white space by its Unicode property.
@@ -69,7 +72,8 @@ class ByteBpe:
             self.joined[pair] = rank[text]
         self.length = [len(t) for t in texts]
         in_file = {as_bytes(token): i for token, i in vocabulary.items()}
-        self.file_id = [in_file[t] for t in texts]
+        file_id = [in_file[t] for t in texts]
+        self.id_bytes = [struct.pack("<I", i) for i in file_id]
 
         self.automaton = ahocorasick.Automaton()
         for number, text in enumerate(texts):
@@ -87,9 +91,9 @@ class ByteBpe:
         self.word = regex.compile(WORD)
         self.words = Words(self._encode_part, keep_whole=self.special)
 
-        size = 1 + max([*self.file_id, *self.special.values()])
+        size = 1 + max([*file_id, *self.special.values()])
         of_id = [b""] * size
-        for number, text in zip(self.file_id, texts, strict=True):
+        for number, text in zip(file_id, texts, strict=True):
             of_id[number] = text
         for content, number in self.special.items():
             of_id[number] = content.encode()
@@ -124,49 +128,57 @@ class ByteBpe:
                 return True
 
     def _fits(self, left: int, right: int) -> bool:
-        known = self.may_follow.get((left, right))
-        if known is None:
-            if len(self.may_follow) >= REMEMBERED_PAIRS:
-                self.may_follow.clear()
-            known = self.may_follow[left, right] = self._compatible(left, right)
+        """The answer for a pair that the table doesn't have yet."""
+        if len(self.may_follow) >= REMEMBERED_PAIRS:
+            self.may_follow.clear()
+        known = self.may_follow[left, right] = self._compatible(left, right)
         return known
 
     def encode_word(self, text: bytes) -> list[int]:
         """Ranks of the tokens of one word."""
-        size, length = len(text), self.length
+        size, length, may_follow = len(text), self.length, self.may_follow
         longest = [-1] * size
         for end, token in self.automaton.iter(text.decode("latin-1")):
             longest[end + 1 - length[token]] = token  # a later end means a longer token
-        if length[longest[0]] == size:
-            return [longest[0]]
+        token = longest[0]
+        if length[token] == size:
+            return [token]
         usable = bytearray(b"\x01") * (size + 1)
         tokens: list[int] = []
-        at, token = 0, longest[0]
+        at, last = 0, -1
         while True:
             end = at + length[token]
-            if usable[end] and (not tokens or self._fits(tokens[-1], token)):
-                tokens.append(token)
-                if end == size:
-                    return tokens
-                at, token = end, longest[end]
-                continue
+            if usable[end]:
+                fits = last < 0 or may_follow.get((last, token))
+                if fits is None:
+                    fits = self._fits(last, token)
+                if fits:
+                    tokens.append(token)
+                    if end == size:
+                        return tokens
+                    at, last, token = end, token, longest[end]
+                    continue
             token = self.shorter[token]
             while token < 0:
                 usable[at] = 0
                 last = tokens.pop()
                 at -= length[last]
                 token = self.shorter[last]
+                last = tokens[-1] if tokens else -1
 
     def _encode_part(self, text: str) -> bytes:
-        ids: list[int] = []
-        pieces = self.special_words.split(text) if self.special_words else [text]
-        for piece in pieces:
+        id_bytes = self.id_bytes
+        if _ONE_WORD.fullmatch(text):
+            return b"".join([id_bytes[x] for x in self.encode_word(text.encode())])
+        ids: list[bytes] = []
+        special = self.special_words and any(x in text for x in self.special)
+        for piece in self.special_words.split(text) if special else [text]:
             if piece in self.special:
-                ids.append(self.special[piece])
+                ids.append(struct.pack("<I", self.special[piece]))
             elif piece:
                 for word in self.word.findall(piece):
-                    ids += [self.file_id[x] for x in self.encode_word(word.encode())]
-        return array("I", ids).tobytes()
+                    ids += [id_bytes[x] for x in self.encode_word(word.encode())]
+        return b"".join(ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

@@ -13,7 +13,7 @@ from array import array
 from functools import lru_cache
 
 #: Parts kept in each of the two generations of the memory.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 #: A space between two white characters, or between one and the end, is not a safe cut.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _SAFE = re.compile(r" (?=\S)")
@@ -50,7 +50,11 @@ class Words(dict):
         return found
 
     def _ids(self, part: str) -> bytes:
-        if self.keep_whole and any(x in part for x in self.keep_whole):
+        if part.isalpha():
+            if self.fold and (low := part.lower()) != part and _PLAIN_CASE.fullmatch(part):
+                return self[low]
+            return self.encode(" " + part)
+        if any(x in part for x in self.keep_whole):
             return self.encode(" " + part)
         if "\n" in part:
             first, *lines = _LINE.split(part)
