@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerscan.llm import bpe, packing, records, toxicity
+from layerscan.llm import bpe, packing, quality_rules, records, toxicity
 from layerscan.session import configure, shared_folder
 
 
@@ -44,6 +44,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    found = quality_rules.verdicts(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
 def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to framed files and read back from them."""
     documents = _table(spark, sf_dir, "documents")
@@ -67,6 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
+    "op7_quality_rules": op7_quality_rules,
     "op8_records": op8_records,
     "op10_toxicity": op10_toxicity,
 }
