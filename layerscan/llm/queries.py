@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerscan.llm import bpe, packing, quality_rules, records, toxicity
+from layerscan.llm import bpe, packing, quality_rules, records, sharding, toxicity
 from layerscan.session import configure, shared_folder
 
 
@@ -44,6 +44,24 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHARDS = 8
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, and its shard when there is one more."""
+    shards = sharding.tree(SHARDS)
+    grown = sharding.shard_of(F.col("doc_id"), sharding.with_shard(shards))
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    sized = _table(spark, sf_dir, "documents").select(
+        "doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    placed = sharding.with_slots(sharding.assign(sized, shards))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+        grown.alias("grown_shard"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     found = quality_rules.verdicts(_table(spark, sf_dir, "documents"))
@@ -76,6 +94,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
+    "op3_sharding": op3_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_records": op8_records,
     "op10_toxicity": op10_toxicity,
