@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerscan.llm import bpe, packing, quality_rules, records, sharding, toxicity
+from layerscan.llm import bpe, html_text, packing, quality_rules, records, sharding, toxicity
 from layerscan.session import configure, shared_folder
 
 
@@ -82,6 +82,12 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_pages(pages).withColumn("n_chars", F.char_length("text"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from the labels that are not held out."""
     documents = _table(spark, sf_dir, "documents")
@@ -97,6 +103,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_records": op8_records,
+    "op9_html": op9_html,
     "op10_toxicity": op10_toxicity,
 }
 
