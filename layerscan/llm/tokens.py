@@ -14,6 +14,7 @@ from functools import lru_cache
 
 #: Parts kept in each of the two generations of the memory.
 REMEMBERED = 200_000
+REMEMBERED_LIBRARY = 400_000
 #: A space between two white characters, or between one and the end, is not a safe cut.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _SAFE = re.compile(r" (?=\S)")
@@ -97,9 +98,33 @@ def library_words(path: str, code: str) -> Words:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
+    fold = tokenizer.normalizer is not None and "Lowercase" in str(tokenizer.normalizer)
+    added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+    plain, spelled, before = _plain_words(tokenizer)
+    merge = tokenizer.model.tokenize
+
     def encode(text: str) -> bytes:
+        if plain is not None and text[0] == " " and plain(text, 1):
+            tokens = merge(before + text[1:].translate(spelled))
+            return array(code, [t.id for t in tokens]).tobytes()
         return array(code, tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-    fold = tokenizer.normalizer is not None and "Lowercase" in str(tokenizer.normalizer)
-    return Words(encode, keep_whole=added, fold=fold)
+    return Words(encode, added, fold, REMEMBERED_LIBRARY)
+
+
+def _plain_words(tokenizer):
+    """What words go straight to the model of a byte-level tokenizer: a test for them, how
+    their letters are spelled for the model, and what stands for the space before.
+
+    Only letters that the tokenizer's normalizer leaves alone, and that it does not cut between.
+    """
+    letters = [c for c in map(chr, range(33, 256)) if c.isalpha()]
+    if tokenizer.normalizer is not None:
+        letters = [c for c in letters if tokenizer.normalizer.normalize_str(c) == c]
+    cut = tokenizer.pre_tokenizer.pre_tokenize_str(" " + "".join(letters))
+    spelled = {c: tokenizer.pre_tokenizer.pre_tokenize_str("a" + c)[0][0][1:] for c in letters}
+    whole = "".join(spelled.values())
+    if len(cut) != 1 or not cut[0][0].endswith(whole):
+        return None, {}, ""
+    plain = re.compile("[" + "".join(letters) + "]+").fullmatch
+    return plain, str.maketrans(spelled), cut[0][0].removesuffix(whole)
