@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerscan.llm import bpe, html_text, packing, quality_rules, records, sharding, toxicity
+from layerscan.llm import bpe, html_text, near_dedup, packing, quality_rules, records, sharding, toxicity
 from layerscan.session import configure, shared_folder
 
 
@@ -62,6 +62,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document."""
+    found = near_dedup.classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("stays"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     found = quality_rules.verdicts(_table(spark, sf_dir, "documents"))
@@ -101,6 +107,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
+    "op4_near_dedup": op4_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_records": op8_records,
     "op9_html": op9_html,
