@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerscan.llm import bpe, html_text, near_dedup, packing, quality_model, quality_rules, records, sharding, toxicity
+from layerscan.llm import bpe, html_text, near_dedup, nearest, packing, quality_model, quality_rules, records, sharding, toxicity
 from layerscan.session import configure, shared_folder
 
 
@@ -68,6 +68,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("stays"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
+    rows = nearest.usable(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return nearest.search(rows, rows.filter(F.col("id") % 100 == 0))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from the labels that are not held out."""
     documents, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
@@ -115,6 +121,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
     "op4_near_dedup": op4_near_dedup,
+    "op5_nearest": op5_nearest,
     "op6_quality": op6_quality,
     "op7_quality_rules": op7_quality_rules,
     "op8_records": op8_records,
