@@ -201,11 +201,10 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Mod
     return Model(weights, learned[-1] + float(np.log(toxic_share / (1 - toxic_share))))
 
 
-def scores(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
+def score(documents: DataFrame, model: Model) -> Column:
+    """The score (0 to 1) of the ``text`` of ``documents``, as a column of it.
 
-    Null and empty texts get the score of a text without features. Rows do not move;
-    repeated ones are scored again. Columns called ``score`` or ``predicted`` are replaced.
+    Null and empty texts get the score of a text without features.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the input
 
@@ -213,6 +212,19 @@ def scores(documents: DataFrame, model: Model) -> DataFrame:
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([shared.value.score(t) for t in texts], dtype=float)
 
-    return documents.withColumn("score", of("text")).withColumn(
-        "predicted", (F.col("score") >= 0.5).cast("int")
-    )
+    return of(documents["text"])
+
+
+def scores(documents: DataFrame, model: Model) -> DataFrame:
+    """``documents`` with ``score`` and ``predicted`` (1 from 0.5 on).
+
+    Rows do not move; repeated ones are scored again. Columns called ``score`` or
+    ``predicted`` are replaced.
+    """
+    scored = documents.withColumn("score", score(documents, model))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep(documents: DataFrame, model: Model) -> DataFrame:
+    """The documents that are not toxic, with all their columns."""
+    return documents.filter(score(documents, model) < 0.5)
