@@ -8,10 +8,11 @@ in a coordinate with a chance of their weighted Jaccard similarity. Only about
 k (ln k + 2) darts are looked at however large the document is.
 
 Texts are reduced to one each first. Bands of the signature make buckets. In a bucket every
-text is compared with one leader, exactly, by its shingle set; those that differ from it go
-into another round with a leader among themselves, until no bucket has two left. So a bucket
-of any size costs its size for each round, and no pairs within it are listed. Each band picks
-its leaders by another hash. Connected links are the classes.
+text is compared, exactly and by its whole shingle set, with one leader: the one that meets most
+others in its buckets, which in a group of copies is the text they were made from. Links make
+classes. Only texts outside the largest class of a bucket then meet the others there. So a
+large group costs its size in each bucket, its pairs are not listed, and yet no two similar
+texts that share a bucket stay apart.
 """
 
 from __future__ import annotations
@@ -199,58 +200,84 @@ def _written(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.parquet(folder)
 
 
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """``bucket``, ``node`` and the node's ``degree`` for every bucket that has two nodes or
+    more. A node's degree is how many others it meets in its buckets, summed."""
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    counts = members.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1")
+    shared = _written(_salted(members, counts, ["bucket"]), "buckets")
+    degree = shared.groupBy("node").agg(F.sum("many").alias("degree"))
+    return _written(shared.join(degree, "node").select("bucket", "node", "degree"), "buckets")
+
+
+def _salted(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Join with a table that has one row for each key, a frequent key dealt to several tasks."""
+    salt = F.pmod(F.xxhash64("node.text_key"), F.lit(SALTS)).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    few = few.withColumn("salt", salts)
+    return rows.withColumn("salt", salt).join(few, [*keys, "salt"]).drop("salt")
+
+
+def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a``, ``b`` whose shingle sets are similar enough."""
+    ours = sets.select(F.col("node").alias("a"), F.col("set").alias("ours"))
+    theirs = sets.select(F.col("node").alias("b"), F.col("set").alias("theirs"))
+    common = F.size(F.array_intersect("ours", "theirs"))
+    return (
+        pairs.join(ours, "a")
+        .join(theirs, "b")
+        .select("a", "b", F.size("ours").alias("m"), F.size("theirs").alias("n"), common.alias("c"))
+        .filter(F.col("c") >= similarity * (F.col("m") + F.col("n") - F.col("c")))
+        .select("a", "b")
+    )
+
+
 def links(documents: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs of nodes (``a``, ``b``) whose texts are at least so similar."""
-    spark = documents.sparkSession
-    open_ = nodes.select("node", F.explode("bands").alias("bucket"))
-    sets, found, round_ = None, None, 0
-    while True:
-        leader = F.min_by("node", F.xxhash64("node.text_key", "bucket")).alias("leader")
-        leaders = open_.groupBy("bucket").agg(leader, F.count("*").alias("many"))
-        leaders = leaders.filter(F.col("many") > 1).select(
-            "bucket", "leader", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        )
-        salt = F.pmod(F.xxhash64("node.text_key"), F.lit(SALTS)).cast("int")
-        paired = _written(
-            open_.withColumn("salt", salt)
-            .join(leaders, ["bucket", "salt"])
-            .filter(F.col("node") != F.col("leader"))
-            .select("bucket", "node", "leader"),
-            "buckets",
-        )
-        if paired.isEmpty():
-            break
-        pairs = paired.select("node", "leader").distinct()
-        if sets is None:  # later rounds have no other texts than the first
-            wanted = pairs.select(F.explode(F.array("node", "leader")).alias("node")).distinct()
-            texts = documents.select(
-                F.struct(_doc_key().alias("first"), _text_key().alias("text_key")).alias("node"), "text"
-            )
-            sets = _written(
-                texts.join(wanted, "node", "left_semi")
-                .dropDuplicates(["node"])
-                .select("node", _shingles_of("text").alias("set")),
-                "shingles",
-            )
-        mine = sets.withColumnRenamed("set", "mine")
-        theirs = sets.select(F.col("node").alias("leader"), F.col("set").alias("theirs"))
-        common = F.size(F.array_intersect("mine", "theirs"))
-        judged = _written(
-            pairs.join(mine, "node")
-            .join(theirs, "leader")
-            .select("node", "leader", F.size("mine").alias("m"), F.size("theirs").alias("n"), common.alias("c"))
-            .select("node", "leader", (F.col("c") >= similarity * (F.col("m") + F.col("n") - F.col("c"))).alias("near")),
-            "pairs",
-        )
-        near = judged.filter("near").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-        found = near if found is None else found.union(near)
-        far = judged.filter("not near").select("node", "leader")
-        open_ = paired.join(far, ["node", "leader"], "left_semi").select("node", "bucket")
-        round_ += 1
-    if found is None:
-        kind = nodes.schema["node"].dataType.simpleString()
-        found = spark.createDataFrame([], f"a {kind}, b {kind}")
-    return found
+    """Pairs of nodes (``a``, ``b``) whose texts are at least so similar: enough of them to
+    connect all that some similar pair in a common bucket connects."""
+    buckets = _buckets(nodes)
+    texts = documents.select(
+        F.struct(_doc_key().alias("first"), _text_key().alias("text_key")).alias("node"), "text"
+    )
+    sets = _written(
+        texts.join(buckets.select("node").distinct(), "node", "left_semi")
+        .dropDuplicates(["node"])
+        .select("node", _shingles_of("text").alias("set")),
+        "shingles",
+    )
+    rank = F.struct("degree", "node")
+    leaders = buckets.groupBy("bucket").agg(F.max_by("node", rank).alias("leader"))
+    pairs = (
+        _salted(buckets, leaders, ["bucket"])
+        .filter(F.col("node") != F.col("leader"))
+        .select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        .distinct()
+    )
+    first = _written(_near(pairs, sets, similarity), "links")
+
+    # What is not connected to the largest class of its bucket meets all others there.
+    roots = components(first)
+    placed = _written(
+        buckets.join(roots, "node", "left").select(
+            "bucket", "node", F.coalesce("root", "node").alias("root")
+        ),
+        "buckets",
+    )
+    held = placed.groupBy("bucket", "root").agg(F.count("*").alias("many"))
+    largest = held.groupBy("bucket").agg(
+        F.max_by("root", F.struct("many", "root")).alias("largest"), F.count("*").alias("roots")
+    ).filter("roots > 1").select("bucket", "largest")
+    mixed = _written(_salted(placed, largest, ["bucket"]), "buckets")
+    outside = mixed.filter(F.col("root") != F.col("largest")).select(
+        "bucket", F.col("node").alias("a"), F.col("root").alias("outside_root")
+    )
+    more = (
+        mixed.join(outside, "bucket")
+        .filter(F.col("root") != F.col("outside_root"))
+        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        .distinct()
+    )
+    return first.union(_written(_near(more, sets, similarity), "links"))
 
 
 def components(pairs: DataFrame) -> DataFrame:

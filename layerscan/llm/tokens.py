@@ -1,8 +1,8 @@
 """Ids of whole texts, one word at a time, with a memory of words already seen.
 
 A BPE tokenizer that first cuts text into words never joins what lies before a space with
-the space. So a text may be cut in front of every space that has a visible character on one
-of its sides, and the parts encoded on their own. Most parts repeat, and a repeated one costs a
+the space. So a text may be cut in front of every space that a visible character follows, and
+the parts encoded on their own. Most parts repeat, and a repeated one costs a
 dictionary look-up. The memory has a fixed size; forgetting only costs time.
 """
 
@@ -15,14 +15,16 @@ from functools import lru_cache
 #: Parts kept in each of the two generations of the memory.
 REMEMBERED = 200_000
 REMEMBERED_LIBRARY = 400_000
-#: A space between two white characters, or between one and the end, is not a safe cut.
-_UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _SAFE = re.compile(r" (?=\S)")
 _LINE = re.compile(r"(?<=\S)(?=\n)")
 _TAIL = re.compile(r"(.*[A-Za-z])([!-/:-@\[-^`{-~]+)", re.S)
 _PLAIN_CASE = re.compile(r"[\x00-į]*")
 
 
+class _Unsafe(Exception):
+    """A part that begins with white space, or has nothing: what lies before it matters."""
+
+
 class Words(dict):
     """Ids, as bytes, of a space followed by the key.
 
@@ -40,6 +42,8 @@ class Words(dict):
         self.starts: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace():
+            raise _Unsafe
         found = self.before.get(part)
         if found is None:
             found = self._ids(part)
@@ -78,12 +82,15 @@ class Words(dict):
         """Ids of a whole text; null is taken as empty."""
         if not text:
             return b""
-        parts = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
-        first = parts[0]
-        parts[0] = ""
-        ids = list(map(self.__getitem__, parts))
-        ids[0] = self.encode(first) if first else b""
-        return b"".join(ids)
+        try:
+            return self._joined(text.split(" "))
+        except _Unsafe:
+            return self._joined(_SAFE.split(text))
+
+    def _joined(self, parts: list[str]) -> bytes:
+        rest = iter(parts)
+        first = next(rest)
+        return b"".join([self.encode(first) if first else b"", *map(self.__getitem__, rest)])
 
 
 @lru_cache(maxsize=4)
