@@ -13,7 +13,7 @@ from array import array
 from functools import lru_cache
 
 #: Parts kept in each of the two generations of the memory.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 REMEMBERED_LIBRARY = 400_000
 _SAFE = re.compile(r" (?=\S)")
 _LINE = re.compile(r"(?<=\S)(?=\n)")
