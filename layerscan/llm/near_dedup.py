@@ -10,9 +10,10 @@ k (ln k + 2) darts are looked at however large the document is.
 Texts are reduced to one each first. Bands of the signature make buckets. In a bucket every
 text is compared, exactly and by its whole shingle set, with one leader: the one that meets most
 others in its buckets, which in a group of copies is the text they were made from. Links make
-classes. Only texts outside the largest class of a bucket then meet the others there. So a
-large group costs its size in each bucket, its pairs are not listed, and yet no two similar
-texts that share a bucket stay apart.
+classes. Only texts outside the largest class of a bucket then meet others, and by a prefix
+filter: ordered from the rarest, similar texts share one of their first shingles, at places
+that leave enough of both to share. So a large group costs its size in each bucket, its
+pairs are not listed, and yet no two similar texts that share a bucket stay apart.
 """
 
 from __future__ import annotations
@@ -267,19 +268,51 @@ def links(documents: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
     largest = held.groupBy("bucket").agg(
         F.max_by("root", F.struct("many", "root")).alias("largest"), F.count("*").alias("roots")
     ).filter("roots > 1").select("bucket", "largest")
-    mixed = _written(_salted(placed, largest, ["bucket"]), "buckets")
-    outside = mixed.filter(F.col("root") != F.col("largest")).select(
-        "bucket", F.col("node").alias("a"), F.col("root").alias("outside_root")
+    mixed = _salted(placed, largest, ["bucket"])
+    mixed = _written(
+        mixed.groupBy("node", "root").agg(
+            F.max(F.col("root") != F.col("largest")).alias("outside")
+        ),
+        "mixed",
     )
-    more = (
-        mixed.join(outside, "bucket")
-        .filter(F.col("root") != F.col("outside_root"))
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        .distinct()
+    starts = _written(_starts(mixed, sets, similarity), "starts")
+    # The first shingle two texts share, in the common order, bounds how many they share.
+    needed = similarity / (1 + similarity) * (F.col("m.n") + F.col("o.n"))
+    reach = 1 + F.least(F.col("m.n") - F.col("m.at"), F.col("o.n") - F.col("o.at"))
+    met = starts.alias("m").join(
+        starts.filter("outside").alias("o"),
+        (F.col("m.shingle") == F.col("o.shingle"))
+        & (F.col("m.root") != F.col("o.root"))
+        & (reach + 1e-6 >= needed),
     )
+    more = met.select(
+        F.least("m.node", "o.node").alias("a"), F.greatest("m.node", "o.node").alias("b")
+    ).distinct()
     return first.union(_written(_near(more, sets, similarity), "links"))
 
 
+def _starts(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rarest shingles of each node, as many as similar texts must share one of:
+    ``shingle``, its place ``at`` from 1 in order of rarity, and the node's size ``n``."""
+    rows = sets.join(nodes, "node").select("node", "root", "outside", F.explode("set").alias("shingle"))
+    rarity = rows.groupBy("shingle").agg(F.count("*").alias("nodes"))
+    ranked = F.sort_array(F.collect_list(F.struct("nodes", "shingle")))
+    ordered = (
+        rows.join(rarity, "shingle")
+        .groupBy("node", "root", "outside")
+        .agg(ranked.alias("ranked"))  # a text's own shingles
+        .withColumn("n", F.size("ranked"))
+    )
+    count = (F.col("n") - F.ceil(F.lit(similarity - 1e-9) * F.col("n")) + 1).cast("int")
+    return (
+        ordered.select(
+            "node", "root", "outside", "n", F.posexplode(F.slice("ranked", F.lit(1), count)).alias("at", "e")
+        )
+        .filter("e.nodes > 1")
+        .select("node", "root", "outside", "n", (F.col("at") + 1).alias("at"), F.col("e.shingle").alias("shingle"))
+    )
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node it is connected with) of every node in ``pairs``.
 
