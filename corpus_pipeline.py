@@ -13,31 +13,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from layerscan.llm import near_dedup, quality_rules, toxicity
-from layerscan.llm.queries import packed_documents
-from layerscan.session import configure, shared_folder
+from layerscan.llm.queries import packed_documents, prepared
+from layerscan.session import shared_folder
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier, learned from the labels of these, lets pass."""
-    labels = configure(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    labels = prepared(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep(docs, toxicity.fit(docs, labels))
 
 
 def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the word rules and the rule on repeated lines let pass."""
-    configure(spark)
+    prepared(spark)
     return quality_rules.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    configure(spark)
+    prepared(spark)
     return near_dedup.keep(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
-    configure(spark)
+    prepared(spark)
     return packed_documents(docs)
 
 

@@ -15,8 +15,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Rows sent to a Python worker at once: few, as texts may be long.
+ARROW_ROWS = "1000"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session, with this package on its executors and small batches for their workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return configure(spark)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
