@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def crs_label(code: Column, name: Column) -> Column:
-    """``EPSG:<code> - <name>``; the bare name without a code; null without a system."""
+    """``EPSG:<code> - <name>`` for the code of any authority; the bare name without a code; null without a system."""
     with_code = F.concat(F.lit("EPSG:"), code.cast("string"), F.lit(" - "), name)
     return F.when(F.length(code.cast("string")) > 0, with_code).otherwise(name)
 
@@ -19,7 +19,7 @@ def wkt_name(wkt: Column) -> Column:
 
 def wkt_authority_code(wkt: Column) -> Column:
     """Code of the authority that closes the outermost element; null when it has none."""
-    found = F.regexp_extract(wkt, r'AUTHORITY\["EPSG",\s*"?(\d+)"?\]\s*\]\s*$', 1)
+    found = F.regexp_extract(wkt, r'AUTHORITY\["[^"]*",\s*"?([^"\]]+)"?\]\s*\]\s*$', 1)
     return F.nullif(found, F.lit(""))
 
 

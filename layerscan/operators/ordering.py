@@ -1,19 +1,22 @@
 """Order by key without one global sort task.
 
-A layer is read in the order of its row key (``fid``), and a position is a place in
-that order. A window over the whole layer would put every row into one task, so rows
-are dealt into buckets that follow the key order: a window runs inside each bucket, and
-one small table with a row per bucket (at most ``MAX_BUCKETS``, whatever the data size)
-links the buckets together.
+A layer is read in the order of its row key (``fid``), nulls first; rows with the same key follow
+each other by a hash of the whole row, so that every row has one place. A window over the whole
+layer would put every row into one task, so rows are dealt into buckets that follow the
+order: a window runs inside each bucket, and one small table with a row per bucket (whose number
+has a fixed limit) links the buckets together. A key that many rows share is cut into
+buckets by the hash.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_BUCKET = 1 << 20
 MAX_BUCKETS = 1 << 14
@@ -22,19 +25,35 @@ MAX_CUTS = 1 << 13
 BUCKET = "_bucket"
 
 
+def tie_breaker(df: DataFrame) -> Column:
+    """A hash of the whole row, as a number from 0 up to 1. Equal rows are interchangeable."""
+    known = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    whole = F.xxhash64(*[F.col(f"`{name}`") for name in known])
+    return (whole / F.lit(2.0**64)) + F.lit(0.5)
+
+
+def in_order(df: DataFrame, key: str) -> list[Column]:
+    """What rows are sorted by."""
+    return [F.col(key).asc_nulls_first(), tie_breaker(df).asc()]
+
+
 @dataclass(frozen=True)
 class KeyLayout:
-    """How the unique integer keys of a layer are spread."""
+    """How the integer keys of a layer are spread. ``count`` and ``dense`` leave out nulls."""
 
     count: int
     low: int | None
     high: int | None
     cuts: list[float] = field(default_factory=list)
+    nulls: int = 0
+    # Every integer from low to high is a key exactly once, so position is ``key - low``.
+    dense: bool = False
+    # Keys that many rows share, with the number of buckets for each.
+    shared: dict[float, int] = field(default_factory=dict)
 
     @property
-    def dense(self) -> bool:
-        """Every integer from low to high is a key, so position is ``key - low``."""
-        return self.count > 0 and self.high - self.low + 1 == self.count
+    def total(self) -> int:
+        return self.count + self.nulls
 
     @property
     def buckets(self) -> int:
@@ -43,38 +62,65 @@ class KeyLayout:
         return len(self.cuts) + 1
 
 
+def _fingerprint(key: str) -> Column:
+    return F.sum(F.xxhash64(F.col(key).cast("bigint")).cast("decimal(38,0)"))
+
+
 def key_layout(df: DataFrame, key: str, with_cuts: bool = True) -> KeyLayout:
     """Measure the key column (a scan of that column alone).
 
-    Dense keys are told from count, minimum and maximum. Other keys get cut points at
-    approximate quantiles, so that each bucket holds about the same number of rows no
-    matter how the keys bunch together.
+    Keys that may be dense by count, minimum and maximum are so if the sum of their hashes is
+    that of all integers in between. Other keys get cut points at approximate quantiles, so
+    that each bucket holds about the same number of rows no matter how the keys bunch
+    together; a quantile that comes several times is a key shared by many rows.
     """
-    count, low, high = df.agg(F.count(key), F.min(key), F.max(key)).first()
-    plain = KeyLayout(count, low, high)
-    if plain.dense or not with_cuts or count <= ROWS_PER_BUCKET:
+    spark = df.sparkSession
+    nulls = F.count(F.lit(1)) - F.count(key)
+    count, low, high, nulls, mark = df.agg(
+        F.count(key), F.min(key), F.max(key), nulls, _fingerprint(key)
+    ).first()
+    if count and isinstance(low, int) and high - low + 1 == count:
+        whole = spark.range(low, high + 1).agg(_fingerprint("id")).first()[0]
+        if whole == mark:
+            return KeyLayout(count, low, high, nulls=nulls, dense=nulls == 0)
+    plain = KeyLayout(count, low, high, nulls=nulls)
+    if not with_cuts or count <= ROWS_PER_BUCKET:
         return plain
     parts = min(MAX_CUTS, -(-count // ROWS_PER_BUCKET))
     marks = [i / parts for i in range(1, parts)]
     quantiles = df.agg(F.percentile_approx(key, marks, max(1000, 4 * parts))).first()[0]
-    return KeyLayout(count, low, high, sorted({float(q) for q in quantiles}))
+    times = Counter(float(q) for q in quantiles)
+    shared = {value: n + 1 for value, n in times.items() if n > 1}
+    return KeyLayout(count, low, high, sorted(times), nulls, shared=shared)
 
 
-def with_bucket(df: DataFrame, key: str, layout: KeyLayout) -> DataFrame:
-    """Add the bucket number of each row; it never decreases as the key grows.
+def with_bucket(df: DataFrame, key: str, layout: KeyLayout, tie: Column | None = None) -> DataFrame:
+    """Add the bucket number of each row; it never decreases in the order of the rows.
 
     The number is never null. Were it nullable, a join on it would filter one of its two
-    inputs, and inputs that differ cannot share one exchange.
+    inputs, and inputs that differ cannot share one exchange. Rows without a key are in buckets
+    below zero. ``tie`` cuts what shares a key.
     """
+    tie = tie_breaker(df) if tie is None else tie
+    null_parts = max(1, -(-layout.nulls // ROWS_PER_BUCKET))
+    no_key = (F.least(F.floor(tie * null_parts), F.lit(null_parts - 1)) - null_parts).cast("int")
     if not layout.cuts:
         span = layout.high - layout.low + 1 if layout.count else 1
         place = F.floor((F.col(key) - (layout.low or 0)) / -(-span // layout.buckets)).cast("int")
-        return df.withColumn(BUCKET, F.coalesce(place, F.lit(0)))
+        return df.withColumn(BUCKET, F.coalesce(place, no_key, F.lit(0)))
     edges = [float("-inf"), *layout.cuts, float("inf")]
-    as_double = df.withColumn("_key", F.col(key).cast("double"))
+    as_double = df.withColumn("_key", F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))))
     placed = Bucketizer(splits=edges, inputCol="_key", outputCol="_place").transform(as_double)
-    place = F.coalesce(F.col("_place").cast("int"), F.lit(0))
-    return placed.withColumn(BUCKET, place).drop("_key", "_place")
+    # The keys of place n start at its edge; that edge itself may have buckets of its own.
+    parts = [layout.shared.get(edge, 0) for edge in edges[:-1]]
+    firsts = [n + sum(parts[:n]) for n in range(len(parts))]
+    place = F.col("_place").cast("int")
+    own, edge = F.get(F.lit(parts), place), F.get(F.lit(edges[:-1]), place)
+    cut = F.least(F.floor(tie * own), own - 1)
+    within = F.when(own == 0, F.lit(0)).when(F.col("_key") == edge, cut).otherwise(own)
+    number = (F.get(F.lit(firsts), place) + within).cast("int")
+    bucket = F.when(F.col(key).isNull(), no_key).otherwise(number)
+    return placed.withColumn(BUCKET, F.coalesce(bucket, F.lit(0))).drop("_key", "_place")
 
 
 def bucket_table(bucketed: DataFrame, key: str) -> DataFrame:
@@ -97,12 +143,9 @@ def bucket_table(bucketed: DataFrame, key: str) -> DataFrame:
     )
 
 
-def within_bucket(key: str) -> Window:
-    return Window.partitionBy(BUCKET).orderBy(key)
-
 
 def with_position(df: DataFrame, key: str, layout: KeyLayout | None = None) -> DataFrame:
-    """Add ``position``, the 0-based place of each row in key order.
+    """Add ``position``, the 0-based place of each row in order.
 
     Dense keys need arithmetic only. Otherwise rows are numbered inside their bucket and
     shifted by the rows of the buckets before it.
@@ -110,33 +153,53 @@ def with_position(df: DataFrame, key: str, layout: KeyLayout | None = None) -> D
     layout = layout or key_layout(df, key)
     if layout.dense:
         return df.withColumn("position", (F.col(key) - layout.low).cast("bigint"))
-    bucketed = with_bucket(df, key, layout)
+    tied = df.withColumn("_tie", tie_breaker(df))
+    bucketed = with_bucket(tied, key, layout, F.col("_tie"))
     before = bucket_table(bucketed.select(key, BUCKET), key).select(BUCKET, "_before")
     # Bounded: one row per bucket, see MAX_BUCKETS.
     joined = bucketed.join(F.broadcast(before), BUCKET)
-    place = F.row_number().over(within_bucket(key)) - 1 + F.col("_before")
-    return joined.withColumn("position", place.cast("bigint")).drop(BUCKET, "_before")
+    inside = Window.partitionBy(BUCKET).orderBy(F.col(key).asc_nulls_first(), "_tie")
+    place = F.row_number().over(inside) - 1 + F.col("_before")
+    return joined.withColumn("position", place.cast("bigint")).drop(BUCKET, "_before", "_tie")
 
 
-def key_at(df: DataFrame, key: str, position: int) -> int | None:
-    """The key at a 0-based position, or None past the end.
+@dataclass(frozen=True)
+class Place:
+    """The key at a position, and how many rows have a smaller key or none."""
+
+    key: int | float | None
+    before: int
+
+
+def key_at(df: DataFrame, key: str, position: int) -> Place | None:
+    """The key at a 0-based position in order, or None past the end.
 
     Reads only the key column: each round counts rows per bucket and narrows the search
-    to one of them, until the rest is dense or fits one bucket. Only per-bucket counts
-    and the answer come back to the driver.
+    to one of them, until the rest is dense, has one key, or fits one bucket. Only
+    per-bucket counts and the answer come back to the driver.
     """
-    rest, left = df.select(key), position
+    rest, left, passed = df.select(key), position, 0
+    layout = key_layout(rest, key)
+    if left < layout.nulls:
+        return Place(None, 0)
+    left, passed = left - layout.nulls, layout.nulls
+    rest = rest.where(F.col(key).isNotNull())
     while True:
-        layout = key_layout(rest, key)
         if left >= layout.count:
             return None
+        if layout.low == layout.high:
+            return Place(layout.low, passed)
         if layout.dense:
-            return layout.low + left
+            return Place(layout.low + left, passed + left)
         if not layout.cuts:
-            numbered = rest.select(key, F.row_number().over(Window.orderBy(key)).alias("_n"))
-            return numbered.where(F.col("_n") == left + 1).first()[0]
+            order = Window.orderBy(key)
+            numbered = rest.select(
+                key, F.row_number().over(order).alias("_n"), F.rank().over(order).alias("_rank")
+            )
+            found = numbered.where(F.col("_n") == left + 1).first()
+            return Place(found[0], passed + found["_rank"] - 1)
         edges = (
-            with_bucket(rest, key, layout)
+            with_bucket(rest, key, layout, F.lit(0.0))
             .groupBy(BUCKET)
             .agg(F.count(key), F.min(key), F.max(key))
             .orderBy(BUCKET)
@@ -146,6 +209,5 @@ def key_at(df: DataFrame, key: str, position: int) -> int | None:
             if left < rows:
                 rest = rest.where(F.col(key).between(first, last))
                 break
-            left -= rows
-
-
+            left, passed = left - rows, passed + rows
+        layout = key_layout(rest, key)

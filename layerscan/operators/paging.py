@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerscan.operators.ordering import KeyLayout, key_at, key_layout, with_position
+from layerscan.operators.ordering import (
+    KeyLayout,
+    in_order,
+    key_at,
+    key_layout,
+    tie_breaker,
+    with_position,
+)
 
 # Rows shown by default, rows of the first page, rows of each later page.
 PREVIEW_ROWS = 10
 FIRST_PAGE_ROWS = 200
 NEXT_PAGE_ROWS = 500
 
-TOP_ROWS = 10_000
-
 
 def feature_rows(df: DataFrame, key: str, geometry: Column | None = None) -> DataFrame:
     """Rows as features: ``fid``, all attributes, then the geometry name (null without one).
@@ -30,19 +35,19 @@ def feature_rows(df: DataFrame, key: str, geometry: Column | None = None) -> Dat
 def preview(
     df: DataFrame, key: str, limit: int = PREVIEW_ROWS, keys: DataFrame | None = None
 ) -> DataFrame:
-    """The first ``limit`` rows in key order; none when the limit is not positive.
+    """The first ``limit`` rows in order; none when the limit is not positive.
 
-    The key column is read first to find where the preview ends, so that the scan of all
-    columns can skip every row group behind that point. ``keys`` may give that column
-    for a source that does not prune columns by itself.
+    The key column is read first to find the last key of the preview, so that the scan of all
+    columns can skip every row group behind it. Of the rows that share that key, the
+    first in order stay. ``keys`` may give that column for a source that does not prune
+    columns by itself.
     """
     if limit <= 0:
         return df.limit(0)
-    end = key_at(df if keys is None else keys, key, limit)
-    rows = (df if end is None else df.where(F.col(key) < end)).orderBy(key)
-    # The filter is exact already. A limit saves the sort's shuffle while few rows are
-    # asked for; for many it would hold them all in one place.
-    return rows.limit(limit) if limit <= TOP_ROWS else rows
+    first = (df if keys is None else keys).select(key).orderBy(F.col(key).asc_nulls_first())
+    last = first.limit(limit).agg(F.max(key)).first()[0]
+    near = F.col(key).isNull() if last is None else F.col(key).isNull() | (F.col(key) <= last)
+    return df.where(near).orderBy(*in_order(df, key)).limit(limit)
 
 
 def preview_summary(df: DataFrame, limit: int = PREVIEW_ROWS) -> DataFrame:
@@ -58,12 +63,25 @@ def scan_from(df: DataFrame, key: str, skip: int, keys: DataFrame | None = None)
     """All rows from a position on.
 
     The position is turned into a key first, and the scan then filters on that key, which
-    reaches the file reader. Nothing is shuffled. ``keys`` as for :func:`preview`.
+    reaches the file reader. Only where the position lies among rows that share a key is a second
+    step needed: the same on the hash of these rows. ``keys`` as for :func:`preview`.
     """
     if skip <= 0:
         return df
     start = key_at(df if keys is None else keys, key, skip)
-    return df.where(F.lit(False)) if start is None else df.where(F.col(key) >= start)
+    if start is None:
+        return df.where(F.lit(False))
+    later = F.col(key).isNotNull() if start.key is None else F.col(key) > start.key
+    here = F.col(key).isNull() if start.key is None else F.col(key) == start.key
+    if start.before == skip:
+        return df.where(here | later)
+    tied = df.withColumn("_tie", tie_breaker(df))
+    among = key_at(tied.where(here), "_tie", skip - start.before)
+    rest = tied.where(later | (here & (F.col("_tie") > among.key))).drop("_tie")
+    equal = tied.where(here & (F.col("_tie") == among.key)).drop("_tie")
+    # Rows that are equal in everything: any of them may be left out.
+    left = equal.count() - (skip - start.before - among.before)
+    return rest.unionByName(equal.limit(left))
 
 
 def page_of(position: Column) -> Column:
@@ -89,7 +107,7 @@ def page_progress(df: DataFrame, key: str) -> DataFrame:
         .groupBy("page")
         .agg(F.count(F.lit(1)).alias("page_rows"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
     )
-    total = F.lit(layout.count).cast("bigint")
+    total = F.lit(layout.total).cast("bigint")
     through = F.lit(FIRST_PAGE_ROWS) + F.col("page") * NEXT_PAGE_ROWS
     return pages.select(
         "*", F.least(total, through).cast("bigint").alias("loaded"), total.alias("total_features")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,8 +12,8 @@ from layerscan.operators.ordering import (
     KeyLayout,
     bucket_table,
     key_layout,
+    tie_breaker,
     with_bucket,
-    within_bucket,
 )
 
 DIGITS = "0123456789"
@@ -25,6 +25,7 @@ ALPHABETS = {
     T.IntegerType: DIGITS + "-",
     T.LongType: DIGITS + "-",
     T.DoubleType: DIGITS + "+-.e" + "nan" + "inf",
+    T.FloatType: DIGITS + "+-.e" + "nan" + "inf",
     T.DateType: DIGITS + "+-",
     T.TimestampNTZType: DIGITS + "+-.: ",
 }
@@ -75,10 +76,12 @@ def match_ring(
     window inside each bucket read that same exchange.
     """
     layout = layout or key_layout(df, key)
-    matches = search_rows(df, query, columns).select(key)
-    bucketed = with_bucket(matches, key, layout).repartition(BUCKET)
+    tied = df.withColumn("_tie", tie_breaker(df))
+    names = df.columns if columns is None else columns
+    matches = search_rows(tied, query, names).select(key, "_tie")
+    bucketed = with_bucket(matches, key, layout, F.col("_tie")).repartition(BUCKET)
     links = bucket_table(bucketed, key)
-    inside = within_bucket(key)
+    inside = Window.partitionBy(BUCKET).orderBy(F.col(key).asc_nulls_first(), "_tie")
     # Bounded: one row per bucket, see MAX_BUCKETS.
     return bucketed.join(F.broadcast(links), BUCKET).select(
         F.col(key),

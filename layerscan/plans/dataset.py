@@ -31,10 +31,11 @@ BOX = ("xmin", "xmax", "ymin", "ymax")
 # What is said when there is no answer.
 LAYER_NOT_FOUND = "Layer not found: "
 NO_LAYERS = "No layers in dataset"
-CANNOT_OPEN = "Could not open dataset"
 NO_SHAPEFILE = "No shapefile found"
 CANNOT_OPEN_RASTER = "Could not open raster dataset"
-NO_RASTER_PEEK = "Peek is not supported for raster datasets; ask for info or schema instead."
+# Our own words.
+CANNOT_OPEN = "No layer here can be read"
+NO_RASTER_PEEK = "A raster has no rows to preview; its pixels and band statistics can be read."
 
 # Layer type name for a geometry name.
 LAYER_TYPE_NAMES = {
@@ -360,7 +361,8 @@ class Shapefile(Dataset):
         """A single shapefile counts with all its sidecars, a folder with all its files."""
         if not self.path.lower().endswith(".shp"):
             return super()._size_of(files)
-        own = fold_datasets(files).where(F.col("path").endswith("/" + self.name))
+        own = fold_datasets(files, self._size_root())
+        own = own.where(_plain_path(F.col("path")) == _plain_path(F.lit(self.path)))
         return super()._size_of(own.select(F.col("size_bytes").alias("length")))
 
     def _one(self, layer: str | None) -> str | None:

@@ -95,7 +95,8 @@ def progress(source: str, key: str) -> str:
     """
 
 
-def card(layer: str, facts: str) -> str:
+def card(layer: str, x: str = "CAST(NULL AS DOUBLE)", y: str = "CAST(NULL AS DOUBLE)") -> str:
+    facts = box(layer, layer, x, y)
     return f"""
         SELECT 'Feature Class' AS type, c.layer, c.field_count, f.feature_count, f.xmin, f.xmax, f.ymin, f.ymax
         FROM (SELECT '{layer}' AS layer, {FIELD_COUNTS[layer]} AS field_count) c
@@ -103,10 +104,6 @@ def card(layer: str, facts: str) -> str:
     """
 
 
-CARD_FACTS = " UNION ALL ".join(
-    [box("customer", "customer", "c_acctbal", "c_nationkey"), box("orders", "orders", "o_totalprice", "o_custkey")]
-)
-
 STATS = """
     CASE WHEN blank THEN NULL ELSE round(lo, 6) + 0.0 END AS "min", CASE WHEN blank THEN NULL ELSE round(hi, 6) + 0.0 END AS "max",
     CASE WHEN blank THEN NULL ELSE round(mid, 6) + 0.0 END AS mean, CASE WHEN blank THEN NULL ELSE round(dev, 6) + 0.0 END AS stddev
@@ -187,8 +184,17 @@ ORACLES = {
         ]
     )
     + ")",
-    "layer_card": card("customer", CARD_FACTS),
-    "layer_card_fallback": card("benchmark", CARD_FACTS),
+    "layer_card": card("customer", "c_acctbal", "c_nationkey"),
+    "layer_card_fallback": card("benchmark"),
+    "layer_card_orders": card("orders", "o_totalprice", "o_custkey"),
+    "unknown_layer": "SELECT 'Layer not found: no such layer' AS error",
+    "layer_documents": f"""
+        SELECT c.layer, c.feature_count, 'None' AS geometry_type, b.xmin, b.xmax, b.ymin, b.ymax,
+               CAST(NULL AS VARCHAR) AS crs, c.field_count, CAST(NULL AS VARCHAR) AS error
+        FROM ({COUNTS}) c LEFT JOIN (
+            {box("customer", "customer", "c_acctbal", "c_nationkey")}
+            UNION ALL {box("orders", "orders", "o_totalprice", "o_custkey")}) b ON b.layer = c.layer
+    """,
     "info_json": f"""
         WITH counts AS ({COUNTS}), fields AS ({FIELDS})
         SELECT c.layer, CAST(to_json({{'layer': c.layer, 'feature_count': any_value(c.feature_count),
@@ -197,6 +203,23 @@ ORACLES = {
                    AS VARCHAR) AS document
         FROM counts c JOIN fields f ON f.layer = c.layer GROUP BY c.layer
     """,
+    "peek_lineitem": """
+        SELECT l_orderkey, count(*) AS shown FROM (
+            SELECT l_orderkey FROM lineitem ORDER BY l_orderkey LIMIT 25) GROUP BY l_orderkey
+    """,
+    "scan_from_conversations": """
+        SELECT conv_id, count(*) AS "left" FROM (
+            SELECT conv_id FROM conversations ORDER BY conv_id OFFSET 31) GROUP BY conv_id
+    """,
+    "row_positions_lineitem": """
+        SELECT l_orderkey, min(position) AS first, max(position) AS last, count(*) AS n FROM (
+            SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS position FROM lineitem)
+        GROUP BY l_orderkey
+    """,
+    "match_ring_conversations": """
+        SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS match_index
+        FROM conversations WHERE lower(text) LIKE '%the%'
+    """,
     "peek_rows": """
         SELECT o_orderkey AS fid, *, CAST(NULL AS VARCHAR) AS geometry FROM orders ORDER BY o_orderkey LIMIT 10
     """,

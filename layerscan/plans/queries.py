@@ -24,6 +24,7 @@ from layerscan.operators.paging import (
 )
 from layerscan.operators.profile import array_bands, band_stats, layer_extents
 from layerscan.operators.search import match_ring, search_rows
+from layerscan.plans.dataset import Container
 from layerscan.plans.sample_files import write_array_rasters, write_point_shapefiles
 from layerscan.session import configure, shared_folder
 from layerscan.sources import container, shapefile, tiff
@@ -35,6 +36,8 @@ LAYERS = [
     "lineitem", "nation", "orders", "pages", "part", "region", "supplier",
 ]
 BOX = ("xmin", "xmax", "ymin", "ymax")
+# What is x and y of the layers that lie anywhere.
+AXES = {"customer": ("c_acctbal", "c_nationkey"), "orders": ("o_totalprice", "o_custkey")}
 
 # Paths as they may lie in a file tree, one per row of `part`.
 TREE_PATHS = """
@@ -83,9 +86,14 @@ def edges(extent: Column) -> list[Column]:
 
 def container_info(spark, sf_dir):
     """Rows counted by a scan, fields from the footers; a layer without rows counts 0."""
-    fields = container.container_catalog(configure(spark), sf_dir).select("layer", "field_count")
+    fields = container.container_catalog(configure(spark), sf_dir).select(
+        "layer", "field_count", F.col("feature_count").alias("in_footers")
+    )
     counted = fields.join(container.container_counts(spark, sf_dir), "layer", "left")
-    return counted.select("layer", F.coalesce("feature_count", F.lit(0)).alias("feature_count"), "field_count")
+    # A scan has no row for a layer without rows; its footers say so.
+    return counted.select(
+        "layer", F.coalesce("feature_count", "in_footers").alias("feature_count"), "field_count"
+    )
 
 
 def container_footers(spark, sf_dir):
@@ -135,18 +143,15 @@ def layer_extent(spark, sf_dir):
 
 def _layer_card(spark, sf_dir, requested):
     """One layer's schema facts, with count and extent looked up by name."""
+    chosen = container.chosen_layer(configure(spark), sf_dir, requested)
+    name = chosen.first()["layer"]  # one row
     # Bounded: the chosen name is a single row.
-    chosen = F.broadcast(container.chosen_layer(configure(spark), sf_dir, requested))
-    card = container.container_catalog(spark, sf_dir, chosen).select(
+    card = container.container_catalog(spark, sf_dir, F.broadcast(chosen)).select(
         F.lit("Feature Class").alias("type"), "layer", "field_count"
     )
-    facts = layer_extents(
-        {"customer": table(spark, sf_dir, "customer"), "orders": table(spark, sf_dir, "orders")},
-        {
-            "customer": (F.col("c_acctbal"), F.col("c_nationkey")),
-            "orders": (F.col("o_totalprice"), F.col("o_custkey")),
-        },
-    )
+    nowhere = F.lit(None).cast("double")
+    x, y = map(F.col, AXES[name]) if name in AXES else (nowhere, nowhere)
+    facts = layer_extents({name: table(spark, sf_dir, name)}, {name: (x, y)})
     return card.join(facts, "layer", "left").select(
         "type", "layer", "field_count", "feature_count", *edges(F.col("extent"))
     )
@@ -160,6 +165,22 @@ def layer_card_fallback(spark, sf_dir):
     return _layer_card(spark, sf_dir, "no such layer")
 
 
+def layer_card_orders(spark, sf_dir):
+    return _layer_card(spark, sf_dir, "orders")
+
+
+def unknown_layer(spark, sf_dir):
+    return Container(configure(spark), sf_dir).schema("no such layer")
+
+
+def layer_documents(spark, sf_dir):
+    """What the info document says of every layer."""
+    catalog = Container(configure(spark), sf_dir, axes=AXES).catalog()
+    return catalog.select(
+        "layer", "feature_count", "geometry_type", *edges(F.col("extent")), "crs", "field_count", "error"
+    )
+
+
 def info_json(spark, sf_dir):
     """One JSON document per layer, fields nested in order."""
     entry = F.expr("transform(fields, f -> struct(f.name AS name, f.type AS type, f.width AS width))")
@@ -180,6 +201,30 @@ def peek_sparse(spark, sf_dir):
     return feature_rows(preview(table(spark, sf_dir, "labels"), "doc_id", 25), "doc_id")
 
 
+def peek_lineitem(spark, sf_dir):
+    """The first keys of a layer whose keys repeat; which of equal keys, the row hash says."""
+    shown = preview(table(spark, sf_dir, "lineitem"), "l_orderkey", 25)
+    return shown.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("shown"))
+
+
+def scan_from_conversations(spark, sf_dir):
+    """What is left after a skip that ends among rows of one key."""
+    left = scan_from(table(spark, sf_dir, "conversations"), "conv_id", 31)
+    return left.groupBy("conv_id").agg(F.count(F.lit(1)).alias("left"))
+
+
+def row_positions_lineitem(spark, sf_dir):
+    placed = with_position(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    return placed.groupBy("l_orderkey").agg(
+        F.min("position").alias("first"), F.max("position").alias("last"), F.count_distinct("position").alias("n")
+    )
+
+
+def match_ring_conversations(spark, sf_dir):
+    ring = match_ring(table(spark, sf_dir, "conversations"), "conv_id", "the", ["text"])
+    return ring.select("conv_id", "match_index")
+
+
 def peek_nothing(spark, sf_dir):
     return feature_rows(preview(table(spark, sf_dir, "orders"), "o_orderkey", -1), "o_orderkey")
 
@@ -519,9 +564,16 @@ QUERIES = {
     "layer_extent": layer_extent,
     "layer_card": layer_card,
     "layer_card_fallback": layer_card_fallback,
+    "layer_card_orders": layer_card_orders,
+    "unknown_layer": unknown_layer,
+    "layer_documents": layer_documents,
     "info_json": info_json,
     "peek_rows": peek_rows,
     "peek_sparse": peek_sparse,
+    "peek_lineitem": peek_lineitem,
+    "scan_from_conversations": scan_from_conversations,
+    "row_positions_lineitem": row_positions_lineitem,
+    "match_ring_conversations": match_ring_conversations,
     "peek_nothing": peek_nothing,
     "peek_summary": peek_summary,
     "scan_from": scan_dense,

@@ -6,6 +6,7 @@ A layer is ``<root>/<layer>.parquet``, either a file or a folder of part files.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -21,6 +22,7 @@ from layerscan.sources.files import open_file
 
 LAYER_PATTERN = r"(?i)^([^/]+?)(\.parquet)?(/|$)"
 
+EXTENT = "struct<xmin: double, xmax: double, ymin: double, ymax: double>"
 FOOTER_SCHEMA = """
     path STRING, length BIGINT, layer STRING, num_rows BIGINT, error STRING,
     fields ARRAY<STRUCT<ordinal: INT, name: STRING, alias: STRING, type: STRING,
@@ -136,16 +138,19 @@ def container_catalog(spark: SparkSession, root: str, only: DataFrame | None = N
     )
 
 
-def _all_layers(spark: SparkSession, root: str, columns: str) -> DataFrame:
-    """Chosen columns of all layers in one scan, with the layer name; null where a layer
-    has no such column. The number of layers does not matter to the plan."""
-    rows = (
-        spark.read.schema(columns)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet")
-        .parquet(root)
-    )
-    return rows.select("*", layer_of(F.col("_metadata.file_path"), root).alias("layer"))
+def _all_layers(
+    spark: SparkSession, root: str, columns: str, files: list[str] | None = None
+) -> DataFrame:
+    """Chosen columns of all layers, or of some files, in one scan, with the layer name; null
+    where a layer has no such column. The number of layers does not matter to the plan."""
+    reader = spark.read.schema(columns).option("recursiveFileLookup", True)
+    if files is None:
+        rows = reader.option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]").parquet(root)
+    else:
+        rows = reader.parquet(*files)
+    # The path comes encoded as in a URI, where a plus sign stands for itself.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return rows.select("*", layer_of(path, root).alias("layer"))
 
 
 def container_counts(spark: SparkSession, root: str) -> DataFrame:
@@ -157,15 +162,38 @@ def container_counts(spark: SparkSession, root: str) -> DataFrame:
 def container_extents(spark: SparkSession, root: str) -> DataFrame:
     """Extent from the box columns and geometry names from the WKB column, per layer.
 
-    Layers without these columns come out with a null extent and no name. The set of
-    names is as small as the list of geometry types.
+    The footers say which files can be read and have these columns with a type that fits;
+    only those are scanned. Other layers have no row here. The set of names is as small
+    as the list of geometry types.
     """
-    rows = _all_layers(spark, root, "xmin DOUBLE, xmax DOUBLE, ymin DOUBLE, ymax DOUBLE, geometry_wkb BINARY")
-    box = [F.col(name) for name in ("xmin", "xmax", "ymin", "ymax")]
-    return rows.groupBy("layer").agg(
-        extent_of(*box).alias("extent"),
-        F.collect_set(geometry_name(F.col("geometry_wkb"))).alias("geometry_names"),
+    types = F.map_from_entries(F.expr("transform(fields, f -> struct(f.name, f.type))"))
+    footers = container_files(spark, root).mapInArrow(_read_footers, FOOTER_SCHEMA)
+    names = ("xmin", "xmax", "ymin", "ymax")
+    located = footers.where(F.col("error").isNull()).select(
+        "path",
+        F.forall(
+            F.array(*map(F.lit, names)), lambda n: F.try_element_at(types, n) == "Real"
+        ).alias("has_box"),
+        (F.try_element_at(types, F.lit("geometry_wkb")) == "Binary").alias("has_shape"),
     )
+    chosen = located.where(F.col("has_box") | F.col("has_shape")).collect()  # paths of files
+    extent = F.first("extent", ignorenulls=True).alias("extent")
+    parts = []
+    for flag, columns in (("has_box", "xmin DOUBLE, xmax DOUBLE, ymin DOUBLE, ymax DOUBLE"), ("has_shape", "geometry_wkb BINARY")):
+        files = [r.path for r in chosen if r[flag]]
+        if not files:
+            continue
+        rows = _all_layers(spark, root, columns, files).groupBy("layer")
+        if flag == "has_box":
+            found = rows.agg(extent_of(*map(F.col, names)).alias("extent"))
+            parts.append(found.withColumn("geometry_names", F.array().cast("array<string>")))
+        else:
+            shapes = F.collect_set(geometry_name(F.col("geometry_wkb"))).alias("geometry_names")
+            parts.append(rows.agg(shapes).withColumn("extent", F.lit(None).cast(EXTENT)))
+    if not parts:
+        return spark.createDataFrame([], f"layer string, extent {EXTENT}, geometry_names array<string>")
+    shapes = F.flatten(F.collect_list("geometry_names")).alias("geometry_names")
+    return reduce(DataFrame.unionByName, parts).groupBy("layer").agg(extent, shapes)
 
 
 def schema_table(catalog: DataFrame) -> DataFrame:

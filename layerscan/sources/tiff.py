@@ -381,7 +381,7 @@ class RasterReader(DataSourceReader):
                         pa.array((rows + top + start).ravel()),
                         pa.array((cols + left).ravel()),
                         pa.array(part.astype(np.float64).ravel()),
-                        pa.repeat(pa.scalar(raster.nodata, pa.float64()), size),
+                        pa.repeat(pa.scalar(_as_sample(raster.nodata, part.dtype), pa.float64()), size),
                         pa.nulls(size, pa.string()),
                     ],
                     schema=self.arrow,
@@ -394,7 +394,7 @@ class RasterReader(DataSourceReader):
                 values = samples[:, :, depth].astype(np.float64).ravel()
                 usable = ~np.isnan(values)
                 if raster.nodata is not None:
-                    usable &= values != raster.nodata
+                    usable &= values != _as_sample(raster.nodata, samples.dtype)
                 values = values[usable]
                 total = totals.setdefault(first_band + depth, [0, None, None, 0.0, 0.0])
                 if values.size:
@@ -416,6 +416,11 @@ class RasterReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=self.arrow)
 
 
+def _as_sample(nodata: float | None, dtype: np.dtype) -> float | None:
+    """The nodata value as a pixel of that type holds it."""
+    return nodata if nodata is None or dtype.kind != "f" else float(dtype.type(nodata))
+
+
 def _add_block(total: list, values: np.ndarray) -> None:
     """Merge the values of a block into ``[count, min, max, mean, m2]``."""
     n, low, high, mean, m2 = total

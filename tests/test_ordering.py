@@ -1,5 +1,7 @@
 """Positions, pages and match rings with many small buckets, against plain Python."""
 
+from collections import Counter
+
 import pytest
 
 from layerscan.operators import ordering, paging
@@ -31,12 +33,70 @@ def test_positions(spark, small_buckets, keys):
 @pytest.mark.parametrize("keys", [list(range(333)), bunched_keys()])
 @pytest.mark.parametrize("position", [0, 1, 17, 250, 332, 10**6])
 def test_key_at(spark, small_buckets, keys, position):
-    expected = keys[position] if position < len(keys) else None
+    expected = ordering.Place(keys[position], position) if position < len(keys) else None
     assert ordering.key_at(layer(spark, keys), "fid", position) == expected
 
 
 def test_bucket_count_is_bounded():
-    assert ordering.KeyLayout(10**13, 0, 10**13 - 1).buckets == ordering.MAX_BUCKETS
+    layout = ordering.KeyLayout(10**13, 0, 10**13 - 1, dense=True)
+    assert layout.buckets == ordering.MAX_BUCKETS
+
+
+# Repeated and null keys, one of them on very many rows; and keys that only look dense.
+REPEATED = {
+    "hot": [None] * 40 + [1, 2, 2] + [7] * 200 + [8, 8, 9, 10**12],
+    "looks dense": [0, 0, 1, 1, 4, 5],
+    "one key": [3] * 100,
+    "no key": [None] * 50,
+    "null and few": [None, 1, 5, 9],
+}
+
+
+def repeated(spark, name):
+    rows = [(k, f"name {n}", n % 3) for n, k in enumerate(REPEATED[name])]
+    # Rows equal in everything as well.
+    rows += [(7, "twin", 0)] * (30 if name == "hot" else 0)
+    return spark.createDataFrame(rows, "fid bigint, name string, other int").repartition(3), rows
+
+
+def sort_key(row):
+    return (row[0] is not None, row[0] or 0)
+
+
+@pytest.mark.parametrize("name", REPEATED)
+def test_positions_with_repeated_keys(spark, small_buckets, name):
+    df, rows = repeated(spark, name)
+    got = sorted(ordering.with_position(df, "fid").collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(len(rows)))
+    assert [r.fid for r in got] == [r[0] for r in sorted(rows, key=sort_key)]
+    again = sorted(ordering.with_position(df.repartition(7), "fid").collect(), key=lambda r: r.position)
+    assert got == again
+
+
+@pytest.mark.parametrize("name", REPEATED)
+def test_previews_and_scans_share_the_rows_with_repeated_keys(spark, small_buckets, name):
+    df, rows = repeated(spark, name)
+    for count in sorted({0, 1, 3, len(rows) // 2, len(rows) - 1, len(rows), len(rows) + 5}):
+        first = paging.preview(df, "fid", count).collect()
+        assert [r.fid for r in first] == [r[0] for r in sorted(rows, key=sort_key)][:count]
+        rest = paging.scan_from(df, "fid", count).collect()
+        assert Counter(map(tuple, first)) + Counter(map(tuple, rest)) == Counter(rows)
+
+
+def test_no_position_keeps_looking_within_one_key(spark, small_buckets):
+    df, rows = repeated(spark, "hot")
+    assert ordering.key_at(df, "fid", 20) == ordering.Place(None, 0)
+    assert ordering.key_at(df, "fid", 150) == ordering.Place(7, 43)
+    assert ordering.key_at(df, "fid", len(rows)) is None
+
+
+def test_match_ring_numbers_rows_with_repeated_keys(spark, small_buckets):
+    df, rows = repeated(spark, "hot")
+    ring = match_ring(df, "fid", "name", ["name"]).collect()
+    hits = [r for r in rows if r[1].startswith("name")]
+    assert sorted(r.match_index for r in ring) == list(range(len(hits)))
+    in_order = sorted(ring, key=lambda r: r.match_index)
+    assert [r.fid for r in in_order] == [r[0] for r in sorted(hits, key=sort_key)]
 
 
 @pytest.mark.parametrize("keys", [list(range(333)), bunched_keys()])
@@ -68,14 +128,6 @@ def test_preview(spark, small_buckets, limit):
     assert got == keys[: max(limit, 0)]
 
 
-def test_large_preview_is_not_held_in_one_place(spark, small_buckets, monkeypatch):
-    monkeypatch.setattr(paging, "TOP_ROWS", 5)
-    keys = bunched_keys()
-    shown = paging.preview(layer(spark, keys), "fid", 300)
-    assert [r.fid for r in shown.collect()] == keys[:300]
-    assert "TakeOrdered" not in shown._jdf.queryExecution().executedPlan().toString()
-
-
 def test_preview_summary(spark):
     df = layer(spark, range(100))
     assert tuple(paging.preview_summary(df, 3).first()) == (100, 3)
@@ -100,15 +152,15 @@ def test_reserved_names_get_a_suffix(spark):
     assert paging.feature_rows(df, "key").columns == ["fid", "key", "FID_1", "geometry_1", "geometry"]
 
 
-GREEK = [("alpha", "10"), ("beta", "20"), ("gamma", "30"), ("delta", "40"), ("epsilon", "50")]
+ROADS = [("Harbour Lane", "7.5"), ("Mill Road", "31"), ("North Quay", "12.5"), ("Old Lane", "3")]
 
 
 @pytest.mark.parametrize(
-    ("query", "hits"), [("bet", [1]), ("a", [0, 1, 2, 3]), ("zzznomatch", []), ("", []), ("0", [0, 1, 2, 3, 4])]
+    ("query", "hits"), [("LANE", [0, 3]), ("ROAD", [1]), ("o", [0, 1, 2, 3]), (".5", [0, 2]), ("bridge", []), ("", [])]
 )
 def test_search(spark, query, hits):
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(GREEK)], "fid int, name string, value string")
-    assert sorted(r.fid for r in search_rows(df, query, ["name", "value"]).collect()) == hits
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(ROADS)], "fid int, name string, width string")
+    assert sorted(r.fid for r in search_rows(df, query, ["name", "width"]).collect()) == hits
 
 
 def test_search_skips_nulls_and_bytes(spark):

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as driver
+from layerscan.plans.queries import QUERIES
 from tests.compare import connect, differences
 
 
@@ -12,10 +13,11 @@ def db(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) <= set(driver.queries()) & set(driver.oracle_sql())
+    assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, db, name):
     assert differences(driver.queries()[name](spark, sf_dir), db, driver.oracle_sql()[name]) == []
 
