@@ -4,8 +4,8 @@ Word rules look at one row and never move it. For the cross-document rule, lines
 normalised and hashed, and the distinct documents of a host that hold a line are counted.
 Documents with the same text count once, so a text isn't held against its own copies. Lines
 in more documents than the limit are removed, except in the first document of the host that
-has them, so that of a group of near copies one stays whole. A document that has too few
-words left is rejected.
+has them, so that of a group of near copies one stays whole. A document that has too little
+left is rejected.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from layerscan.session import shared_folder
+
 #: White space between words, and the characters that count as symbols.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -22,7 +24,7 @@ REPEATED_SHARE = 30
 
 #: Documents of a host that may hold a line.
 MOST_DOCUMENTS = 100
-#: Share of its words that a document must keep.
+#: Share of its text that a document must keep.
 LEAST_LEFT = 0.3
 #: Pieces that the rows of one line are dealt to.
 SALTS = 32
@@ -36,8 +38,8 @@ def _let(value: Column, then) -> Column:
 
 
 def words(text: Column) -> Column:
-    plain = F.trim(F.translate(text, SPACE[1:], " " * (len(SPACE) - 1)))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " +"))
+    plain = F.translate(text, SPACE[1:], " " * (len(SPACE) - 1))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _pairs(hashes: Column, apart: int) -> Column:
@@ -86,23 +88,30 @@ def _repeated_words(windows: Column) -> Column:
     return _let(windows, covered)
 
 
-def measures(text: Column) -> list[Column]:
-    """``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines`` and ``n_repeat_words``."""
-    text = F.coalesce(text, F.lit(""))
+def with_measures(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines`` and
+    ``n_repeat_words`` of their ``text``; columns of these names are replaced."""
+    text = F.coalesce("text", F.lit(""))
     count = lambda kept: F.char_length(text) - F.char_length(F.translate(text, kept, ""))
-    hashes = F.transform(words(text), lambda w: F.xxhash64(w))
+    # A text is cut into words once, for both of these.
+    by_word = _let(
+        F.transform(words(text), lambda w: F.xxhash64(w)),
+        lambda h: F.struct(
+            F.size(h).cast("long").alias("n_words"),
+            _repeated_words(_pairs(_pairs(_pairs(h, 1), 2), 4)).alias("n_repeat_words"),
+        ),
+    )
     with_words = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE, "") != "")
     lines = F.transform(with_words, lambda x: F.xxhash64(x))
-    windows = _pairs(_pairs(_pairs(hashes, 1), 2), 4)
-    return [
-        F.size(hashes).cast("long").alias("n_words"),
-        F.char_length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
-        count(SYMBOLS).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-        .cast("long")
-        .alias("n_dup_lines"),
-        _repeated_words(windows).alias("n_repeat_words"),
-    ]
+    repeated_lines = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    found = {
+        "__by_word": by_word,
+        "word_chars": F.char_length(F.translate(text, SPACE, "")).cast("long"),
+        "n_symbols": count(SYMBOLS).cast("long"),
+        "n_dup_lines": repeated_lines.cast("long"),
+    }
+    names = {n: F.col("__by_word")[n] for n in ("n_words", "n_repeat_words")}
+    return rows.withColumns(found).withColumns(names).drop("__by_word")
 
 
 def base_failed() -> Column:
@@ -116,36 +125,35 @@ def depleted(
     most_documents: int = MOST_DOCUMENTS,
     least_left: float = LEAST_LEFT,
 ) -> DataFrame:
-    """Texts that the removal of frequent lines leaves with too few words: ``host`` and
-    ``text_hash``, as ``keys`` makes them, and ``removed_words`` of one document.
+    """Texts of which the removal of frequent lines leaves too little: ``host`` and
+    ``text_hash``, as ``keys`` makes them, and ``removed_share``.
 
     A normalised line is its lower-cased letters and digits, with one space in place of all
-    between; lines without any stay. A null host is a host of its own. Null and empty texts
-    have no lines. Repeated rows count as one document.
+    between; lines without any stay. The share counts characters of normalised lines. A null host
+    is a host of its own. Null and empty texts have no lines. Repeated rows are one document.
     """
     normal = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))
-    line = lambda x: F.struct(normal(x).alias("line"), F.size(words(x)).alias("words"))
-    text = F.coalesce("text", F.lit(""))
-    lines = (
-        documents.select(
-            *keys(host), F.col("doc_id"), F.inline(F.transform(F.split(text, "\n"), line))
-        )
-        .filter(F.col("line") != "")
-        .withColumn("line", F.xxhash64("line"))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normal)
+    lines = F.transform(
+        F.array_remove(lines, ""),
+        lambda x: F.struct(F.xxhash64(x).alias("line"), F.char_length(x).alias("size")),
     )
+    folder = shared_folder(documents.sparkSession, "lines")
     # One row for each line and text: copies of a text meet here, before lines are counted.
-    carriers = lines.groupBy("host", "line", "text_hash").agg(
-        F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first"),
-        F.sum("words").alias("words"),
+    (
+        documents.select(*keys(host), "doc_id", F.inline(lines))
+        .groupBy("host", "line", "text_hash")
+        .agg(
+            F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first"),
+            F.sum("size").alias("size"),
+        )
+        .write.parquet(folder)
     )
+    carriers = documents.sparkSession.read.parquet(folder)
     frequent = (
         carriers.groupBy("host", "line")
-        .agg(
-            F.count("*").alias("documents"),
-            F.min(F.struct("first", "text_hash")).alias("keeper"),
-            F.max("words").alias("most_words"),
-        )
-        .filter((F.col("documents") > most_documents) & (F.col("most_words") > 0))
+        .agg(F.count("*").alias("documents"), F.min(F.struct("first", "text_hash")).alias("keeper"))
+        .filter(F.col("documents") > most_documents)
         .select("host", "line", "keeper")
     )
     # A frequent line has more than most_documents carriers, so its copies below are fewer
@@ -156,19 +164,15 @@ def depleted(
         .join(frequent, ["host", "line", "salt"])
         .filter(F.struct("first", "text_hash") > F.col("keeper"))
         .groupBy("host", "text_hash")
-        .agg(F.sum("words").alias("removed_words"))
+        .agg(F.sum("size").alias("removed"))
     )
-    copies = (
-        documents.select(*keys(host), F.size(words(text)).alias("n_words"))
-        .groupBy("host", "text_hash")
-        .agg(F.count("*").alias("copies"), F.max("n_words").alias("n_words"))
-    )
-    left = F.col("n_words") - F.col("removed_words")
+    # All copies of a text are summed up above and below.
+    whole = carriers.groupBy("host", "text_hash").agg(F.sum("size").alias("size"))
     return (
-        removed.join(copies, ["host", "text_hash"])
-        .withColumn("removed_words", F.col("removed_words") / F.col("copies"))
-        .filter(left < F.col("n_words") * least_left)
-        .select("host", "text_hash", "removed_words")
+        removed.join(whole, ["host", "text_hash"])
+        .withColumn("removed_share", F.col("removed") / F.col("size"))
+        .filter(F.col("removed_share") > 1 - least_left)
+        .select("host", "text_hash", "removed_share")
     )
 
 
@@ -194,26 +198,22 @@ def _spread(documents: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
 
 
 def verdicts(documents: DataFrame, host: str = "source") -> DataFrame:
-    """``doc_id``, the measures, ``base_failed``, ``removed_words`` and ``kept`` of every row.
+    """``doc_id``, the measures, ``base_failed``, ``removed_share`` and ``kept`` of every row.
 
     A null text has no words, and so fails the base rules. Repeated rows get a row each.
     """
     mine = [k.alias(f"__{n}") for k, n in zip(keys(host), ("host", "text_hash"), strict=True)]
-    base = documents.select("doc_id", *mine, *measures(F.col("text"))).withColumn(
-        "base_failed", base_failed()
-    )
+    base = with_measures(documents.select("doc_id", *mine, "text")).drop("text")
+    base = base.withColumn("base_failed", base_failed())
     joined = _spread(base, depleted(documents, host), "left")
-    kept = ~F.col("base_failed") & F.col("removed_words").isNull()
+    kept = ~F.col("base_failed") & F.col("removed_share").isNull()
     return joined.withColumn("kept", kept)
 
 
 def keep(documents: DataFrame, host: str = "source") -> DataFrame:
     """The documents that pass, with all their columns and whole texts."""
     mine = [k.alias(f"__{n}") for k, n in zip(keys(host), ("host", "text_hash"), strict=True)]
-    few, *_, repeated = measures(F.col("text"))
-    good = documents.filter(
-        (few >= LEAST_WORDS) & (repeated * 100 <= few * REPEATED_SHARE)
-    ).select("*", *mine)
-    return _spread(good, depleted(documents, host).drop("removed_words"), "left_anti").select(
-        *documents.columns
-    )
+    whole = F.struct(*documents.columns).alias("__row")
+    good = with_measures(documents.select(whole, "doc_id", *mine, "text")).filter(~base_failed())
+    left = _spread(good, depleted(documents, host).drop("removed_share"), "left_anti")
+    return left.select("__row.*")

@@ -1,8 +1,6 @@
 import re
 from collections import Counter, defaultdict
 
-from pyspark.sql import functions as F
-
 from layerscan.llm import quality_rules
 from tests.llm import samples
 
@@ -27,8 +25,8 @@ def test_measures(spark):
         "l\nl\n \n \nl|#\nm", "\x0b\x0ca\x1cb c", f"{samples.prose(10, 50)} {block}\n{block}",
     ]
     frame = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
-    rows = frame.select("n", *quality_rules.measures(F.col("text"))).collect()
-    for n, *found in rows:
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    for n, *found in quality_rules.with_measures(frame).select("n", *names).collect():
         assert tuple(found) == brute(texts[n]), texts[n]
 
 
@@ -48,13 +46,14 @@ def brute_kept(rows, most, left):
     kept = {}
     for doc_id, text, host in rows:
         words, *_, repeated = brute(text)
-        gone = 0
+        gone = size = 0
         for line in (text or "").split("\n"):
             own = carriers[host, normal(line)] if normal(line) else ()
+            size += len(normal(line))
             if len(own) > most and first[host, text] != min(first[host, t] for t in own):
-                gone += len(line.split())
+                gone += len(normal(line))
         base = words >= 20 and 100 * repeated <= 30 * words
-        kept[doc_id] = base and words - gone >= left * words
+        kept[doc_id] = base and gone <= (1 - left) * size
     return kept
 
 
