@@ -22,7 +22,7 @@ from layerscan.operators.profile import layer_extents
 from layerscan.operators.search import match_ring, search_rows
 from layerscan.session import configure
 from layerscan.sources import container, shapefile, tiff
-from layerscan.sources.discovery import fold_datasets, list_files
+from layerscan.sources.discovery import fold_datasets, list_tree
 from layerscan.sources.files import path_exists
 
 SHORT_FIELDS = "transform(fields, f -> struct(f.name AS name, f.type AS type, f.width AS width))"
@@ -74,7 +74,7 @@ class Dataset:
         if not self.exists():
             empty = F.lit(0).cast("bigint")
             return self.spark.range(1).select(empty.alias("size_bytes"), human_size(empty).alias("size"))
-        return self._size_of(list_files(self.spark, self._size_root()))
+        return self._size_of(list_tree(self.spark, self._size_root()))
 
     def _size_root(self) -> str:
         return self.path
@@ -466,7 +466,7 @@ def open_dataset(spark: SparkSession, path: str, **options) -> Dataset:
     endings = set()
     if path_exists(clean):
         kinds = ["shp", "parquet", *tiff.RASTER_EXTENSIONS]
-        listed = list_files(spark, clean).select(extension(F.col("path")).alias("ending"))
+        listed = list_tree(spark, clean).select(extension(F.col("path")).alias("ending"))
         endings = {r.ending for r in listed.where(F.col("ending").isin(kinds)).distinct().collect()}
     if "shp" in endings:
         return Shapefile(spark, clean)

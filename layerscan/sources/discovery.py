@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from layerscan.functions.paths import (
     unsupported_message,
 )
 from layerscan.functions.text import human_size
+from layerscan.sources.files import list_entries
 
 # Files that belong to the shapefile of the same stem.
 SIDECAR_EXTENSIONS = ["shx", "dbf", "prj", "cpg", "sbn", "sbx", "qix", "qpj", "ain", "aih", "idm", "ind"]
@@ -39,6 +43,38 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``path, length`` of every file at or below a path, whatever its name.
+
+    Tasks list: one the top level, then one for each folder in it all that lies below.
+    """
+    top = spark.createDataFrame([(root,)], "path string").mapInArrow(_list_level(False), _ENTRIES)
+    below_top = (
+        top.where("folder").select("path").repartition(spark.sparkContext.defaultParallelism, "path")
+    )
+    deep = below_top.mapInArrow(_list_level(True), _ENTRIES)
+    return top.union(deep).where("not folder").select("path", "length")
+
+
+_ENTRIES = "path string, length bigint, folder boolean"
+
+
+def _list_level(recursive: bool):
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                found = list_entries(path, recursive)
+                for at in range(0, len(found), 10_000):
+                    columns = zip(*found[at : at + 10_000], strict=True)
+                    kinds = (pa.string(), pa.int64(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                        ["path", "length", "folder"],
+                    )
+
+    return entries
+
+
 def classify_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     """Name, stem, extension, format and visibility of each path."""
     p = F.col(path)
@@ -109,7 +145,7 @@ def fold_datasets(files: DataFrame, root: str = "") -> DataFrame:
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """All datasets below a folder, with size; one row each."""
-    return fold_datasets(list_files(spark, root), root)
+    return fold_datasets(list_tree(spark, root), root)
 
 
 def raster_layers(datasets: DataFrame) -> DataFrame:

@@ -41,6 +41,33 @@ def list_sizes(path: str) -> dict[str, int]:
     return {}
 
 
+def list_entries(path: str, recursive: bool) -> list[tuple[str, int, bool]]:
+    """Path, size and whether it is a folder of what lies in a folder, or of a file itself.
+
+    Paths are written as Spark writes them: local ones with the scheme ``file:``.
+    """
+    fs, inner = filesystem(path)
+    info = fs.get_file_info(inner)
+    if info.type == pafs.FileType.NotFound:
+        return []
+    entries = [info]
+    if info.type == pafs.FileType.Directory:
+        entries = fs.get_file_info(pafs.FileSelector(inner, recursive=recursive))
+    scheme = path[: path.index("://") + 3] if "://" in path else "file:"
+    if isinstance(fs, pafs.LocalFileSystem):
+        scheme = "file:"
+    host = "" if scheme == "file:" or not path.startswith(scheme) else _host_of(path, inner)
+    return [
+        (scheme + host + e.path, e.size or 0, e.type == pafs.FileType.Directory) for e in entries
+    ]
+
+
+def _host_of(path: str, inner: str) -> str:
+    """What a URI has between its scheme and the path inside the file system."""
+    rest = path.rstrip("/").split("://", 1)[1]
+    return rest.removesuffix(inner) if rest.endswith(inner) else ""
+
+
 def path_exists(path: str) -> bool:
     fs, inner = filesystem(path)
     return fs.get_file_info(inner).type != pafs.FileType.NotFound

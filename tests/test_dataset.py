@@ -148,3 +148,38 @@ def test_container_without_layers_of_ours(spark, tree):
         "store.gdb", True, "8 B", 0, "No layer here can be read")
     for answer in (store.schema(), store.extent("x"), store.peek()):
         assert answer.first().error == "No layer here can be read"
+
+
+def test_container_with_odd_layers(spark, tmp_path):
+    root = tmp_path / "odd.gdb"
+    box = "xmin double, xmax double, ymin double, ymax double"
+    spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)] * 3, box).write.parquet(f"{root}/my layer é+1.parquet")
+    spark.createDataFrame([("a", 1.0, 1.0, 1.0)], box.replace("xmin double", "xmin string")).write.parquet(
+        f"{root}/worded.parquet"
+    )
+    (root / "broken.parquet").write_bytes(b"PAR1 not really")
+    rows = {r.layer: r for r in layerscan.open_dataset(spark, str(root)).catalog().collect()}
+    assert sorted(rows) == ["broken", "my layer é+1", "worded"]
+    named = rows["my layer é+1"]
+    assert named.feature_count == 3 and tuple(named.extent) == (1.0, 2.0, 3.0, 4.0)
+    assert rows["worded"].feature_count == 1 and rows["worded"].extent is None
+    assert rows["broken"].error.startswith("Could not open layer file")
+
+
+def test_sizes_count_files_of_any_name(spark, tmp_path):
+    root = tmp_path / "store.gdb"
+    (root / "_deep" / ".er").mkdir(parents=True)
+    for name in ("a", "_b", ".c", "_deep/d", "_deep/.er/e"):
+        (root / name).write_bytes(b"x" * 7)
+    assert layerscan.open_dataset(spark, str(root)).size().first().size_bytes == 35
+    (tmp_path / "_under.tif").write_bytes(b"x")
+    found = {r.layer for r in discover(spark, str(tmp_path)).collect()}
+    assert found == {"store", "_under"}
+
+
+def test_size_of_one_shapefile_is_its_own(spark, tmp_path):
+    for folder in (tmp_path, tmp_path / "deeper"):
+        folder.mkdir(exist_ok=True)
+        for name, size in (("a.shp", 100), ("a.dbf", 20), ("a.shp.xml", 3), ("b.shp", 50)):
+            (folder / name).write_bytes(b"x" * size)
+    assert layerscan.open_dataset(spark, str(tmp_path / "a.shp")).size().first().size_bytes == 123
