@@ -14,7 +14,7 @@ from functools import lru_cache
 
 #: Parts kept in each of the two generations of the memory.
 REMEMBERED = 300_000
-REMEMBERED_LIBRARY = 400_000
+REMEMBERED_LIBRARY = 300_000
 _SAFE = re.compile(r" (?=\S)")
 _LINE = re.compile(r"(?<=\S)(?=\n)")
 _TAIL = re.compile(r"(.*[A-Za-z])([!-/:-@\[-^`{-~]+)", re.S)

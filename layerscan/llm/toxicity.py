@@ -116,17 +116,20 @@ def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> DataFram
 
 
 def _regress(value: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Weights of the columns and, last, the intercept: ridge logistic regression by Newton's
-    method, with both classes weighing half."""
-    value = np.hstack([value, np.ones((len(value), 1), np.float32)])
+    """Weights of the columns: ridge logistic regression by Newton's method, with both classes
+    weighing half. Works in the precision of ``value``, with one copy of it at most."""
     share = toxic.mean()
     importance = np.where(toxic == 1, 0.5 / share, 0.5 / (1 - share))
     weights = np.zeros(value.shape[1])
+    scaled = np.empty_like(value)
     for _ in range(30):
-        guess = 1 / (1 + np.exp(-np.clip(value @ weights, -30, 30)))
-        slope = value.T @ (importance * (guess - toxic)) + RIDGE * weights
-        bend = importance * np.maximum(guess * (1 - guess), 1e-6)
-        curve = value.T @ (value * bend[:, None].astype(np.float32)) + RIDGE * np.eye(len(weights))
+        guess = value @ weights.astype(value.dtype)
+        guess = 1 / (1 + np.exp(-np.clip(guess.astype(float), -30, 30)))
+        slope = (importance * (guess - toxic)).astype(value.dtype) @ value + RIDGE * weights
+        bend = np.sqrt(importance * np.maximum(guess * (1 - guess), 1e-6))
+        np.multiply(value, bend.astype(value.dtype)[:, None], out=scaled)
+        curve = (scaled.T @ scaled).astype(float)
+        curve[np.diag_indices_from(curve)] += RIDGE
         change = np.linalg.solve(curve, slope)
         weights -= change
         if np.abs(change).max() < 1e-4:
@@ -178,15 +181,18 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Mod
     def used_only(found: pd.Series) -> pd.Series:
         return pd.Series([[place[f] for f in row.tolist() if f in place] for row in found])
 
+    total = sum(sizes.values())
+
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        toxic, rows = [], []
+        # The last column is the intercept's.
+        value = np.zeros((total, len(ratios) + 1), np.float32)
+        value[:, -1] = 1
+        toxic: list[int] = []
         for batch in batches:
-            toxic += batch["toxic"].tolist()
-            rows += batch["columns"].tolist()
+            for label, columns in zip(batch["toxic"], batch["columns"], strict=True):
+                value[len(toxic), columns] = ratios[columns]
+                toxic.append(label)
         if toxic:
-            value = np.zeros((len(rows), len(ratios)), np.float32)
-            for row, columns in zip(value, rows, strict=True):
-                row[np.asarray(columns, np.int64)] = ratios[np.asarray(columns, np.int64)]
             yield pd.DataFrame({"weights": [_regress(value, np.array(toxic, float))]})
 
     learned = (
