@@ -19,41 +19,42 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerscan.llm.quality_rules import SPACE, words
+from layerscan.llm.quality_rules import SPACE, let, words
 from layerscan.llm.toxicity import held_out
 from layerscan.session import shared_folder
 
 BINS = 16
+#: Characters whose shares are measured, and the number of all measures.
+KINDS = ("0123456789", "#*$%&<>", "|", "!?", ".,;:", "/@_=+~^")
+MEASURES = 6 + len(KINDS)
 #: Rows of records that a host's or path's prior counts for, at least and at most.
 STRENGTH = (2.0, 10_000.0)
 
 
-def measures(text: Column) -> list[Column]:
-    """Bins, from 0 to 15, of what is measured in a text."""
-    text = F.coalesce(text, F.lit(""))
+def with_bins(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``bins``: a bin, from 0 to 15, for each thing measured in ``text``."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE, "") != "")
+    both = lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))
+    # Cut into words and into lines once.
+    rows = rows.withColumns({"__words": let(words(text), both), "__lines": let(lines, both)})
+
     size = F.greatest(F.char_length(text), F.lit(1))
-    without = lambda kept: F.char_length(text) - F.char_length(F.translate(text, kept, ""))
+    count = lambda kept: F.char_length(text) - F.char_length(F.translate(text, kept, ""))
     share = lambda part: F.least(F.lit(BINS - 1), F.floor(F.sqrt(part) * BINS)).cast("int")
     log = lambda n: F.least(F.lit(BINS - 1), F.floor(F.log2(n + 1))).cast("int")
-    tokens = words(text)
-    count = F.greatest(F.size(tokens), F.lit(1))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE, "") != "")
-    n_lines = F.greatest(F.size(lines), F.lit(1))
+    n_words, n_lines = F.col("__words.n"), F.col("__lines.n")
     capitals = F.char_length(text) - F.char_length(F.regexp_replace(text, r"\p{Lu}", ""))
-    return [
-        log(F.size(tokens)),
-        share(F.size(F.array_distinct(tokens)) / count),
-        log(F.char_length(F.translate(text, SPACE, "")) / count),
+    bins = [
+        log(n_words),
+        share(F.col("__words.d") / F.greatest(n_words, F.lit(1))),
+        log(F.char_length(F.translate(text, SPACE, "")) / F.greatest(n_words, F.lit(1))),
         share(capitals / size),
-        share(without("0123456789") / size),
-        share(without("#*$%&<>") / size),
-        share(without("|") / size),
-        share(without("!?") / size),
-        share(without(".,;:") / size),
-        share(F.size(F.array_distinct(lines)) / n_lines),
-        log(F.size(lines)),
-        share(without("/@_=+~^") / size),
+        *[share(count(kind) / size) for kind in KINDS],
+        share(F.col("__lines.d") / F.greatest(n_lines, F.lit(1))),
+        log(n_lines),
     ]
+    return rows.withColumn("bins", F.array(*bins)).drop("__words", "__lines")
 
 
 def _logit(p: Column) -> Column:
@@ -84,7 +85,7 @@ def _evidence(rows: DataFrame, labels: DataFrame) -> tuple[list[list[float]], fl
     )
     good = sum(r["good"] for r in counts if r["measure"] == 0)
     bad = sum(r["all"] - r["good"] for r in counts if r["measure"] == 0)
-    ratios = [[0.0] * BINS for _ in measures(F.col("text"))]
+    ratios = [[0.0] * BINS for _ in range(MEASURES)]
     for r in counts:
         ratios[r["measure"]][r["bin"]] = math.log((r["good"] + 0.5) / (good + 0.5 * BINS)) - math.log(
             (r["all"] - r["good"] + 0.5) / (bad + 0.5 * BINS)
@@ -118,12 +119,13 @@ def scores(
     """
     spark = documents.sparkSession
     folder = shared_folder(spark, "quality")
-    documents.select(
+    named = documents.select(
         "doc_id",
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
         F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
-        F.array(*measures(F.col("text"))).alias("bins"),
-    ).write.parquet(f"{folder}/bins")
+        "text",
+    )
+    with_bins(named).drop("text").write.parquet(f"{folder}/bins")
     rows = spark.read.parquet(f"{folder}/bins")
     ratios, odds = _evidence(rows, labels)
     parts = [F.get(F.lit(r), F.col("bins")[n]) for n, r in enumerate(ratios)]

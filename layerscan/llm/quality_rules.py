@@ -32,7 +32,7 @@ SALTS = 32
 COPY_SALTS = 8
 
 
-def _let(value: Column, then) -> Column:
+def let(value: Column, then) -> Column:
     """``then(value)`` with ``value`` worked out once, also where it is used in loops."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
@@ -44,7 +44,7 @@ def words(text: Column) -> Column:
 
 def _pairs(hashes: Column, apart: int) -> Column:
     """Hash of each element with the one ``apart`` places on."""
-    return _let(
+    return let(
         hashes,
         lambda h: F.when(F.size(h) <= apart, F.array().cast("array<bigint>")).otherwise(
             F.zip_with(
@@ -74,18 +74,18 @@ def _repeated_words(windows: Column) -> Column:
             ),
             lambda i: i.isNotNull(),
         )
-        places = F.sort_array(_let(placed, twin))
+        places = F.sort_array(let(placed, twin))
         gaps = lambda p: F.zip_with(
             p,
             F.slice(p, 2, F.size(p)),
             lambda here, there: F.least(F.coalesce(there - here, F.lit(WINDOW)), F.lit(WINDOW)),
         )
-        total = F.aggregate(_let(places, gaps), F.lit(0).cast("long"), lambda a, x: a + x)
+        total = F.aggregate(let(places, gaps), F.lit(0).cast("long"), lambda a, x: a + x)
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(
             total
         )
 
-    return _let(windows, covered)
+    return let(windows, covered)
 
 
 def with_measures(rows: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def with_measures(rows: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     count = lambda kept: F.char_length(text) - F.char_length(F.translate(text, kept, ""))
     # A text is cut into words once, for both of these.
-    by_word = _let(
+    by_word = let(
         F.transform(words(text), lambda w: F.xxhash64(w)),
         lambda h: F.struct(
             F.size(h).cast("long").alias("n_words"),
@@ -103,7 +103,7 @@ def with_measures(rows: DataFrame) -> DataFrame:
     )
     with_words = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE, "") != "")
     lines = F.transform(with_words, lambda x: F.xxhash64(x))
-    repeated_lines = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    repeated_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     found = {
         "__by_word": by_word,
         "word_chars": F.char_length(F.translate(text, SPACE, "")).cast("long"),
