@@ -1,4 +1,4 @@
-"""Time the headline queries and print one JSON line.
+"""Time the queries on layers and print one JSON line.
 
 BENCH_SF_DIR names the tables (default /root/testdata/sf0.1), BENCH_CPUS the local
 threads. Every query is run to the end into a sink that keeps nothing; the better of two
@@ -16,42 +16,6 @@ from pyspark.sql import SparkSession
 from layerscan import configure
 from layerscan.plans.queries import QUERIES
 
-HEADLINE = [
-    "container_info",
-    "container_footers",
-    "schema_fields",
-    "search_fields",
-    "layer_extent",
-    "layer_card",
-    "info_json",
-    "peek_rows",
-    "peek_summary",
-    "scan_from",
-    "scan_from_sparse",
-    "row_pages",
-    "page_progress",
-    "search_rows",
-    "search_every_column",
-    "search_documents",
-    "search_pages",
-    "match_ring",
-    "match_ring_documents",
-    "highlight_spans",
-    "highlight_documents",
-    "band_stats",
-    "band_stats_nodata",
-    "raster_extent",
-    "classify_paths",
-    "dataset_catalog",
-    "human_size",
-    "render_values",
-    "shapefile_scan",
-    "shapefile_extent",
-    "raster_band_stats",
-    "stream_profile",
-]
-
-
 def run(spark: SparkSession, sf_dir: str, name: str) -> float:
     start = time.perf_counter()
     QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -73,7 +37,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
-    seconds = {name: round(min(run(spark, sf_dir, name) for _ in range(2)), 4) for name in HEADLINE}
+    seconds = {name: round(min(run(spark, sf_dir, name) for _ in range(2)), 4) for name in QUERIES}
     spark.stop()
     print(
         json.dumps(
