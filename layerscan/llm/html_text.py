@@ -2,12 +2,19 @@
 
 A page is read once into text blocks, each with the path of tags from the root. For every
 path, the text and the punctuation of its blocks are added up; their ratios to the number of
-blocks say how much a path looks like prose. Ratios are smoothed over neighbouring blocks,
-so that a heading beside paragraphs gains, fused into one score, and paths over a share of the
-page's best score are the content.
+blocks say how much a path looks like prose. Linked text counts a tenth, and a block counts up to
+a length, so that one long block doesn't belittle the rest. Ratios are smoothed over neighbouring
+blocks, so that a heading beside paragraphs gains.
 
-What a page declares about its parts weighs the ratios: menus, footers, forms and the like (by
-tag, role, class or id) weigh nothing, and an article element outweighs what is around it.
+What a page declares about its parts are factors of the ratios (``ARTICLE`` and below): the kind
+of part whose best path has the highest product is the content, with what is declared higher. An
+article that is the content is taken whole; elsewhere paths over a share of the best ratio are
+taken, and blocks that lie between taken ones of one container. Menus, footers and the like by tag
+or role, and what is hidden, are never taken.
+
+A word of a class or id is a hint only. ``STRONG_WORDS`` lower the factor, the others ask for half
+of the best ratio; either asks for some text, unless a page has nothing else. An article inside a
+part so marked is an article again, if with a lower factor than one outside.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,19 +40,28 @@ VOID = frozenset(
 )
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BOILERPLATE = frozenset(
-    "head nav footer aside form button select dialog menu template svg math object audio video "
+    "head nav footer aside button select dialog menu template svg math object audio video "
     "canvas map search label script style textarea title noscript iframe".split()
 )
-#: Words of a class, id or role that mark a part as no content.
-BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored "
-    "promo promoted promotion cookie cookies consent gdpr notice notices alert newsletter "
-    "subscribe subscription signup sidebar side rail menu nav navbar navigation breadcrumb "
-    "breadcrumbs footer header masthead comment comments commentlist respond reply replies disqus "
-    "discussion share sharing social related recommended recommendations popular trending popup "
-    "modal overlay hidden login search form toolbar pagination pager copyright disclaimer "
-    "contentinfo complementary".split()
+BOILERPLATE_ROLES = frozenset(
+    "navigation banner search contentinfo complementary dialog alertdialog alert menu menubar "
+    "toolbar tooltip".split()
+)
+#: Words of a class or id that mark a part as hardly ever content.
+STRONG_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored "
+    "promo promoted promotion cookie cookies consent gdpr newsletter subscribe subscription signup "
+    "sidebar nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist "
+    "respond reply replies disqus related recommended recommendations popular trending "
+    "pagination pager copyright disclaimer contentinfo complementary".split()
+)
+#: Words of a class or id that often name a mere look or place.
+WEAK_WORDS = frozenset(
+    "banner notice notices alert side rail menu header masthead discussion share sharing social "
+    "popup modal overlay hidden login search form toolbar".split()
 )
+#: Words that turn the others of the same name around, as in has-sidebar or comments-open.
+TURNING_WORDS = frozenset("has have with without no not open opened closed overflow".split())
 #: What closes an open element of the same or the named kind, and what that search stops at.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -56,10 +73,17 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 
-#: How much more an article counts, and the share of the best score that content reaches.
-ARTICLE_WEIGHT = 1000.0
+#: Factors of the ratio by what a part is declared as.
+ARTICLE, WRAPPED_ARTICLE, PLAIN, STRONG = 8.0, 4.0, 1.0, 1 / 8
+#: Shares of the best ratio that content reaches, and that a part with a weak word does.
 LEAST_SHARE = 0.05
-ARTICLE_SHARE = 0.0005
+WEAK_SHARE = 0.5
+#: Characters outside links that a marked part has at least.
+LEAST_MARKED = 200
+#: Characters and punctuation marks for each block count up to these.
+MOST_CHARS = 500
+MOST_MARKS = 50
+LINKED = 0.1
 SMOOTHING = (0.25, 0.5, 0.25)
 
 _TOKEN = re.compile(
@@ -71,44 +95,81 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(
-    r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>]|\Z)", re.I
+    r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?|\"[^\"]*\"|'[^']*'"
 )
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _PUNCTUATION = re.compile(r"[^\w\s]")
 
 
-def _declared(tag: str, rest: str, inside: bool) -> int:
-    """-1 for a part that is no content, 1 for an article, 0 else."""
+def _marked(value: str) -> int:
+    """2 when a class or id has a strong word, 1 for a weak one, 0 else."""
+    found = 0
+    for name in value.split():
+        parts = {w.lower() for w in _WORD.findall(name)}
+        if not parts & TURNING_WORDS:
+            found = max(found, 2 if parts & STRONG_WORDS else 1 if parts & WEAK_WORDS else 0)
+    return found
+
+
+def _declared(tag: str, rest: str, inside: bool) -> tuple[bool, bool, int]:
+    """Whether a part is never content, whether it is an article, and how it is marked."""
     if tag in BOILERPLATE or (tag == "header" and not inside):
-        return -1
-    kind = 1 if tag in ("article", "main") else 0
+        return True, False, 0
+    article, mark = tag in ("article", "main"), 1 if tag == "form" else 0
     if rest and tag not in ("html", "body"):
+        seen = set()
         for match in _ATTRIBUTE.finditer(rest):
-            name, value = match[1].lower(), (match[2] or "").strip("\"'")
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return -1
-            if name == "style":
-                if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    return -1
-            elif name == "role" and value in ("main", "article"):
-                kind = 1
-            elif tag != "main" and any(
-                w.lower() in BOILERPLATE_WORDS for w in _WORD.findall(value)
-            ):
-                return -1
-    return kind
+            name, value = (match[1] or "").lower(), (match[2] or "").strip("\"'")
+            if not name or name in seen:
+                continue  # the first of a name counts
+            seen.add(name)
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+                return True, False, 0
+            if name == "style" and _HIDING.search(value):
+                return True, False, 0
+            if name == "role":
+                roles = set(value.lower().split())
+                if roles & BOILERPLATE_ROLES:
+                    return True, False, 0
+                article = article or bool(roles & {"main", "article"})
+            elif name in ("class", "id") and tag != "main":
+                mark = max(mark, _marked(value))
+    if article and mark < 2:
+        mark = 0  # the declaration says more than a weak word
+    return False, article and not mark, mark
+
+
+class _Part(NamedTuple):
+    """What the text of an element is: its factor (0: never content), whether a weak word marks
+    it, the innermost marked element it is in (0: none), whether that is in an article."""
+
+    factor: float
+    weak: bool
+    marked: int
+    inside: bool
+
+
+class _Block(NamedTuple):
+    path: int
+    part: _Part
+    parent: int
+    linked: int
+    text: str
 
 
 class _Page:
-    """The text blocks of one page: ``blocks`` of (path, weight, text)."""
+    """The text blocks of one page."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[int, float, str]] = []
+        self.blocks: list[_Block] = []
         self.paths: dict[tuple[int, str], int] = {}
-        # Open elements: tag, path, weight, whether inside an article, path of its block.
-        self.open: list[tuple[str, int, float, bool, int]] = [("", 0, 1.0, False, 0)]
+        self.elements = 0
+        # Open elements: tag, path, part, path of its block, number, number of what holds the block.
+        self.open: list[tuple] = [("", 0, _Part(PLAIN, False, 0, False), 0, 0, 0)]
         self.count: dict[str, int] = {}
         self.text: list[str] = []
+        self.linked = 0
         self._read(source)
         self._flush()
 
@@ -117,18 +178,35 @@ class _Page:
             text = " ".join(html.unescape("".join(self.text)).split())
             self.text.clear()
             if text:
-                _, _, weight, _, path = self.open[-1]
-                self.blocks.append((path, weight, text))
+                _, _, part, path, _, parent = self.open[-1]
+                self.blocks.append(_Block(path, part, parent, min(self.linked, len(text)), text))
+            self.linked = 0
+
+    def _part(self, tag: str, rest: str, part: _Part) -> _Part:
+        if not part.factor:
+            return part
+        never, article, mark = _declared(tag, rest, part.inside)
+        if never:
+            return part._replace(factor=0.0)
+        if article and part.marked:
+            # An article of its own inside of something marked.
+            return _Part(WRAPPED_ARTICLE, False, 0, True)
+        if article and not part.inside:
+            return _Part(ARTICLE, False, 0, True)
+        if mark == 2:
+            return part._replace(factor=STRONG, marked=self.elements)
+        if mark == 1:
+            return part._replace(weak=True, marked=self.elements)
+        return part
 
     def _push(self, tag: str, rest: str) -> None:
-        _, path, weight, inside, block = self.open[-1]
-        kind = _declared(tag, rest, inside) if weight else 0
-        if kind < 0:
-            weight = 0.0
-        elif kind > 0 and weight and not inside:
-            weight, inside = ARTICLE_WEIGHT, True
+        _, path, part, block, number, parent = self.open[-1]
+        self.elements += 1
+        part = self._part(tag, rest, part)
         path = self.paths.setdefault((path, tag), len(self.paths) + 1)
-        self.open.append((tag, path, weight, inside, path if tag in BLOCKS else block))
+        if tag in BLOCKS:
+            block, parent = path, number
+        self.open.append((tag, path, part, block, self.elements, parent))
         self.count[tag] = self.count.get(tag, 0) + 1
 
     def _pop(self, to: int) -> None:
@@ -156,6 +234,8 @@ class _Page:
                 token = match[0]
                 if token[0] != "<" or token == "<":
                     self.text.append(token)
+                    if self.count.get("a"):
+                        self.linked += len(token.strip())
                 continue
             if match["tag2"] and not match[0].endswith(">"):
                 break  # the page ends inside a tag
@@ -165,7 +245,7 @@ class _Page:
                 if self.count.get(tag):
                     if block:
                         self._flush()
-                    elif self.open[-1][2] != self._weight_outside(tag):
+                    elif self.open[-1][2] != self._part_outside(tag):
                         self._flush()
                     self._close({tag}, set() if block else BLOCKS)
                 continue
@@ -195,44 +275,83 @@ class _Page:
                 self._flush()
                 self.open.append(mine)
 
-    def _weight_outside(self, tag: str) -> float:
+    def _part_outside(self, tag: str) -> _Part:
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] == tag:
                 return self.open[at - 1][2]
         return self.open[-1][2]
 
 
+def _ratios(blocks: list[_Block]) -> list[float]:
+    """The ratio of the path of every block, among blocks of the same kind of part."""
+    kind = [(b.path, b.part.factor, b.part.weak) for b in blocks]
+    chars: dict[tuple, float] = {}
+    marks: dict[tuple, int] = {}
+    nodes: dict[tuple, int] = {}
+    for key, b in zip(kind, blocks, strict=True):
+        chars[key] = chars.get(key, 0) + len(b.text) - (1 - LINKED) * b.linked
+        marks[key] = marks.get(key, 0) + len(_PUNCTUATION.findall(b.text))
+        nodes[key] = nodes.get(key, 0) + 1
+    ratio = {
+        key: max(1.0, min(chars[key] / n, MOST_CHARS)) * (1 + math.log1p(min(marks[key] / n, MOST_MARKS)))
+        for key, n in nodes.items()
+    }
+    # Smoothing over the neighbours in the same kind of part, then the mean over a path.
+    left, middle, right = SMOOTHING
+    smooth: dict[tuple, float] = {}
+    for n, (key, b) in enumerate(zip(kind, blocks, strict=True)):
+        near = [0.0, 0.0]
+        for side, other in enumerate((n - 1, n + 1)):
+            if not 0 <= other < len(blocks):
+                near[side] = ratio[key]
+            elif blocks[other].part == b.part:
+                near[side] = ratio[kind[other]]
+        found = left * near[0] + middle * ratio[key] + right * near[1]
+        smooth[key] = smooth.get(key, 0.0) + found / nodes[key]
+    return [ratio[k] if b.part.marked else smooth[k] for k, b in zip(kind, blocks, strict=True)]
+
+
 def extract(source: str | None) -> str:
     """Main text of a page: its content blocks in page order, joined by one space."""
     if not source:
         return ""
     blocks = _Page(source).blocks
-    # Ratios of each path: characters and punctuation marks to blocks.
-    chars: dict[int, int] = {}
-    marks: dict[int, int] = {}
-    nodes: dict[int, int] = {}
-    for path, _, text in blocks:
-        chars[path] = chars.get(path, 0) + len(text)
-        marks[path] = marks.get(path, 0) + len(_PUNCTUATION.findall(text))
-        nodes[path] = nodes.get(path, 0) + 1
-    ratio = {p: (chars[p] / n) * (1 + math.log1p(marks[p] / n)) for p, n in nodes.items()}
-    # Smoothing over the neighbours, then the mean over the blocks of a path and weight.
-    raw = [ratio[path] if weight else 0.0 for path, weight, _ in blocks]
-    padded = [raw[0], *raw, raw[-1]] if raw else []
-    left, middle, right = SMOOTHING
-    fused: dict[tuple[int, float], list[float]] = {}
-    for n, (path, weight, _) in enumerate(blocks):
-        if weight:
-            smooth = left * padded[n] + middle * padded[n + 1] + right * padded[n + 2]
-            fused.setdefault((path, weight), []).append(smooth)
-    score = {key: key[1] * sum(v) / len(v) for key, v in fused.items()}
-    best = max(score.values(), default=0.0)
-    in_article = any(weight > 1 for _, weight in score)
-    least = best * (ARTICLE_SHARE if in_article else LEAST_SHARE)
-    return " ".join(
-        text for path, weight, text in blocks if weight and score[path, weight] >= least
-        and (weight > 1 or not in_article)
-    )
+    ratios = _ratios(blocks)
+    size: dict[int, int] = {}
+    for b in blocks:
+        size[b.part.marked] = size.get(b.part.marked, 0) + len(b.text) - b.linked
+    clear = any(b.part.factor and not b.part.marked for b in blocks)
+
+    def may(b: _Block) -> bool:
+        if not b.part.factor or not b.part.marked:
+            return b.part.factor > 0
+        return size[b.part.marked] >= LEAST_MARKED or (not clear and b.part.factor > STRONG)
+
+    best: dict[float, float] = {}
+    for b, ratio in zip(blocks, ratios, strict=True):
+        if may(b) and (not b.part.weak or not clear):
+            best[b.part.factor] = max(best.get(b.part.factor, 0.0), ratio)
+    if not best:
+        return ""
+    content = max(best, key=lambda factor: (factor * best[factor], factor))
+
+    def taken(b: _Block, ratio: float) -> bool:
+        if not may(b) or b.part.factor < content:
+            return False
+        if b.part.weak and clear:
+            return ratio >= WEAK_SHARE * best[content]
+        whole = b.part.factor == content > PLAIN
+        return whole or ratio >= LEAST_SHARE * best[content]
+
+    take = [taken(b, ratio) for b, ratio in zip(blocks, ratios, strict=True)]
+    # Blocks between taken ones of one container.
+    last = None
+    for n in [n for n, t in enumerate(take) if t]:
+        if last is not None and blocks[last].parent == blocks[n].parent:
+            for m in range(last + 1, n):
+                take[m] = blocks[m].part.factor >= content and not blocks[m].part.marked
+        last = n
+    return " ".join(b.text for b, t in zip(blocks, take, strict=True) if t)
 
 
 def main_text(source: Column) -> Column:

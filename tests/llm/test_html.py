@@ -71,3 +71,42 @@ def test_odd_pages(spark):
     assert found.columns == ["page_id", "url", "text", "ids"]
     assert html_text.extract_pages(pages.filter("false")).count() == 0
     assert samples.TAKEN
+
+
+PROSE = "Prose of some length, as it is found in the main part of a page; it goes on, and on. " * 4
+PROSE = PROSE.strip()
+ITEMS = [f"short item number {n}" for n in range(20)]
+LIST = "<ul>" + "".join(f"<li>{i}" for i in ITEMS) + "</ul>"
+CARDS = "<article><a href='x'><h2>Card title</h2><p>A teaser, short.</p></a></article>" * 4
+WHOLE = [
+    # A word of a class or id doesn't lose prose.
+    (f"<div class='has-sidebar'><article><p>{PROSE}</article></div>", PROSE),
+    (f"<div class='sidebar-left'><main><p>{PROSE}</main></div><div class=sidebar>Links</div>", PROSE),
+    (f"<article class='hentry comments-open'><p>{PROSE}</article>", PROSE),
+    (f"<article><p>{PROSE}<div class='overflow-hidden'><p>part</div><p>{PROSE}</article>",
+     f"{PROSE} part {PROSE}"),
+    (f"<article><p>{PROSE}<div class='card-form'><p>{PROSE}</div></article>", f"{PROSE} {PROSE}"),
+    (f"<div class='col side'><p>{PROSE}</div>", PROSE),
+    (f"<div id=footer-fixed><p>{PROSE}<p>{PROSE}</div><div>by us</div>", f"{PROSE} {PROSE}"),
+    (f"<form><main><p>{PROSE}</main></form>", PROSE),
+    # Nor do values of other attributes.
+    (f"<article title='hidden gems'><p data-title='The hidden cost of rain' data-class=ad>{PROSE}"
+     "</article>", PROSE),
+    ("<article><p>seen<p title='a' hidden>no<p HIDDEN=''>no</article>", "seen"),
+    # What is marked and has little text, or is a comment, still goes.
+    (f"<article><p>{PROSE}<div class='social'>Tell others</div></article>", PROSE),
+    (f"<article><p>{PROSE}</article><div id=comments><article><p>{PROSE}</article></div>", PROSE),
+    # Cards in article elements are not the main text.
+    (f"{CARDS}<div><p>{PROSE}<p>{PROSE}</div>", f"{PROSE} {PROSE}"),
+    # Short blocks stay beside long ones.
+    (f"<article><p>{PROSE}<ul>{'<li>' + 'i' * 60}</ul>" + f"<p>{PROSE}<pre>{'code; ' * 17_000}</pre></article>",
+     f"{PROSE} {'i' * 60} {PROSE} {('code; ' * 17_000).strip()}"),
+    (f"<div><p>{PROSE}{LIST}<p>{PROSE}</div>", " ".join([PROSE, *ITEMS, PROSE])),
+    (f"<div><p>{PROSE}<pre>{'code; ' * 17_000}</pre><ol><li>a<li>b<li>c</ol><p>{PROSE}</div>",
+     f"{PROSE} {('code; ' * 17_000).strip()} a b c {PROSE}"),
+]
+
+
+@pytest.mark.parametrize("source, text", WHOLE)
+def test_whole_main_text(source, text):
+    assert html_text.extract(source) == text
