@@ -1,7 +1,7 @@
 """From raw documents to packed sequences, in four stages.
 
 Each stage takes all rows that the one before it kept. All but the last return the columns of
-``documents`` unchanged. Stages are written as Parquet in the shared folder and read again, so
+``documents``, unchanged but for the lines that the quality rules take out of ``text``. Stages are written as Parquet in the shared folder and read again, so
 a lost executor costs no more than one stage's work.
 
 Null or empty texts are rejected by the quality rules; the stages define their other
@@ -11,6 +11,7 @@ cases themselves. Columns beyond those of ``documents`` are carried along.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from layerscan.llm import near_dedup, quality_rules, toxicity
 from layerscan.llm.queries import packed_documents, prepared
@@ -24,9 +25,12 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the word rules and the rule on repeated lines let pass."""
+    """Documents that the word rules and the rule on repeated lines let pass, less such lines."""
     prepared(spark)
-    return quality_rules.keep(docs)
+    kept = quality_rules.keep(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return kept
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

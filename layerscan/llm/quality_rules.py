@@ -4,8 +4,9 @@ Word rules look at one row and never move it. For the cross-document rule, lines
 normalised and hashed, and the distinct documents of a host that hold a line are counted.
 Documents with the same text count once, so a text isn't held against its own copies. Lines
 in more documents than the limit are removed, except in the first document of the host that
-has them, so that of a group of near copies one stays whole. A document that has too little
-left is rejected.
+has them, so that of a group of near copies one stays whole. ``verdicts`` and ``keep`` give texts
+without these lines. A document that has too little left is rejected; the word rules look at its
+whole text.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ LEAST_LEFT = 0.3
 SALTS = 32
 #: The same, of one text.
 COPY_SALTS = 8
+#: Lists that the removed lines of a text are dealt to, so that looking one up stays short.
+BUCKETS = 64
 
 
 def let(value: Column, then) -> Column:
@@ -126,14 +129,30 @@ def depleted(
     least_left: float = LEAST_LEFT,
 ) -> DataFrame:
     """Texts of which the removal of frequent lines leaves too little: ``host`` and
-    ``text_hash``, as ``keys`` makes them, and ``removed_share``.
+    ``text_hash``, as ``keys`` makes them, and ``removed_share``."""
+    found = removals(documents, host, most_documents).drop("gone")
+    return found.filter(_too_little_left(least_left))
+
+
+def _too_little_left(least_left: float = LEAST_LEFT) -> Column:
+    return F.coalesce("removed_share", F.lit(0.0)) > 1 - least_left
+
+
+def _normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+
+
+def removals(
+    documents: DataFrame, host: str = "source", most_documents: int = MOST_DOCUMENTS
+) -> DataFrame:
+    """Texts that lose frequent lines: ``host`` and ``text_hash``, as ``keys`` makes them, ``gone``
+    with the hashes of those lines, and ``removed_share``.
 
     A normalised line is its lower-cased letters and digits, with one space in place of all
     between; lines without any stay. The share counts characters of normalised lines. A null host
     is a host of its own. Null and empty texts have no lines. Repeated rows are one document.
     """
-    normal = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normal)
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), _normal)
     lines = F.transform(
         F.array_remove(lines, ""),
         lambda x: F.struct(F.xxhash64(x).alias("line"), F.char_length(x).alias("size")),
@@ -164,18 +183,36 @@ def depleted(
         .join(frequent, ["host", "line", "salt"])
         .filter(F.struct("first", "text_hash") > F.col("keeper"))
         .groupBy("host", "text_hash")
-        .agg(F.sum("size").alias("removed"))
+        .agg(F.sum("size").alias("removed"), F.collect_list("line").alias("gone"))
     )
     # All copies of a text are summed up above and below.
     whole = carriers.groupBy("host", "text_hash").agg(F.sum("size").alias("size"))
     return (
         removed.join(whole, ["host", "text_hash"])
         .withColumn("removed_share", F.col("removed") / F.col("size"))
-        .filter(F.col("removed_share") > 1 - least_left)
-        .select("host", "text_hash", "removed_share")
+        .select("host", "text_hash", "gone", "removed_share")
     )
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """``text`` without the lines whose hashes are in ``gone``, the others in order."""
+    dealt = F.transform(
+        F.sequence(F.lit(0), F.lit(BUCKETS - 1)),
+        lambda b: F.filter(gone, lambda x: F.pmod(x, F.lit(BUCKETS)) == b),
+    )
+
+    def stays(buckets: Column, line: Column) -> Column:
+        return let(
+            F.xxhash64(_normal(line)),
+            lambda h: ~F.array_contains(F.get(buckets, F.pmod(h, F.lit(BUCKETS)).cast("int")), h),
+        )
+
+    left = let(
+        dealt, lambda b: F.array_join(F.filter(F.split(text, "\n"), lambda x: stays(b, x)), "\n")
+    )
+    return F.when(gone.isNull(), text).otherwise(left)
+
+
 def keys(host: str) -> list[Column]:
     """Hashes of a document's host and text."""
     return [
@@ -184,36 +221,43 @@ def keys(host: str) -> list[Column]:
     ]
 
 
-def _spread(documents: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
-    """Join by host and text, with a text of very many copies dealt to several tasks."""
+def _spread(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """Left join by host and text, with a text of very many copies dealt to several tasks."""
     salts = F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))
-    verdicts = verdicts.withColumn("__salt", F.explode(salts))
+    found = found.withColumn("__salt", F.explode(salts))
     names = {"host": "__host", "text_hash": "__text_hash"}
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SALTS)).cast("int")
     return (
         documents.withColumn("__salt", salt)
-        .join(verdicts.withColumnsRenamed(names), ["__host", "__text_hash", "__salt"], how)
+        .join(found.withColumnsRenamed(names), ["__host", "__text_hash", "__salt"], "left")
         .drop("__host", "__text_hash", "__salt")
     )
 
 
 def verdicts(documents: DataFrame, host: str = "source") -> DataFrame:
-    """``doc_id``, the measures, ``base_failed``, ``removed_share`` and ``kept`` of every row.
+    """``doc_id``, the measures, ``base_failed``, ``removed_share``, ``kept`` and ``text``, less
+    its frequent lines, of every row.
 
     A null text has no words, and so fails the base rules. Repeated rows get a row each.
+    ``removed_share`` is null where nothing is removed.
     """
     mine = [k.alias(f"__{n}") for k, n in zip(keys(host), ("host", "text_hash"), strict=True)]
-    base = with_measures(documents.select("doc_id", *mine, "text")).drop("text")
+    base = with_measures(documents.select("doc_id", *mine, "text"))
     base = base.withColumn("base_failed", base_failed())
-    joined = _spread(base, depleted(documents, host), "left")
-    kept = ~F.col("base_failed") & F.col("removed_share").isNull()
-    return joined.withColumn("kept", kept)
+    joined = _spread(base, removals(documents, host))
+    kept = ~F.col("base_failed") & ~_too_little_left()
+    text = _without(F.col("text"), F.col("gone"))
+    return joined.withColumns({"text": text, "kept": kept}).drop("gone")
 
 
 def keep(documents: DataFrame, host: str = "source") -> DataFrame:
-    """The documents that pass, with all their columns and whole texts."""
+    """The documents that pass, with all their columns; ``text`` is without frequent lines."""
     mine = [k.alias(f"__{n}") for k, n in zip(keys(host), ("host", "text_hash"), strict=True)]
     whole = F.struct(*documents.columns).alias("__row")
     good = with_measures(documents.select(whole, "doc_id", *mine, "text")).filter(~base_failed())
-    left = _spread(good, depleted(documents, host).drop("removed_share"), "left_anti")
-    return left.select("__row.*")
+    left = _spread(good.select("__row", "doc_id", "__host", "__text_hash"), removals(documents, host))
+    row, gone = F.col("__row"), F.col("gone")
+    columns = [
+        _without(row[c], gone).alias(c) if c == "text" else row[c].alias(c) for c in documents.columns
+    ]
+    return left.filter(~_too_little_left()).select(*columns)

@@ -92,11 +92,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures and verdict of every document."""
+    """Measures, verdict and text without frequent lines of every document."""
     found = quality_rules.verdicts(_table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept",
+        "base_failed", "kept", "text",
     )
 
 

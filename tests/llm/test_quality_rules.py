@@ -92,3 +92,22 @@ def test_odd_documents(spark):
 def test_no_python(spark):
     plan = quality_rules.verdicts(samples.no_documents(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_frequent_lines_leave_the_text(spark):
+    # 102 texts share a line in two spellings; the first keeps it, copies count once.
+    line = samples.prose(1, 20)
+    own = [samples.prose(10 + n, 30) for n in range(103)]
+    rows = [(n, f"{own[n]}\n{line.upper()}!\n\n{line}\n--\nend {n}", "a") for n in range(102)]
+    rows += [(200, rows[7][1], "a"), (201, rows[0][1], "a"), (300, f"{own[102]}\n{line}", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    less = {n: f"{own[n]}\n\n--\nend {n}" for n in range(1, 102)} | {200: f"{own[7]}\n\n--\nend 7"}
+    for n in (0, 201, 300):
+        less[n] = next(t for d, t, _ in rows if d == n)
+    found = {r["doc_id"]: r for r in quality_rules.verdicts(frame).collect()}
+    assert {d: r["text"] for d, r in found.items()} == less
+    assert {d for d, r in found.items() if r["removed_share"]} == set(less) - {0, 201, 300}
+    passing = {d for d, r in found.items() if r["kept"]}
+    assert {0, 201, 300} <= passing
+    kept = quality_rules.keep(frame).collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {d: less[d] for d in passing}
