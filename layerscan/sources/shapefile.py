@@ -1,9 +1,10 @@
 """Shapefiles as a Spark source.
 
 ``spark.read.format("shapefile").load(path)`` reads one shapefile or every shapefile
-below a folder. An input partition is a range of records: the index file gives the byte
-range of any record, so a task seeks straight to its share. Planning needs file sizes
-only. ``shapefile_headers`` answers type, count, extent and fields from headers alone.
+below a folder. The columns are the union of theirs by name, each in the wider type. An
+input partition is a range of records: the index file gives the byte range of any record,
+so a task seeks straight to its share. Planning needs file sizes, and for the columns the
+heads of the attribute tables. ``shapefile_headers`` answers type, count, extent and fields from headers alone.
 
 Options: ``layer`` (stem of the one file to read), ``columns`` (comma-separated, to leave
 out columns, above all ``geometry_wkb``), ``rowsPerPartition``.
@@ -13,7 +14,9 @@ from __future__ import annotations
 
 import datetime
 import struct
+from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +46,7 @@ from layerscan.sources.wkb import polygon_wkb, polyline_wkb, multipoint_wkb, poi
 
 ROWS_PER_PARTITION = 200_000
 ROWS_PER_BATCH = 8_192
+HEADERS_AT_ONCE = 16
 HEADER_BYTES = 100
 INDEX_ENTRY_BYTES = 8
 
@@ -115,6 +119,52 @@ def read_table_header(path: str, encoding: str | None = None) -> TableHeader:
     return TableHeader(header_bytes, record_bytes, encoding or language, fields)
 
 
+def column_names(fields: list[Field]) -> list[str]:
+    """Names of the columns of one file. A name that comes again, in any case, gets a number."""
+    taken, names = Counter(), []
+    for f in fields:
+        name = f.column
+        while taken[name.lower()]:
+            name = f"{f.column}_{taken[f.column.lower()]}"
+            taken[f.column.lower()] += 1
+        taken[name.lower()] += 1
+        names.append(name)
+    return names
+
+
+def _wider(one: T.DataType, other: T.DataType) -> T.DataType:
+    """The type that holds values of both; text when they aren't both numbers."""
+    order = [T.IntegerType(), T.LongType(), T.DoubleType()]
+    if one == other:
+        return one
+    if one in order and other in order:
+        return max(one, other, key=order.index)
+    return T.StringType()
+
+
+def _fields_or_none(path: str) -> list[Field]:
+    """Fields of an attribute table; none of a damaged one, whose rows say so in ``error``."""
+    try:
+        return read_table_header(path).fields
+    except (OSError, ValueError, struct.error):
+        return []
+
+
+def union_of_fields(tables: list[str]) -> list[T.StructField]:
+    """Columns of any of the attribute tables, by name without regard to case."""
+    found: dict[str, T.StructField] = {}
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        for fields in pool.map(_fields_or_none, tables):
+            for f, name in zip(fields, column_names(fields), strict=True):
+                kind, size = f.spark_type, {"width": f.width, "precision": f.decimals}
+                known = found.get(name.lower())
+                if known:
+                    name, kind = known.name, _wider(known.dataType, kind)
+                    size = {k: max(v, known.metadata[k]) for k, v in size.items()}
+                found[name.lower()] = T.StructField(name, kind, True, {"alias": "", **size})
+    return list(found.values())
+
+
 def _first_readable(base: str, ext: str) -> str | None:
     for candidate in (f"{base}.{ext}", f"{base}.{ext.upper()}"):
         if list_sizes(candidate):
@@ -161,10 +211,16 @@ def _date(text: str | None) -> datetime.date | None:
         return None
 
 
-def decode_values(raw: np.ndarray, field: Field, encoding: str) -> pa.Array:
-    """One attribute column of a block of records."""
+def decode_values(
+    raw: np.ndarray, field: Field, encoding: str, target: T.DataType | None = None
+) -> pa.Array:
+    """One attribute column of a block of records, in a wider type if one is asked for."""
     texts = _texts(raw[:, field.offset : field.offset + field.width], encoding)
     kind = field.spark_type
+    if isinstance(target, T.StringType) and field.kind in "NF":
+        return texts  # numbers as they are written
+    if isinstance(target, T.DoubleType) and isinstance(kind, T.LongType):
+        kind = target  # not every long is a double
     if isinstance(kind, (T.IntegerType, T.LongType, T.DoubleType)):
         number = pc.match_substring_regex(texts, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
         plain = pc.replace_substring_regex(
@@ -349,13 +405,7 @@ class ShapefileSource(DataSource):
         if not files:
             wanted = self.options.get("layer")
             raise ValueError(f"Layer not found: {wanted}" if wanted else "No shapefile found")
-        fields = read_table_header(files[0]["dbf"]).fields if files[0]["dbf"] else []
-        attributes = [
-            T.StructField(
-                f.column, f.spark_type, True, {"alias": "", "width": f.width, "precision": f.decimals}
-            )
-            for f in fields
-        ]
+        attributes = union_of_fields([f["dbf"] for f in files if f["dbf"]])
         every = FRONT + attributes + BACK
         wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
         return T.StructType([f for f in every if not wanted or f.name in wanted])
@@ -422,7 +472,10 @@ class ShapefileReader(DataSourceReader):
             raise ValueError("index file is missing")
         wanted = set(self.target.names)
         header = read_table_header(piece.dbf, _codepage(piece.cpg)) if piece.dbf else None
-        fields = [f for f in (header.fields if header else []) if f.column in wanted]
+        columns_by_name = {f.name.lower(): f for f in self.target}
+        fields = header.fields if header else []
+        named = zip(fields, column_names(fields), strict=True)
+        fields = [(f, columns_by_name[n.lower()]) for f, n in named if n.lower() in columns_by_name]
         shape_columns = wanted & {f.name for f in BACK}
         for low in range(piece.low, piece.high, ROWS_PER_BATCH):
             high = min(piece.high, low + ROWS_PER_BATCH)
@@ -430,10 +483,10 @@ class ShapefileReader(DataSourceReader):
             if header:
                 raw = _read_records(piece.dbf, header, low, high)
                 keep[: len(raw)] = raw[:, 0] != ord("*")
-                for f in fields:
-                    values = decode_values(raw, f, header.encoding)
+                for f, column in fields:
+                    values = decode_values(raw, f, header.encoding, column.dataType)
                     missing = high - low - len(raw)
-                    columns[f.column] = (
+                    columns[column.name] = (
                         pa.concat_arrays([values, pa.nulls(missing, values.type)]) if missing else values
                     )
             if shape_columns:

@@ -226,3 +226,25 @@ def test_scattered_records(spark, tmp_path):
     (tmp_path / "odd.shx").write_bytes(bytes(shx))
     got = {r.fid: r.xmin for r in spark.read.format("shapefile").load(str(tmp_path)).collect()}
     assert got == {0: 0.0, 1: 1.0, 2: 2.0}
+
+
+def test_folder_of_unlike_layers(spark, tmp_path):
+    place = [point_bytes(1, 2)]
+    first = [("id", "N", 9, 0), ("name", "C", 8, 0), ("size", "N", 18, 0), ("code", "N", 5, 0), ("when", "D", 8, 0)]
+    second = [("ID", "N", 18, 0), ("size", "N", 12, 3), ("code", "C", 6, 0), ("when", "C", 4, 0), ("extra", "C", 5, 0),
+              ("EXTRA", "L", 1, 0)]
+    save(tmp_path, "a", 1, place, (1, 2, 1, 2), columns=first, rows=[["1", "n", str(2**53 + 1), "07", "20240415"]])
+    save(tmp_path, "b", 1, place, (1, 2, 1, 2), columns=second, rows=[[str(10**12), "1.5", "x7", "soon", "more", "T"]])
+    save(tmp_path, "c", 1, place, (1, 2, 1, 2), columns=second[:1], rows=[["5"]])
+    (tmp_path / "c.dbf").write_bytes(b"damaged")
+    df = spark.read.format("shapefile").load(str(tmp_path))
+    kinds = dict(df.dtypes)
+    names = ["id", "name", "size", "code", "when", "extra", "EXTRA_1"]
+    assert df.columns[2:9] == names
+    assert [kinds[n] for n in names] == ["bigint", "string", "double", "string", "string", "string", "boolean"]
+    rows = {r["layer"]: r for r in df.collect()}
+    assert [rows["a"][n] for n in names] == [1, "n", float(2**53), "07", "2024-04-15", None, None]
+    assert [rows["b"][n] for n in names] == [10**12, None, 1.5, "x7", "soon", "more", True]
+    assert rows["a"]["error"] is None and rows["b"]["error"] is None and rows["c"]["error"]
+    only = spark.read.format("shapefile").option("columns", "layer,extra").load(str(tmp_path)).where("layer = 'b'")
+    assert [tuple(r) for r in only.collect()] == [("b", "more")]
