@@ -157,7 +157,8 @@ def removals(
         F.array_remove(lines, ""),
         lambda x: F.struct(F.xxhash64(x).alias("line"), F.char_length(x).alias("size")),
     )
-    folder = shared_folder(documents.sparkSession, "lines")
+    spark = documents.sparkSession
+    folder = shared_folder(spark, "lines")
     # One row for each line and text: copies of a text meet here, before lines are counted.
     (
         documents.select(*keys(host), "doc_id", F.inline(lines))
@@ -168,13 +169,17 @@ def removals(
         )
         .write.parquet(folder)
     )
-    carriers = documents.sparkSession.read.parquet(folder)
-    frequent = (
+    carriers = spark.read.parquet(folder)
+    frequent_folder = shared_folder(spark, "frequent_lines")
+    (
         carriers.groupBy("host", "line")
         .agg(F.count("*").alias("documents"), F.min(F.struct("first", "text_hash")).alias("keeper"))
         .filter(F.col("documents") > most_documents)
         .select("host", "line", "keeper")
+        .write.parquet(frequent_folder)
     )
+    # Where these are few, as their size on disk tells, the lines that meet them aren't shuffled.
+    frequent = spark.read.parquet(frequent_folder)
     # A frequent line has more than most_documents carriers, so its copies below are fewer
     # rows than the lines they meet; they spread a line that very many documents hold.
     frequent = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
