@@ -1,11 +1,26 @@
-"""One query for each operator, over the whole of its table, and the SQL of those that have one."""
+"""One query for each operator, over the whole of its table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerscan.llm import bpe, html_text, near_dedup, nearest, packing, quality_model, quality_rules, records, sharding, toxicity
+from layerscan.llm import (
+    bpe,
+    html_text,
+    lexical,
+    mixing,
+    near_dedup,
+    nearest,
+    packing,
+    quality_model,
+    quality_rules,
+    records,
+    sharding,
+    spelling,
+    toxicity,
+)
+from layerscan.llm.oracles import ORACLES  # noqa: F401  the SQL of those that SQL can express
 from layerscan.session import configure, shared_folder
 
 
@@ -126,6 +141,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of all sources to weights of 5, 2 and 1 takes of every document."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return lexical.search(*(_table(spark, sf_dir, t) for t in ("documents", "benchmark")))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commoner form and the root of every word."""
+    return spelling.variants(spelling.vocabulary(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -137,7 +168,7 @@ QUERIES = {
     "op8_records": op8_records,
     "op9_html": op9_html,
     "op10_toxicity": op10_toxicity,
+    "op11_mixing": op11_mixing,
+    "op12_lexical": op12_lexical,
+    "op13_spelling": op13_spelling,
 }
-
-#: SQL of the operators that SQL can express.
-ORACLES: dict[str, str] = {}
