@@ -24,7 +24,9 @@ def trim_separators(path: Column) -> Column:
 
 def below(path: Column, root: str) -> Column:
     """The part of a path below a folder; the whole path when it lies elsewhere."""
-    start = root.removeprefix("file:").rstrip("/") + "/"
+    if root.startswith("file:"):
+        root = "/" + root.removeprefix("file:").lstrip("/")
+    start = root.rstrip("/") + "/"
     at = F.instr(path, start)
     return F.when(at > 0, F.substring(path, at + len(start), F.length(path))).otherwise(path)
 

@@ -291,15 +291,11 @@ class Container(Dataset):
         return self.exists() and self.first_layer() is not None
 
     def catalog(self) -> DataFrame:
-        """Counts and fields come from file footers, extents from one scan of the coordinates."""
-        names, extent = F.col("geometry_names"), F.col("extent")
-        located = container.container_extents(self.spark, self.path)
-        catalog = container.container_catalog(self.spark, self.path).join(located, "layer", "left")
-        if self.axes:
-            points = {layer: container.read_layer(self.spark, self.path, layer) for layer in self.axes}
-            axes = {layer: (F.col(x), F.col(y)) for layer, (x, y) in self.axes.items()}
-            given = layer_extents(points, axes).select("layer", extent.alias("_given"))
-            catalog = catalog.join(given, "layer", "left").withColumn("extent", F.coalesce("_given", extent))
+        """Counts, fields and extents from one pass over the file footers; only files that don't
+        give the least and greatest of their coordinates there are read further."""
+        names = F.col("geometry_names")
+        footers = container.written_footers(self.spark, self.path, self.axes)
+        catalog = container.catalog_of(footers).join(container.extents_of(footers, self.axes), "layer", "left")
         return catalog.select(
             "layer",
             "feature_count",
@@ -335,17 +331,26 @@ class Shapefile(Dataset):
 
     label = "Shapefile"
 
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path)
+        self._plans: dict[str, shapefile.ShapefilePlan] = {}
+
     def catalog(self) -> DataFrame:
         return shapefile.shapefile_headers(self.spark, self.path)
 
     def _load(self, layer: str, columns: list[str] | None = None) -> DataFrame:
-        reader = self.spark.read.format("shapefile").option("layer", layer)
-        return (reader.option("columns", ",".join(columns)) if columns else reader).load(self.path)
+        return shapefile.read_shapefiles(self.spark, self._plan(layer), columns)
+
+    def _plan(self, layer: str) -> shapefile.ShapefilePlan:
+        """The record ranges of a layer, planned when it is first asked for."""
+        if layer not in self._plans:
+            self._plans[layer] = shapefile.shapefile_plan(self.spark, self.path, layer)
+        return self._plans[layer]
 
     def read(self, layer):
         """fid, attributes and geometry name; the source is not asked for the rest."""
         extras = {"layer", "geometry_wkb", *BOX, "error"}
-        wanted = [c for c in self._load(layer).columns if c not in extras]
+        wanted = [c for c in self._plan(layer).schema.names if c not in extras]
         return self._load(layer, wanted), "fid", F.col("geometry")
 
     def keys(self, layer: str) -> DataFrame:
@@ -432,7 +437,7 @@ class Raster(Dataset):
 
     def pixels(self) -> DataFrame:
         """Every pixel as ``path, band, row, col, value``."""
-        return self.spark.read.format("raster").load(self.path)
+        return tiff.raster_pixels(self.spark, self.path)
 
     def _cannot_open(self) -> str:
         return CANNOT_OPEN_RASTER

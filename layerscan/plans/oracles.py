@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-from layerscan.plans.queries import LAYERS, LISTED_FILES, TREE_PATHS
-
-FIELD_COUNTS = {
-    "benchmark": 2, "conversations": 4, "customer": 5, "documents": 5, "embeddings": 3, "events": 6,
-    "labels": 3, "lineitem": 11, "nation": 3, "orders": 6, "pages": 3, "part": 6, "region": 2, "supplier": 4,
-}
+from layerscan.plans.queries import LAYERS, LISTED_FILES, TREE_BYTES, TREE_FILES, TREE_PATHS
 
 NAMES = ", ".join(f"'{name}'" for name in LAYERS)
 
@@ -21,7 +16,8 @@ FIELDS = f"""
 """
 
 COUNTS = " UNION ALL ".join(
-    f"SELECT '{name}' AS layer, count(*) AS feature_count, {FIELD_COUNTS[name]} AS field_count FROM {name}"
+    f"SELECT '{name}' AS layer, count(*) AS feature_count, (SELECT CAST(count(*) AS INTEGER) "
+    f"FROM information_schema.columns WHERE table_name = '{name}') AS field_count FROM {name}"
     for name in LAYERS
 )
 
@@ -99,7 +95,8 @@ def card(layer: str, x: str = "CAST(NULL AS DOUBLE)", y: str = "CAST(NULL AS DOU
     facts = box(layer, layer, x, y)
     return f"""
         SELECT 'Feature Class' AS type, c.layer, c.field_count, f.feature_count, f.xmin, f.xmax, f.ymin, f.ymax
-        FROM (SELECT '{layer}' AS layer, {FIELD_COUNTS[layer]} AS field_count) c
+        FROM (SELECT table_name AS layer, CAST(count(*) AS INTEGER) AS field_count
+              FROM information_schema.columns WHERE table_name = '{layer}' GROUP BY table_name) c
         LEFT JOIN ({facts}) f ON f.layer = c.layer
     """
 
@@ -159,8 +156,33 @@ CATALOG = f"""
     FROM folded WHERE complete
 """
 
+# The tree of files on disk, with the dataset that each file belongs to.
+TREE = f"""
+    SELECT c_custkey AS key, {TREE_FILES} AS path, {TREE_BYTES} AS length,
+           CASE WHEN c_custkey % 10 < 3 THEN concat('n', (c_custkey - c_custkey % 10) % 7, '/layer_', c_custkey - c_custkey % 10, '.shp')
+                WHEN c_custkey % 10 = 4 THEN concat('n', c_custkey % 7, '/store_', c_nationkey, '.gdb')
+                WHEN c_custkey % 10 IN (3, 6, 8) THEN {TREE_FILES} END AS owner
+    FROM customer
+"""
+
+TREE_DATASETS = f"""
+    SELECT owner AS path, regexp_replace(regexp_extract(owner, '[^/]*$'), '[.][^.]+$', '') AS layer,
+           CASE right(owner, 4) WHEN '.shp' THEN 'shapefile' WHEN '.gdb' THEN 'geodatabase' ELSE 'raster' END AS format,
+           CASE right(owner, 4) WHEN '.shp' THEN 'Shapefile' WHEN '.gdb' THEN 'Geodatabase' ELSE 'Raster' END AS type_label,
+           count(*) AS file_count, CAST(sum(length) AS BIGINT) AS size_bytes
+    FROM ({TREE}) WHERE owner IS NOT NULL GROUP BY owner HAVING bool_or(owner LIKE '%.gdb' OR path = owner)
+"""
+
+POLYGONS = """
+    SELECT p_partkey AS partkey, p_name AS name, CAST(p_partkey AS DOUBLE) AS xmin,
+           CAST(p_partkey + p_size + CASE WHEN twice THEN 1000 ELSE 0 END AS DOUBLE) AS xmax,
+           p_retailprice AS ymin, p_retailprice + 1 AS ymax, twice, 13 + 16 * (2 * p_size + 3) AS ring_bytes
+    FROM (SELECT *, p_partkey % 5 = 0 AS twice FROM part)
+"""
+
 ORACLES = {
     "container_info": COUNTS,
+    "container_counts": f"SELECT layer, feature_count FROM ({COUNTS}) WHERE feature_count > 0",
     "container_footers": f"SELECT *, CAST(NULL AS VARCHAR) AS error FROM ({COUNTS})",
     "layer_names": f"SELECT unnest([{NAMES}]) AS layer",
     "schema_fields": f'SELECT *, true AS "nullable" FROM ({FIELDS})',
@@ -357,14 +379,15 @@ ORACLES = {
     + " ".join(f"WHEN p_size = {code} THEN '{name}'" for code, name in SHAPE_TYPES.items())
     + " WHEN p_size < 32 THEN 'Unknown (any)' ELSE 'None' END AS geometry_type FROM part",
     "shapefile_scan": """
-        SELECT event_id, event_type, user_id, value, CASE WHEN located THEN 'POINT' END AS geometry,
+        SELECT event_id, event_type, user_id, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
+               CAST(ts AS DATE) AS day, props, CASE WHEN located THEN 'POINT' END AS geometry,
                CASE WHEN located THEN value END AS xmin, CASE WHEN located THEN value END AS xmax,
                CASE WHEN located THEN CAST(user_id AS DOUBLE) END AS ymin,
                CASE WHEN located THEN CAST(user_id AS DOUBLE) END AS ymax, CAST(NULL AS VARCHAR) AS error
         FROM (SELECT *, event_id % 10 > 0 AS located FROM events)
     """,
     "shapefile_extent": """
-        SELECT 'Point' AS geometry_type, 'EPSG:4326 - WGS 84' AS crs, 4 AS field_count,
+        SELECT 'Point' AS geometry_type, 'EPSG:4326 - WGS 84' AS crs, 7 AS field_count,
                (SELECT count(*) FROM events) AS feature_count, min(value) AS xmin, max(value) AS xmax,
                CAST(min(user_id) AS DOUBLE) AS ymin, CAST(max(user_id) AS DOUBLE) AS ymax
         FROM events WHERE event_id % 10 > 0
@@ -384,5 +407,38 @@ ORACLES = {
                CAST(NULL AS VARCHAR) AS error, (SELECT count(*) FROM embeddings) AS rows
         FROM range(1, 65) t(i)
     """,
+    "raster_band_stats_nodata": bands(ITEM_PIXELS),
+    "polygon_scan": f"""
+        SELECT partkey, name, CASE WHEN twice THEN 'MULTIPOLYGON' ELSE 'POLYGON' END AS geometry, xmin, xmax, ymin, ymax,
+               CAST(CASE WHEN twice THEN 9 + 2 * ring_bytes ELSE ring_bytes END AS INTEGER) AS wkb_bytes,
+               CAST(NULL AS VARCHAR) AS error
+        FROM ({POLYGONS})
+    """,
+    "polygon_box": f"""
+        SELECT partkey, xmin, xmax, ymin, ymax FROM ({POLYGONS})
+        WHERE xmin <= 150 AND xmax >= 120 AND ymin <= 1100 AND ymax >= 900
+    """,
+    "shapefile_folder": """
+        SELECT 'suppliers' AS kind, s_suppkey AS number, CAST(NULL AS BIGINT) AS custkey, s_name AS name,
+               CAST(s_nationkey AS DOUBLE) AS nation, 'POINT' AS geometry, s_acctbal AS xmin, CAST(NULL AS VARCHAR) AS error
+        FROM supplier
+        UNION ALL SELECT 'customers', NULL, c_custkey, c_mktsegment, c_acctbal, NULL, NULL, NULL FROM customer
+        UNION ALL SELECT 'broken', NULL, NULL, NULL, NULL, NULL, NULL, 'Could not open shapefile: index file is missing'
+        FROM region WHERE r_regionkey % 2 = 0
+    """,
+    "damaged_files": """
+        SELECT 'suppliers' AS kind, false AS damaged, count(*) AS features FROM supplier
+        UNION ALL SELECT 'customers', false, count(*) FROM customer
+        UNION ALL SELECT DISTINCT 'broken', true, 0 FROM region
+    """,
+    "discover_tree": f"SELECT *, {size_text('size_bytes')} AS size FROM ({TREE_DATASETS})",
+    "raster_layers": f"SELECT layer, path FROM ({TREE_DATASETS}) WHERE format = 'raster'",
+    "dataset_size": f"""
+        SELECT *, {size_text('size_bytes')} AS size FROM (
+            SELECT 'tree' AS name, CAST(sum(length) AS BIGINT) AS size_bytes FROM ({TREE})
+            UNION ALL SELECT 'folder', CAST(coalesce(sum(length), 0) AS BIGINT) FROM ({TREE}) WHERE path LIKE 'n3/%'
+            UNION ALL SELECT 'shapefile', CAST(sum(length) AS BIGINT) FROM ({TREE}) WHERE key BETWEEN 70 AND 72
+            UNION ALL SELECT 'missing', 0)
+    """,
     "stream_profile": box("events", "events", "value", "user_id"),
 }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from layerscan import functions as fn
+from layerscan.functions.paths import below
 from layerscan.operators.ordering import with_position
 from layerscan.operators.paging import (
     assign_pages,
@@ -24,11 +25,11 @@ from layerscan.operators.paging import (
 )
 from layerscan.operators.profile import array_bands, band_stats, layer_extents
 from layerscan.operators.search import match_ring, search_rows
-from layerscan.plans.dataset import Container
-from layerscan.plans.sample_files import write_array_rasters, write_point_shapefiles
+from layerscan.plans.dataset import Container, open_dataset
+from layerscan.plans.sample_files import write_array_rasters, write_plain_files, write_shapefiles
 from layerscan.session import configure, shared_folder
 from layerscan.sources import container, shapefile, tiff
-from layerscan.sources.discovery import classify_paths, fold_datasets
+from layerscan.sources.discovery import classify_paths, discover, fold_datasets, raster_layers
 from layerscan.streaming.profile import arriving_rows, latest_profile, profile_stream, running_profile
 
 LAYERS = [
@@ -72,6 +73,23 @@ LISTED_FILES = """
     END
 """
 
+# A tree of files on disk, one per row of `customer`; what belongs to a shapefile lies side by side.
+TREE_FILES = """
+    CASE c_custkey % 10
+      WHEN 0 THEN concat('n', c_custkey % 7, '/layer_', c_custkey - c_custkey % 10, '.shp')
+      WHEN 1 THEN concat('n', (c_custkey - 1) % 7, '/layer_', c_custkey - c_custkey % 10, '.dbf')
+      WHEN 2 THEN concat('n', (c_custkey - 2) % 7, '/layer_', c_custkey - c_custkey % 10, '.shx')
+      WHEN 3 THEN concat('n', c_custkey % 7, '/deep/', c_nationkey, '/image_', c_custkey, '.tif')
+      WHEN 4 THEN concat('n', c_custkey % 7, '/store_', c_nationkey, '.gdb/a', c_custkey, '.gdbtable')
+      WHEN 5 THEN concat('n', c_custkey % 7, '/deep/.cache/image_', c_custkey, '.tif')
+      WHEN 6 THEN concat('n', c_custkey % 7, '/deep/', c_nationkey, '/deeper/_', c_custkey, '.png')
+      WHEN 7 THEN concat('n', c_custkey % 7, '/alone_', c_custkey, '.shx')
+      WHEN 8 THEN concat('n', c_custkey % 7, '/image_', c_custkey, '.jp2')
+      ELSE concat('notes_', c_custkey, '.txt')
+    END
+"""
+TREE_BYTES = "CAST(c_custkey % 50 * 40 + c_nationkey AS BIGINT)"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return container.read_layer(spark, sf_dir, name)
@@ -85,15 +103,13 @@ def edges(extent: Column) -> list[Column]:
 
 
 def container_info(spark, sf_dir):
-    """Rows counted by a scan, fields from the footers; a layer without rows counts 0."""
-    fields = container.container_catalog(configure(spark), sf_dir).select(
-        "layer", "field_count", F.col("feature_count").alias("in_footers")
-    )
-    counted = fields.join(container.container_counts(spark, sf_dir), "layer", "left")
-    # A scan has no row for a layer without rows; its footers say so.
-    return counted.select(
-        "layer", F.coalesce("feature_count", "in_footers").alias("feature_count"), "field_count"
-    )
+    """Rows and fields of every layer, both from the footers."""
+    return container.container_catalog(configure(spark), sf_dir).select("layer", "feature_count", "field_count")
+
+
+def container_counts(spark, sf_dir):
+    """Rows of every layer that has any, counted by a scan."""
+    return container.container_counts(configure(spark), sf_dir)
 
 
 def container_footers(spark, sf_dir):
@@ -486,17 +502,94 @@ def _event_shapes(spark: SparkSession, sf_dir: str) -> str:
     configure(spark)
     folder = shared_folder(spark, "shapefiles")
     points = table(spark, sf_dir, "events").select(
-        "event_id", "event_type", "user_id", "value", F.col("value").alias("x"),
-        F.when(F.col("event_id") % 10 > 0, F.col("user_id").cast("double")).alias("y"),
-    )
-    write_point_shapefiles(points, folder, "event_id", "x", "y").agg(F.sum("rows")).collect()
+        "event_id", "event_type", "user_id", "value", "props",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.to_date("ts").alias("day"),
+        F.col("value").alias("x"), F.when(F.col("event_id") % 10 > 0, F.col("user_id").cast("double")).alias("y"),
+    )
+    write_shapefiles(points, folder, "event_id").agg(F.sum("rows")).collect()
     return folder
 
 
 def shapefile_scan(spark, sf_dir):
-    folder = _event_shapes(spark, sf_dir)
-    shapes = spark.read.format("shapefile").option("rowsPerPartition", 2500).load(folder)
-    return shapes.select("event_id", "event_type", "user_id", "value", "geometry", *BOX, "error")
+    """Every column of the events read back, of their whole length."""
+    shapes = shapefile.open_shapefiles(spark, _event_shapes(spark, sf_dir))
+    return shapes.select(
+        "event_id", "event_type", "user_id", "value", "ts", "day", "props", "geometry", *BOX, "error"
+    )
+
+
+def _part_polygons(spark: SparkSession, sf_dir: str) -> str:
+    """Parts as combs along the x axis, the longer the larger the part; each fifth has a second ring."""
+    configure(spark)
+    folder = shared_folder(spark, "polygons")
+    ring = """
+        concat(transform(sequence(0, p_size), i -> array(p_partkey + i + {shift}D, p_retailprice + 1)),
+               transform(sequence(p_size, 0), i -> array(p_partkey + i + {shift}D, p_retailprice)),
+               array(array(p_partkey + {shift}D, p_retailprice + 1)))
+    """
+    rings = F.when(F.col("p_partkey") % 5 == 0, F.array(*(F.expr(ring.format(shift=n)) for n in (0, 1000))))
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("partkey"), F.col("p_name").alias("name"),
+        rings.otherwise(F.array(F.expr(ring.format(shift=0)))).alias("rings"),
+    )
+    write_shapefiles(parts, folder, "partkey", "polygon", "parts").agg(F.sum("rows")).collect()
+    return folder
+
+
+def polygon_scan(spark, sf_dir):
+    """Polygons of very unequal size, with the bytes of their WKB."""
+    shapes = shapefile.open_shapefiles(spark, _part_polygons(spark, sf_dir))
+    return shapes.select("partkey", "name", "geometry", *BOX, F.length("geometry_wkb").alias("wkb_bytes"), "error")
+
+
+def polygon_box(spark, sf_dir):
+    """The polygons that touch a box, by the zones of the record ranges."""
+    plan = shapefile.shapefile_plan(spark, _part_polygons(spark, sf_dir), bytes_per_range=1 << 16)
+    shapes = shapefile.read_shapefiles(spark, shapefile.with_zones(spark, plan), ["partkey", *BOX])
+    touching = (F.col("xmin") <= 150) & (F.col("xmax") >= 120) & (F.col("ymin") <= 1100) & (F.col("ymax") >= 900)
+    return shapes.where(touching).select("partkey", *BOX)
+
+
+def _unlike_shapefiles(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with points of suppliers, points of customers with other columns, and damaged files."""
+    configure(spark)
+    folder = shared_folder(spark, "unlike")
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("number"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"),
+        F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"),
+    )
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("Name"),
+        F.col("c_acctbal").alias("nation"), F.col("c_acctbal").alias("x"), F.lit(None).cast("double").alias("y"),
+    )
+    write_shapefiles(suppliers, folder, "number", name="suppliers").agg(F.sum("rows")).collect()
+    write_shapefiles(customers, folder, "custkey", name="customers").agg(F.sum("rows")).collect()
+    broken = table(spark, sf_dir, "region").select(
+        F.concat(F.lit("broken_"), F.col("r_regionkey"), F.element_at(F.array(*map(F.lit, (".shp", ".tif"))), F.col("r_regionkey") % 2 + 1)).alias("path"),
+        (F.col("r_regionkey") + 1).alias("length"),
+    )
+    write_plain_files(broken, folder).agg(F.sum("rows")).collect()
+    return folder
+
+
+def shapefile_folder(spark, sf_dir):
+    """Unlike shapefiles with the columns of all, and an error for each damaged file among them."""
+    shapes = shapefile.open_shapefiles(spark, _unlike_shapefiles(spark, sf_dir))
+    kind = F.regexp_extract("layer", r"^([a-z]+)_", 1)
+    return shapes.select(kind.alias("kind"), "number", "custkey", "name", "nation", "geometry", "xmin", "error")
+
+
+def damaged_files(spark, sf_dir):
+    """What each file of a folder says of itself, damaged ones included."""
+    folder = _unlike_shapefiles(spark, sf_dir)
+    name = F.regexp_extract("path", r"([a-z]+)_\d+\.[a-z]+$", 1).alias("kind")
+    shapes = shapefile.shapefile_headers(spark, folder).select(
+        name, F.coalesce("feature_count", F.lit(0)).alias("features"), F.col("error").isNotNull().alias("damaged")
+    )
+    images = tiff.raster_headers(spark, folder).select(
+        name, F.lit(0).cast("bigint").alias("features"), F.col("error").isNotNull().alias("damaged")
+    )
+    return shapes.unionByName(images).groupBy("kind", "damaged").agg(F.sum("features").alias("features"))
 
 
 def shapefile_extent(spark, sf_dir):
@@ -513,7 +606,7 @@ def shapefile_extent(spark, sf_dir):
 
 def shapefile_geometry(spark, sf_dir):
     """Geometry names read back from the WKB, and how many features have each."""
-    shapes = spark.read.format("shapefile").option("columns", "fid,geometry_wkb").load(_event_shapes(spark, sf_dir))
+    shapes = shapefile.open_shapefiles(spark, _event_shapes(spark, sf_dir), columns=["fid", "geometry_wkb"])
     return shapes.groupBy(fn.geometry_name(F.col("geometry_wkb")).alias("geometry")).agg(
         F.count(F.lit(1)).alias("features")
     )
@@ -528,7 +621,7 @@ def _embedding_images(spark: SparkSession, sf_dir: str) -> str:
 
 
 def raster_pixels(spark, sf_dir):
-    pixels = spark.read.format("raster").load(_embedding_images(spark, sf_dir))
+    pixels = tiff.raster_pixels(spark, _embedding_images(spark, sf_dir))
     start = F.regexp_extract("path", r"image_(\d+)\.tif$", 1).cast("bigint")
     return pixels.select((start + F.col("row")).alias("vec_id"), "band", (F.round("value", 6) + F.lit(0.0)).alias("value"), "error")
 
@@ -537,6 +630,20 @@ def raster_band_statistics(spark, sf_dir):
     return _rounded_stats(tiff.raster_band_stats(configure(spark), _embedding_images(spark, sf_dir), ["band"]))
 
 
+def raster_band_statistics_nodata(spark, sf_dir):
+    """Line items as rasters of one strip each, cut into shares of a few rows; 0 is nodata."""
+    configure(spark)
+    folder = shared_folder(spark, "strips")
+    items = table(spark, sf_dir, "lineitem")
+    grid = items.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax", F.col("l_tax") * 0).alias("cell"),
+    )
+    write_array_rasters(grid, folder, "row", "cell", "0", "<f8", None).agg(F.sum("rows")).collect()
+    plan = tiff.raster_plan(spark, folder, bytes_per_share=1 << 16, segment_bytes=1 << 14)
+    return _rounded_stats(tiff.raster_band_stats(spark, folder, ["band"], plan))
+
+
 def raster_bands(spark, sf_dir):
     bands = tiff.band_schema(tiff.raster_headers(spark, _embedding_images(spark, sf_dir)))
     return bands.groupBy("driver", "band_count", "band", "data_type", "color_interp", "block_size", "error").agg(
@@ -544,6 +651,38 @@ def raster_bands(spark, sf_dir):
     )
 
 
+# --- trees of files ---------------------------------------------------------------
+
+
+def _file_tree(spark: SparkSession, sf_dir: str) -> str:
+    configure(spark)
+    folder = shared_folder(spark, "tree")
+    files = table(spark, sf_dir, "customer").select(F.expr(TREE_FILES).alias("path"), F.expr(TREE_BYTES).alias("length"))
+    write_plain_files(files, folder).agg(F.sum("rows")).collect()
+    return folder
+
+
+def discover_tree(spark, sf_dir):
+    """Datasets of a tree on disk, listed level by level."""
+    folder = _file_tree(spark, sf_dir)
+    return discover(spark, folder).withColumn("path", below(F.col("path"), folder))
+
+
+def folder_rasters(spark, sf_dir):
+    """The rasters of a tree on disk as layers, by name."""
+    folder = _file_tree(spark, sf_dir)
+    return raster_layers(discover(spark, folder)).select("layer", below(F.col("path"), folder).alias("path"))
+
+
+def dataset_size(spark, sf_dir):
+    """Sizes of a whole tree, of one folder in it, of one shapefile with its sidecars, and of nothing."""
+    folder = _file_tree(spark, sf_dir)
+    paths = {"tree": "", "folder": "/n3", "shapefile": "/n0/layer_70.shp", "missing": "/nowhere"}
+    sizes = {name: open_dataset(spark, folder + path).size() for name, path in paths.items()}
+    parts = [size.select(F.lit(name).alias("name"), "size_bytes", "size") for name, size in sizes.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def stream_profile(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     rows = arriving_rows(spark, sf_dir, schema, "events.parquet")
@@ -556,6 +695,7 @@ def stream_profile(spark, sf_dir):
 
 QUERIES = {
     "container_info": container_info,
+    "container_counts": container_counts,
     "container_footers": container_footers,
     "layer_names": layer_names,
     "schema_fields": schema_fields,
@@ -615,6 +755,14 @@ QUERIES = {
     "shapefile_geometry": shapefile_geometry,
     "raster_pixels": raster_pixels,
     "raster_band_stats": raster_band_statistics,
+    "raster_band_stats_nodata": raster_band_statistics_nodata,
     "raster_bands": raster_bands,
+    "polygon_scan": polygon_scan,
+    "polygon_box": polygon_box,
+    "shapefile_folder": shapefile_folder,
+    "damaged_files": damaged_files,
+    "discover_tree": discover_tree,
+    "raster_layers": folder_rasters,
+    "dataset_size": dataset_size,
     "stream_profile": stream_profile,
 }

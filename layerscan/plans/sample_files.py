@@ -24,17 +24,21 @@ WGS84_WKT = (
 
 
 def dbf_bytes(columns: list[tuple[str, str, int, int]], rows: list[list[str]], deleted=()) -> bytes:
-    """An attribute table; values come as text already, None gives blanks."""
+    """An attribute table; values come as text already, None gives blanks. What doesn't fit is an error."""
     record = 1 + sum(width for _, _, width, _ in columns)
     head = struct.pack("<4BIHH20x", 3, 124, 1, 1, len(rows), 33 + 32 * len(columns), record)
     for name, kind, width, decimals in columns:
+        if len(name.encode()) > 10 or width > 254:
+            raise ValueError(f"{name}: a name has at most 10 bytes, a value 254")
         head += struct.pack("<11sc4xBB14x", name.encode(), kind.encode(), width, decimals)
     body = bytearray()
     for place, row in enumerate(rows):
         body += b"*" if place in deleted else b" "
-        for (_, kind, width, _), value in zip(columns, row, strict=True):
-            text = "" if value is None else value
-            body += (text.rjust(width) if kind in "NF" else text.ljust(width)).encode()[:width]
+        for (name, kind, width, _), value in zip(columns, row, strict=True):
+            text = ("" if value is None else value).encode()
+            if len(text) > width:
+                raise ValueError(f"{name}: {value} has more than {width} bytes")
+            body += text.rjust(width) if kind in "NF" else text.ljust(width)
     return head + b"\r" + bytes(body) + b"\x1a"
 
 
@@ -58,6 +62,15 @@ def point_bytes(x: float | None, y: float | None) -> bytes:
     return struct.pack("<i", 0) if x is None or y is None else struct.pack("<i2d", 1, x, y)
 
 
+def polygon_bytes(rings: list[list[tuple[float, float]]]) -> tuple[bytes, tuple[float, float, float, float]]:
+    """A polygon's record and its box."""
+    points = np.array([p for ring in rings for p in ring], "<f8")
+    box = (*points.min(0).tolist(), *points.max(0).tolist())
+    starts = np.cumsum([0, *map(len, rings)])[:-1].astype("<i4")
+    head = struct.pack("<i4d2i", 5, *box, len(rings), len(points))
+    return head + starts.tobytes() + points.tobytes(), box
+
+
 def tiff_bytes(pixels: np.ndarray, rows_per_strip: int, nodata: str | None = None,
                transform: tuple[float, float, float, float] | None = None, epsg: int | None = None) -> bytes:
     """An uncompressed image ``(rows, columns, bands)`` in strips, bands side by side."""
@@ -119,31 +132,50 @@ def _make_folder(path: str) -> None:
 WRITTEN = "path STRING, rows BIGINT"
 
 
-def write_point_shapefiles(df: DataFrame, folder: str, key: str, x: str, y: str) -> DataFrame:
-    """Rows as points with attributes; returns the files written once it is run."""
-    kinds = {"bigint": ("N", 18, 0), "int": ("N", 9, 0), "double": ("N", 24, 6), "string": ("C", 80, 0)}
-    columns = [(name, *kinds[kind]) for name, kind in df.dtypes if name not in (x, y)]
+def _column(name: str, kind: str, values: list) -> tuple[tuple[str, str, int, int], list[str | None]]:
+    """A column of an attribute table and its values as text, in a width that holds all of them."""
+    if kind == "date":
+        texts = [None if v is None else v.strftime("%Y%m%d") for v in values]
+        return (name, "D", 8, 0), texts
+    texts = [None if v is None else repr(v) if kind == "double" else str(v) for v in values]
+    width = max((len(t.encode()) for t in texts if t is not None), default=1) or 1
+    if kind in ("int", "bigint"):
+        return (name, "N", {"int": 9, "bigint": 18}[kind], 0), texts
+    return (name, "N", width, 1) if kind == "double" else (name, "C", width, 0), texts
+
+
+def _point(row: dict) -> tuple[bytes, tuple | None]:
+    x, y = row["x"], row["y"]
+    return point_bytes(x, y), None if x is None or y is None else (x, y, x, y)
+
+
+def _polygon(row: dict) -> tuple[bytes, tuple | None]:
+    return polygon_bytes(row["rings"])
+
+
+def write_shapefiles(df: DataFrame, folder: str, key: str, kind: str = "point", name: str = "part") -> DataFrame:
+    """Rows as features with attributes; returns the files written once it is run.
+
+    ``kind`` is ``point`` (columns ``x`` and ``y``, which may be null) or ``polygon`` (``rings``, arrays of points).
+    """
+    code, shape, given = {"point": (1, _point, ("x", "y")), "polygon": (5, _polygon, ("rings",))}[kind]
+    kinds = {column: kind for column, kind in df.dtypes if column not in given}
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _make_folder(folder)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = {name: batch.column(name).to_pylist() for name in batch.schema.names}
-            texts = [
-                [None if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in table[name]]
-                for name, *_ in columns
-            ]
-            xs, ys = table[x], table[y]
-            known = [(a, b) for a, b in zip(xs, ys, strict=True) if a is not None and b is not None]
-            box = (
-                min(a for a, _ in known), min(b for _, b in known),
-                max(a for a, _ in known), max(b for _, b in known),
-            ) if known else (0.0, 0.0, 0.0, 0.0)
-            shp, shx = shape_bytes(1, [point_bytes(a, b) for a, b in zip(xs, ys, strict=True)], box)
-            base = f"{folder}/part_{table[key][0]:012d}"
+            columns, texts = zip(
+                *[_column(column, kind, batch.column(column).to_pylist()) for column, kind in kinds.items()], strict=True
+            )
+            contents, boxes = zip(*map(shape, batch.select(given).to_pylist()), strict=True)
+            edges = np.array([b for b in boxes if b] or [(0.0,) * 4])
+            box = (*edges[:, :2].min(0).tolist(), *edges[:, 2:].max(0).tolist())
+            shp, shx = shape_bytes(code, list(contents), box)
+            base = f"{folder}/{name}_{batch.column(key)[0].as_py():012d}"
             _write(base + ".shx", shx)
-            _write(base + ".dbf", dbf_bytes(columns, [list(r) for r in zip(*texts, strict=True)]))
+            _write(base + ".dbf", dbf_bytes(list(columns), [list(r) for r in zip(*texts, strict=True)]))
             _write(base + ".prj", WGS84_WKT.encode())
             _write(base + ".shp", shp)
             yield pa.RecordBatch.from_pylist([{"path": base + ".shp", "rows": batch.num_rows}])
@@ -151,8 +183,26 @@ def write_point_shapefiles(df: DataFrame, folder: str, key: str, x: str, y: str)
     return df.mapInArrow(write, WRITTEN)
 
 
-def write_array_rasters(df: DataFrame, folder: str, key: str, values: str, nodata: str | None = None) -> DataFrame:
-    """Rows of an array column as image lines of one pixel, one band per element."""
+def write_plain_files(df: DataFrame, folder: str) -> DataFrame:
+    """A file below ``folder`` for each ``path`` (relative), of ``length`` bytes; returns the files written."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = f"{folder}/{row['path']}"
+                _make_folder(path.rsplit("/", 1)[0])
+                _write(path, b"\0" * row["length"])
+            yield pa.RecordBatch.from_pylist([{"path": folder, "rows": batch.num_rows}])
+
+    return df.mapInArrow(write, WRITTEN)
+
+
+def write_array_rasters(
+    df: DataFrame, folder: str, key: str, values: str, nodata: str | None = None, sample: str = "<f4",
+    rows_per_strip: int | None = 16,
+) -> DataFrame:
+    """Rows of an array column as image lines of one pixel, one band per element; without
+    ``rows_per_strip`` each image is one strip."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _make_folder(folder)
@@ -165,7 +215,7 @@ def write_array_rasters(df: DataFrame, folder: str, key: str, values: str, nodat
             grid = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), 1, width)
             transform = (float(first), 0.5, 1000.0, -2.0)
             path = f"{folder}/image_{first:012d}.tif"
-            _write(path, tiff_bytes(grid.astype("<f4"), 16, nodata, transform, 32633))
+            _write(path, tiff_bytes(grid.astype(sample), rows_per_strip or len(lists), nodata, transform, 32633))
             yield pa.RecordBatch.from_pylist([{"path": path, "rows": len(lists)}])
 
     return df.select(key, values).mapInArrow(write, WRITTEN)

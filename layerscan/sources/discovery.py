@@ -24,6 +24,7 @@ from layerscan.functions.paths import (
     unsupported_message,
 )
 from layerscan.functions.text import human_size
+from layerscan.session import shared_folder
 from layerscan.sources.files import list_entries
 
 # Files that belong to the shapefile of the same stem.
@@ -46,33 +47,45 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """``path, length`` of every file at or below a path, whatever its name.
 
-    Tasks list: one the top level, then one for each folder in it all that lies below.
+    The frontier is a table: each round lists the folders that the one before it found, in
+    tasks, and writes what lies in them to the shared folder, until no folder is left. No list is
+    longer than one folder, and the driver sees only whether there are folders. Links to
+    folders are not followed.
     """
-    top = spark.createDataFrame([(root,)], "path string").mapInArrow(_list_level(False), _ENTRIES)
-    below_top = (
-        top.where("folder").select("path").repartition(spark.sparkContext.defaultParallelism, "path")
-    )
-    deep = below_top.mapInArrow(_list_level(True), _ENTRIES)
-    return top.union(deep).where("not folder").select("path", "length")
-
-
+    written = shared_folder(spark, "listing")
+    level, number = spark.createDataFrame([(root,)], "path string"), 0
+    while True:
+        level.mapInArrow(_list_folders, _ENTRIES).write.parquet(f"{written}/level={number}")
+        found = spark.read.schema(_ENTRIES).parquet(f"{written}/level={number}").where("folder")
+        folders = found.count()
+        if not folders:
+            break
+        tasks = max(spark.sparkContext.defaultParallelism, -(-folders // FOLDERS_PER_TASK))
+        level, number = found.select("path").repartition(min(tasks, folders)), number + 1
+    entries = spark.read.schema(_ENTRIES).option("basePath", written).parquet(f"{written}/level=*")
+    return entries.where("not folder").select("path", "length")
+
+
+def shown_files(files: DataFrame, root: str) -> DataFrame:
+    """Files below a root whose names, and those of their folders, start with neither a dot nor an
+    underscore. The root's own name does not matter, nor if it is the file itself."""
+    itself = F.endswith(F.col("path"), F.lit(root.removeprefix("file:").rstrip("/")))
+    return files.where(itself | ~below(F.col("path"), root).rlike(r"(^|/)[._]"))
+
+
+FOLDERS_PER_TASK = 1000
 _ENTRIES = "path string, length bigint, folder boolean"
+_ENTRY_TYPES = (pa.string(), pa.int64(), pa.bool_())
 
 
-def _list_level(recursive: bool):
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch["path"].to_pylist():
-                found = list_entries(path, recursive)
-                for at in range(0, len(found), 10_000):
-                    columns = zip(*found[at : at + 10_000], strict=True)
-                    kinds = (pa.string(), pa.int64(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                        ["path", "length", "folder"],
-                    )
-
-    return entries
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch["path"].to_pylist():
+            found = list_entries(path)
+            for at in range(0, len(found), 10_000):
+                columns = zip(*found[at : at + 10_000], strict=True)
+                arrays = [pa.array(c, k) for c, k in zip(columns, _ENTRY_TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["path", "length", "folder"])
 
 
 def classify_paths(paths: DataFrame, path: str = "path") -> DataFrame:

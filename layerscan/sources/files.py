@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pyarrow.fs as pafs
 
 
@@ -41,25 +43,27 @@ def list_sizes(path: str) -> dict[str, int]:
     return {}
 
 
-def list_entries(path: str, recursive: bool) -> list[tuple[str, int, bool]]:
+def list_entries(path: str) -> list[tuple[str, int, bool]]:
     """Path, size and whether it is a folder of what lies in a folder, or of a file itself.
 
-    Paths are written as Spark writes them: local ones with the scheme ``file:``.
+    Paths are written as Spark writes them: local ones with the scheme ``file:``. A link to a folder is
+    left out, so a loop of links ends; a folder that has gone meanwhile is empty.
     """
     fs, inner = filesystem(path)
     info = fs.get_file_info(inner)
     if info.type == pafs.FileType.NotFound:
         return []
-    entries = [info]
+    entries, local = [info], isinstance(fs, pafs.LocalFileSystem)
     if info.type == pafs.FileType.Directory:
-        entries = fs.get_file_info(pafs.FileSelector(inner, recursive=recursive))
-    scheme = path[: path.index("://") + 3] if "://" in path else "file:"
-    if isinstance(fs, pafs.LocalFileSystem):
-        scheme = "file:"
+        entries = fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True))
+    scheme = "file:" if local or "://" not in path else path[: path.index("://") + 3]
     host = "" if scheme == "file:" or not path.startswith(scheme) else _host_of(path, inner)
-    return [
-        (scheme + host + e.path, e.size or 0, e.type == pafs.FileType.Directory) for e in entries
-    ]
+    found = []
+    for e in entries:
+        folder = e.type == pafs.FileType.Directory
+        if e.type != pafs.FileType.NotFound and not (folder and local and os.path.islink(e.path)):
+            found.append((scheme + host + e.path, e.size or 0, folder))
+    return found
 
 
 def _host_of(path: str, inner: str) -> str:

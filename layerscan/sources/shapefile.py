@@ -1,10 +1,15 @@
 """Shapefiles as a Spark source.
 
-``spark.read.format("shapefile").load(path)`` reads one shapefile or every shapefile
-below a folder. The columns are the union of theirs by name, each in the wider type. An
-input partition is a range of records: the index file gives the byte range of any record,
-so a task seeks straight to its share. Planning needs file sizes, and for the columns the
-heads of the attribute tables. ``shapefile_headers`` answers type, count, extent and fields from headers alone.
+``open_shapefiles(spark, path)`` reads one shapefile or every shapefile below a folder. The columns
+are the union of theirs by name, each in the wider type. Tasks list the folder, read the heads
+of the attribute tables, and cut each file by its index into record ranges of like bytes, however unequal its
+records are. The ranges are a table; a task reads those of its share, and seeks straight to
+their bytes. Filters on ``fid`` cut ranges; with ``with_zones``, filters on the box columns leave
+out ranges whose box lies outside.
+
+``spark.read.format("shapefile").load(path)`` reads the same without a plan, for one file or a small
+folder: the driver lists it and cuts by numbers of rows. ``shapefile_headers`` answers type,
+count, extent and fields from headers alone.
 
 Options: ``layer`` (stem of the one file to read), ``columns`` (comma-separated, to leave
 out columns, above all ``geometry_wkb``), ``rowsPerPartition``.
@@ -39,9 +44,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from layerscan.functions.crs import crs_label, wkt_authority_code, wkt_name
 from layerscan.functions.geometry import layer_geometry_type
-from layerscan.functions.paths import stem
-from layerscan.sources.discovery import list_files
+from layerscan.functions.paths import extension, stem
+from layerscan.session import shared_folder
+from layerscan.sources.discovery import list_tree, shown_files
 from layerscan.sources.files import list_sizes, open_file, plain_path
+from layerscan.sources.shares import BYTES_PER_SHARE, Plan, Share, planned, share_rows, write_plan
 from layerscan.sources.wkb import polygon_wkb, polyline_wkb, multipoint_wkb, point_wkb
 
 ROWS_PER_PARTITION = 200_000
@@ -49,6 +56,10 @@ ROWS_PER_BATCH = 8_192
 HEADERS_AT_ONCE = 16
 HEADER_BYTES = 100
 INDEX_ENTRY_BYTES = 8
+RECORD_HEAD_BYTES = 8
+#: Bytes of a range of records, about; index entries read at a time while cutting.
+BYTES_PER_RANGE = 8 << 20
+ENTRIES_AT_ONCE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -91,6 +102,8 @@ BACK = [
     T.StructField("error", T.StringType()),
 ]
 RESERVED = {f.name for f in FRONT + BACK}
+BOX_COLUMNS = ("xmin", "xmax", "ymin", "ymax")
+NO_INDEX = "index file is missing"
 
 
 @dataclass(frozen=True)
@@ -150,18 +163,22 @@ def _fields_or_none(path: str) -> list[Field]:
         return []
 
 
+def _merged(found: dict[str, T.StructField], name: str, kind: T.DataType, width: int, precision: int) -> None:
+    """Add a column of one file to those known by lower-cased name."""
+    known, size = found.get(name.lower()), {"width": width, "precision": precision}
+    if known:
+        name, kind = known.name, _wider(known.dataType, kind)
+        size = {k: max(v, known.metadata[k]) for k, v in size.items()}
+    found[name.lower()] = T.StructField(name, kind, True, {"alias": "", **size})
+
+
 def union_of_fields(tables: list[str]) -> list[T.StructField]:
     """Columns of any of the attribute tables, by name without regard to case."""
     found: dict[str, T.StructField] = {}
     with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
         for fields in pool.map(_fields_or_none, tables):
             for f, name in zip(fields, column_names(fields), strict=True):
-                kind, size = f.spark_type, {"width": f.width, "precision": f.decimals}
-                known = found.get(name.lower())
-                if known:
-                    name, kind = known.name, _wider(known.dataType, kind)
-                    size = {k: max(v, known.metadata[k]) for k, v in size.items()}
-                found[name.lower()] = T.StructField(name, kind, True, {"alias": "", **size})
+                _merged(found, name, f.spark_type, f.width, f.decimals)
     return list(found.values())
 
 
@@ -343,6 +360,7 @@ class Piece:
     cpg: str | None
     low: int
     high: int
+    problem: str | None = None
 
 
 @dataclass
@@ -417,14 +435,18 @@ class ShapefileSource(DataSource):
 class ShapefileReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.target = schema
-        self.path = options["path"]
+        self.path = options.get("path")
+        self.plan = planned(options)
         self.layer = options.get("layer")
+        self.least, self.most = {}, {}  # what filters ask of the box columns
         self.rows_per_partition = int(options.get("rowsperpartition", ROWS_PER_PARTITION))
         self.low, self.high = 0, None
 
     def pushFilters(self, filters: list) -> Iterator:
-        """Take over comparisons on ``fid``; they cut record ranges before any read."""
+        """Take over comparisons on ``fid``; they cut record ranges before any read. Those on the box
+        columns are noted, to leave out ranges, and stay filters."""
         for item in filters:
+            self._note(item)
             on_fid = getattr(item, "attribute", None) == ("fid",) and isinstance(getattr(item, "value", None), int)
             if on_fid and isinstance(item, (GreaterThan, GreaterThanOrEqual)):
                 self.low = max(self.low, item.value + isinstance(item, GreaterThan))
@@ -436,11 +458,43 @@ class ShapefileReader(DataSourceReader):
             else:
                 yield item
 
+    def _note(self, item) -> None:
+        column, value = getattr(item, "attribute", ("",))[0], getattr(item, "value", None)
+        if column in BOX_COLUMNS and isinstance(value, (int, float)) and value == value:
+            if isinstance(item, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                self.least[column] = max(value, self.least.get(column, value))
+            if isinstance(item, (LessThan, LessThanOrEqual, EqualTo)):
+                self.most[column] = min(value, self.most.get(column, value))
+
+    def outside(self, zone: dict | None) -> bool:
+        """Whether no record of a zone (least and greatest of each box column) can pass the filters."""
+        if zone is None:
+            return False
+        lows, highs = ({c: zone[f"{c}_{end}"] for c in BOX_COLUMNS} for end in ("low", "high"))
+        return any(highs[c] is None or highs[c] < v for c, v in self.least.items()) or any(
+            lows[c] is None or lows[c] > v for c, v in self.most.items()
+        )
+
+    def pieces(self, partition: InputPartition) -> list[Piece]:
+        """The record ranges of a partition that filters leave, cut to the ``fid``s asked for."""
+        if not isinstance(partition, Share):
+            return partition.pieces
+        found = []
+        for row in share_rows(self.plan, partition.number):
+            zone, places = row.pop("zone", None), {c: row[c] for c in ("layer", "shp", "shx", "dbf", "cpg")}
+            low = max(row["low"] or 0, self.low)
+            high = row["high"] or 0 if self.high is None else min(row["high"] or 0, self.high)
+            if row["problem"] or (low < high and not self.outside(zone)):
+                found.append(Piece(**places, low=low, high=max(low, high), problem=row["problem"]))
+        return found
+
     def _end_at(self, end: int) -> None:
         self.high = end if self.high is None else min(self.high, end)
 
-    def partitions(self) -> list[RecordRanges]:
-        """Cut large files into record ranges and put small ones together."""
+    def partitions(self) -> list[InputPartition]:
+        """The shares of the plan; without one, cut large files into record ranges and put small ones together."""
+        if self.plan:
+            return [Share(n) for n in range(max(1, self.plan.shares))]
         groups, group, filled = [], [], 0
         for f in find_shapefiles(self.path, self.layer):
             end = f["records"] if self.high is None else min(f["records"], self.high)
@@ -458,8 +512,8 @@ class ShapefileReader(DataSourceReader):
             groups.append(RecordRanges(group))
         return groups
 
-    def read(self, partition: RecordRanges) -> Iterator[pa.RecordBatch]:
-        for piece in partition.pieces:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        for piece in self.pieces(partition):
             try:
                 yield from self._read_piece(piece)
             except (OSError, ValueError, struct.error) as problem:
@@ -468,8 +522,10 @@ class ShapefileReader(DataSourceReader):
                 )
 
     def _read_piece(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+        if piece.problem:
+            raise ValueError(piece.problem)
         if piece.shx is None:
-            raise ValueError("index file is missing")
+            raise ValueError(NO_INDEX)
         wanted = set(self.target.names)
         header = read_table_header(piece.dbf, _codepage(piece.cpg)) if piece.dbf else None
         columns_by_name = {f.name.lower(): f for f in self.target}
@@ -538,6 +594,191 @@ def _read_shapes(piece: Piece, low: int, high: int, with_wkb: bool) -> dict:
     return _decode_shapes(b"".join(records), 0, starts, lengths, with_wkb)
 
 
+# --- plan -------------------------------------------------------------------------
+
+SIDECARS = ("shx", "dbf", "cpg", "prj")
+ENTRY_SCHEMA = "layer STRING, shp STRING, " + ", ".join(f"{ext} STRING" for ext in SIDECARS)
+COLUMN_SCHEMA = "shp STRING, ordinal INT, name STRING, type STRING, width INT, precision INT"
+ZONE = "STRUCT<" + ", ".join(f"{c}_{end}: DOUBLE" for c in BOX_COLUMNS for end in ("low", "high")) + ">"
+PIECE_SCHEMA = """
+    layer STRING, shp STRING, shx STRING, dbf STRING, cpg STRING, low BIGINT, high BIGINT, bytes BIGINT, problem STRING
+"""
+
+
+@dataclass(frozen=True)
+class ShapefilePlan:
+    """The record ranges of shapefiles and the columns of all of them."""
+
+    plan: Plan
+    schema: T.StructType
+
+
+def _in_tasks(rows_of, ddl: str):
+    """A function over Arrow batches that turns each row (a dict) into rows of another table."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = rows_of(row)
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, schema=arrow)
+
+    return run
+
+
+def _entries(row: dict) -> list[dict]:
+    """The shapefiles among files of one name, each with its sidecars: of its own spelling before any other."""
+    by_lower = {path.lower(): path for path in sorted(row["paths"])}
+    known = set(row["paths"])
+    found = []
+    for shp in sorted(p for p in known if p.lower().endswith(".shp")):
+        base = shp[: -len(".shp")]
+        entry = {"layer": base.rsplit("/", 1)[-1], "shp": shp}
+        for ext in SIDECARS:
+            spelled = [p for p in (f"{base}.{ext}", f"{base}.{ext.upper()}") if p in known]
+            entry[ext] = spelled[0] if spelled else by_lower.get(f"{base}.{ext}".lower())
+        found.append(entry)
+    return found
+
+
+def _single_entry(row: dict) -> list[dict]:
+    base = row["path"][: -len(".shp")]
+    beside = {ext: _first_readable(base, ext) for ext in SIDECARS}
+    return [{"layer": base.rsplit("/", 1)[-1], "shp": row["path"], **beside}]
+
+
+def shapefile_entries(spark: SparkSession, root: str, layer: str | None = None) -> DataFrame:
+    """``layer``, ``shp`` and sidecars of the shapefile at a path or of all below it, found by tasks."""
+    if root.lower().rstrip("/").endswith(".shp"):
+        named = spark.createDataFrame([(root.rstrip("/"),)], "path string")
+        found = named.mapInArrow(_in_tasks(_single_entry, ENTRY_SCHEMA), ENTRY_SCHEMA)
+    else:
+        path = F.col("path")
+        files = shown_files(list_tree(spark, root), root).where(extension(path).isin("shp", *SIDECARS))
+        bare = F.lower(F.left(path, F.length(path) - F.length(extension(path))))
+        # The files of one name are as many as it has endings and spellings.
+        grouped = files.groupBy(bare.alias("bare")).agg(F.collect_set("path").alias("paths"))
+        found = grouped.mapInArrow(_in_tasks(_entries, ENTRY_SCHEMA), ENTRY_SCHEMA)
+    return found if layer is None else found.where(F.col("layer") == layer)
+
+
+def _columns_of(row: dict) -> list[dict]:
+    fields = _fields_or_none(row["dbf"]) if row["dbf"] else []
+    return [
+        {"shp": row["shp"], "ordinal": n, "name": name, "type": f.spark_type.json(), "width": f.width, "precision": f.decimals}
+        for n, (f, name) in enumerate(zip(fields, column_names(fields), strict=True))
+    ]
+
+
+def attributes_of(entries: DataFrame) -> list[T.StructField]:
+    """The attribute columns of all files, in the order of the first file that has each."""
+    columns = entries.mapInArrow(_in_tasks(_columns_of, COLUMN_SCHEMA), COLUMN_SCHEMA)
+    first = F.min(F.struct("shp", "ordinal", "name")).alias("first")
+    kinds = columns.groupBy(F.lower("name").alias("key"), "type").agg(
+        first, F.max("width").alias("width"), F.max("precision").alias("precision")
+    )
+    found: dict[str, T.StructField] = {}
+    for row in sorted(kinds.collect(), key=lambda r: r["first"]):  # one row for each column and type
+        kind = T._parse_datatype_json_string(row["type"])
+        _merged(found, row["first"]["name"], kind, row["width"], row["precision"])
+    return list(found.values())
+
+
+def _cut(row: dict, bytes_per_range: int) -> list[dict]:
+    """The record ranges of one shapefile, of like bytes in shapes and attributes together."""
+    places = {c: row[c] for c in ("layer", "shp", "shx", "dbf", "cpg")}
+    try:
+        if row["shx"] is None:
+            raise ValueError(NO_INDEX)
+        attributes = read_table_header(row["dbf"]).record_bytes if row["dbf"] else 0
+        starts, total, at, last = [], 0, 0, -1  # starts: (first record, bytes before it)
+        with open_file(row["shx"]) as handle:
+            records = max(0, handle.size() - HEADER_BYTES) // INDEX_ENTRY_BYTES
+            handle.seek(HEADER_BYTES)
+            while at < records:
+                raw = handle.read(min(ENTRIES_AT_ONCE, records - at) * INDEX_ENTRY_BYTES)
+                words = np.frombuffer(raw, ">i4").reshape(-1, 2)[:, 1].astype(np.int64)
+                sizes = 2 * words + RECORD_HEAD_BYTES + INDEX_ENTRY_BYTES + attributes
+                before = total + np.cumsum(sizes) - sizes
+                place = before // bytes_per_range
+                fresh = np.flatnonzero(np.diff(place, prepend=last))
+                starts += zip((at + fresh).tolist(), before[fresh].tolist(), strict=True)
+                total, at, last = total + int(sizes.sum()), at + len(words), place[-1]
+    except (OSError, ValueError, struct.error) as problem:
+        return [{**places, "bytes": 0, "problem": str(problem)}]
+    ends = [*starts[1:], (records, total)]
+    return [
+        {**places, "low": low, "high": high, "bytes": end - begin}
+        for (low, begin), (high, end) in zip(starts, ends, strict=True)
+    ]
+
+
+def shapefile_plan(
+    spark: SparkSession,
+    root: str,
+    layer: str | None = None,
+    bytes_per_share: int = BYTES_PER_SHARE,
+    bytes_per_range: int = BYTES_PER_RANGE,
+) -> ShapefilePlan:
+    """Record ranges and columns of the shapefiles at or below a path. Tasks list, read heads and indexes, and cut."""
+    folder = shared_folder(spark, "shapefiles")
+    shapefile_entries(spark, root, layer).write.parquet(folder)
+    entries = spark.read.schema(ENTRY_SCHEMA).parquet(folder)
+    spread = entries.repartition(spark.sparkContext.defaultParallelism, "shp")
+    pieces = spread.mapInArrow(_in_tasks(lambda row: _cut(row, bytes_per_range), PIECE_SCHEMA), PIECE_SCHEMA)
+    schema = T.StructType(FRONT + attributes_of(spread) + BACK)
+    return ShapefilePlan(write_plan(pieces, bytes_per_share), schema)
+
+
+def _zone(row: dict) -> list[dict]:
+    """A range with the least and the greatest of each box column of its records."""
+    row = {**row, "zone": None}
+    if row["problem"] is None:
+        zone = {f"{c}_{end}": None for c in BOX_COLUMNS for end in ("low", "high")}
+        piece = Piece(*(row[c] for c in ("layer", "shp", "shx", "dbf", "cpg", "low", "high")))
+        try:
+            for low in range(piece.low, piece.high, ROWS_PER_BATCH):
+                shapes = _read_shapes(piece, low, min(piece.high, low + ROWS_PER_BATCH), False)
+                for c in BOX_COLUMNS:
+                    values = shapes[c] if isinstance(shapes[c], pa.Array) else pa.array(shapes[c], pa.float64())
+                    if pc.any(pc.is_nan(values)).as_py():
+                        return [row]  # not a number is above all numbers for a filter
+                    span = pc.min_max(values).as_py()
+                    for end, known, best in (("low", "min", min), ("high", "max", max)):
+                        both = [v for v in (zone[f"{c}_{end}"], span[known]) if v is not None]
+                        zone[f"{c}_{end}"] = best(both, default=None)
+            row["zone"] = zone
+        except (OSError, ValueError, struct.error):
+            pass  # no zone: the range is read, and says itself what is wrong
+    return [row]
+
+
+def with_zones(spark: SparkSession, found: ShapefilePlan) -> ShapefilePlan:
+    """The plan with the box of every range, from one pass over the shapes. Worth it for layers that are
+    asked for parts of their extent more than once."""
+    folder = shared_folder(spark, "zones")
+    ddl = f"{PIECE_SCHEMA.rstrip()}, share BIGINT, `group` BIGINT, zone {ZONE}"
+    rows = spark.read.schema(f"{PIECE_SCHEMA.rstrip()}, share BIGINT, `group` BIGINT").parquet(found.plan.folder)
+    spread = rows.repartition(max(1, found.plan.shares), "share")
+    zoned = spread.mapInArrow(_in_tasks(_zone, ddl), ddl)
+    zoned.repartition("group").write.partitionBy("group").parquet(folder)
+    return ShapefilePlan(Plan(folder, found.plan.shares), found.schema)
+
+
+def read_shapefiles(spark: SparkSession, found: ShapefilePlan, columns: list[str] | None = None) -> DataFrame:
+    """The features of a plan; ``columns`` leaves out the others, above all ``geometry_wkb``."""
+    schema = T.StructType([f for f in found.schema if columns is None or f.name in columns])
+    return spark.read.format("shapefile").schema(schema).options(**found.plan.options()).load()
+
+
+def open_shapefiles(
+    spark: SparkSession, root: str, layer: str | None = None, columns: list[str] | None = None
+) -> DataFrame:
+    """The features of the shapefiles at or below a path, or of the one called ``layer``."""
+    return read_shapefiles(spark, shapefile_plan(spark, root, layer), columns)
+
+
 # --- headers ----------------------------------------------------------------------
 
 HEADER_SCHEMA = """
@@ -548,24 +789,22 @@ HEADER_SCHEMA = """
 """
 
 
-def _read_header(path: str) -> dict:
-    base = path[: -len(".shp")]
-    with open_file(path) as handle:
+def _read_header(entry: dict) -> dict:
+    with open_file(entry["shp"]) as handle:
         head = handle.read(HEADER_BYTES)
     if len(head) < HEADER_BYTES or struct.unpack_from(">i", head)[0] != 9994:
         raise ValueError("not a shapefile")
-    index = _first_readable(base, "shx")
-    if index is None:
-        raise ValueError("index file is missing")
-    count = (next(iter(list_sizes(index).values())) - HEADER_BYTES) // INDEX_ENTRY_BYTES
+    if entry["shx"] is None:
+        raise ValueError(NO_INDEX)
+    with open_file(entry["shx"]) as handle:
+        count = max(0, handle.size() - HEADER_BYTES) // INDEX_ENTRY_BYTES
     xmin, ymin, xmax, ymax = struct.unpack_from("<4d", head, 36)
-    table, projection = _first_readable(base, "dbf"), _first_readable(base, "prj")
     wkt = None
-    if projection:
-        with open_file(projection) as handle:
+    if entry["prj"]:
+        with open_file(entry["prj"]) as handle:
             wkt = handle.read().decode("utf-8", "replace").strip()
     return {
-        "path": path,
+        "path": entry["shp"],
         "shape_type": struct.unpack_from("<i", head, 32)[0],
         "feature_count": count,
         "wkt": wkt,
@@ -580,23 +819,16 @@ def _read_header(path: str) -> dict:
                 "precision": f.decimals,
                 "nullable": True,
             }
-            for i, f in enumerate(read_table_header(table).fields if table else [], start=1)
+            for i, f in enumerate(read_table_header(entry["dbf"]).fields if entry["dbf"] else [], start=1)
         ],
     }
 
 
-def _read_headers(arrow: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path in batch.column("path").to_pylist():
-                try:
-                    rows.append(_read_header(path))
-                except (OSError, ValueError, struct.error) as problem:
-                    rows.append({"path": path, "error": f"Could not open shapefile: {problem}"})
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    return run
+def _header_or_problem(entry: dict) -> list[dict]:
+    try:
+        return [_read_header(entry)]
+    except (OSError, ValueError, struct.error) as problem:
+        return [{"path": entry["shp"], "error": f"Could not open shapefile: {problem}"}]
 
 
 def shapefile_headers(spark: SparkSession, root: str) -> DataFrame:
@@ -604,9 +836,8 @@ def shapefile_headers(spark: SparkSession, root: str) -> DataFrame:
 
     Headers are read by the tasks that hold the listing; no record is touched.
     """
-    listed = list_files(spark, root).where(F.col("path").rlike(r"(?i)\.shp$"))
-    arrow = to_arrow_schema(T.StructType.fromDDL(HEADER_SCHEMA))
-    headers = listed.select("path").mapInArrow(_read_headers(arrow), HEADER_SCHEMA)
+    entries = shapefile_entries(spark, root).repartition(spark.sparkContext.defaultParallelism, "shp")
+    headers = entries.mapInArrow(_in_tasks(_header_or_problem, HEADER_SCHEMA), HEADER_SCHEMA)
     wkt = F.col("wkt")
     return headers.select(
         stem(F.col("path")).alias("layer"),

@@ -1,8 +1,12 @@
 """TIFF rasters as a Spark source.
 
-``spark.read.format("raster").load(path)`` gives the pixels of every TIFF at or below a
-path as ``(path, band, row, col, value)``. An input partition is a share of the blocks
-(strips or tiles) of one file, or several small files; planning needs file sizes only.
+``raster_pixels(spark, path)`` gives the pixels of every raster at or below a path as
+``(path, band, row, col, value)``. Tasks read the headers and plan: they cut the blocks (strips or
+tiles) of a file into shares of like bytes. What is cut and read at a time is a *segment*: whole rows of a
+block that isn't compressed, so that a raster of one large strip has many; or a compressed
+block, which is inflated a few rows at a time. No block is ever held whole.
+``spark.read.format("raster").load(path)`` does the same for one file or a small folder without
+a plan; it then shares out files by size alone.
 
 With ``mode=parts`` a task returns one row per band of its share instead: count, minimum,
 maximum, mean and squared deviations of its pixels. ``raster_band_stats`` merges those, so
@@ -28,11 +32,15 @@ from layerscan.functions.crs import crs_label
 from layerscan.functions.paths import RASTER_EXTENSIONS, extension, stem
 from layerscan.functions.raster import cell_size, raster_extent
 from layerscan.operators.profile import merge_band_parts
-from layerscan.sources.discovery import list_files
-from layerscan.sources.files import list_sizes, open_file
+from layerscan.sources.discovery import list_tree, shown_files
+from layerscan.sources.files import list_sizes, open_file, path_exists
+from layerscan.sources.shares import BYTES_PER_SHARE, Plan, Share, cut_points, planned, share_rows, write_plan
 
-BYTES_PER_PARTITION = 64 << 20
+BYTES_PER_PARTITION = BYTES_PER_SHARE
 PIXELS_PER_BATCH = 1 << 18
+#: Bytes of samples that a task holds at a time, and of compressed data.
+SEGMENT_BYTES = 4 << 20
+INFLATE_BYTES = 1 << 20
 
 # Tag numbers of the file format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -115,6 +123,7 @@ class Raster:
 
     order: str
     tags: dict[int, tuple] = field(repr=False)
+    segment_bytes: int = SEGMENT_BYTES
 
     def one(self, tag: int, default=None):
         return self.tags.get(tag, (default,))[0]
@@ -158,6 +167,34 @@ class Raster:
         across, down = self.grid
         return across * down * (self.bands if self.separate else 1)
 
+    @property
+    def compressed(self) -> bool:
+        return self.one(COMPRESSION, 1) != 1
+
+    @property
+    def row_bytes(self) -> int:
+        """Bytes of one row of a block, when inflated."""
+        return self.block[0] * (1 if self.separate else self.bands) * self.one(BITS, 1) // 8
+
+    @property
+    def segment_rows(self) -> int:
+        """Rows of a block that are held at a time."""
+        return max(1, min(self.block[1], self.segment_bytes // max(1, self.row_bytes)))
+
+    @property
+    def segments_per_block(self) -> int:
+        """A compressed block can only be read from its start."""
+        return 1 if self.compressed else -(-self.block[1] // self.segment_rows)
+
+    @property
+    def segment_count(self) -> int:
+        return self.block_count * self.segments_per_block
+
+    def segment_sizes(self) -> np.ndarray:
+        """Stored bytes of each segment, about."""
+        sizes = np.array(self.tags[TILE_BYTES if self.tiled else STRIP_BYTES][: self.block_count], np.int64)
+        return np.repeat(sizes // self.segments_per_block, self.segments_per_block)
+
     @property
     def sample(self) -> tuple[str, str | None]:
         """Type name and numpy code of a sample."""
@@ -247,41 +284,78 @@ def _crs_name(code: int | None) -> str | None:
     return CRS_NAMES.get(code)
 
 
-def read_raster_header(handle) -> Raster:
-    raster = Raster(*_read_tags(handle))
+def read_raster_header(handle, segment_bytes: int = SEGMENT_BYTES) -> Raster:
+    raster = Raster(*_read_tags(handle), segment_bytes)
     if not raster.columns or not raster.rows:
         raise ValueError("image size is missing")
     return raster
 
 
-def read_block(handle, raster: Raster, index: int) -> tuple[int, int, int, np.ndarray]:
-    """First band, first row, first column and samples ``(height, width, bands)`` of a block."""
+def read_segment(handle, raster: Raster, index: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """First band, first row, first column and samples ``(height, width, bands)`` of the parts of a segment."""
+    block, part = divmod(index, raster.segments_per_block)
     across, down = raster.grid
     width, height = raster.block
-    first_band, place = divmod(index, across * down) if raster.separate else (0, index)
+    first_band, place = divmod(block, across * down) if raster.separate else (0, block)
     top, left = (place // across) * height, (place % across) * width
     depth = 1 if raster.separate else raster.bands
     stored = height if raster.tiled else min(height, raster.rows - top)
     offsets, sizes = (TILE_OFFSETS, TILE_BYTES) if raster.tiled else (STRIP_OFFSETS, STRIP_BYTES)
-    offset, size = raster.tags[offsets][index], raster.tags[sizes][index]
+    offset, size = raster.tags[offsets][block], raster.tags[sizes][block]
     dtype = np.dtype(raster.order + raster.sample[1])
-    shape = (stored, width, depth)
+    step = raster.segment_rows
+    # One part of a block that isn't compressed; all parts of one that is.
+    starts = range(0, stored, step) if raster.compressed else range(part * step, min(stored, part * step + step), step)
+    counts = [min(step, stored - at) for at in starts]
     if offset == 0 and size == 0:
-        # A block left out of the file holds nodata throughout.
-        samples = np.full(shape, raster.nodata or 0, dtype)
+        pieces = None  # a block left out of the file holds nodata throughout
+    elif raster.compressed:
+        pieces = _inflated(handle, offset, size, [n * raster.row_bytes for n in counts])
     else:
-        handle.seek(offset)
-        data = handle.read(size)
-        if raster.one(COMPRESSION, 1) != 1:
-            data = zlib.decompress(data)
-        predictor = raster.one(PREDICTOR, 1)
-        if predictor == 3:
-            samples = _undo_float_predictor(data, shape, dtype)
+        pieces = _plain(handle, offset, size, raster.row_bytes, starts, counts)
+    for at, rows in zip(starts, counts, strict=True):
+        if top + at >= raster.rows:
+            break  # a tile reaches over the lower edge
+        shape = (rows, width, depth)
+        if pieces is None:
+            samples = np.full(shape, raster.nodata or 0, dtype)
         else:
-            samples = np.frombuffer(data, dtype, stored * width * depth).reshape(shape)
-        if predictor == 2:
-            samples = np.cumsum(samples, axis=1, dtype=dtype.newbyteorder("="))
-    return first_band + 1, top, left, samples[: raster.rows - top, : raster.columns - left]
+            samples = _samples(next(pieces), shape, dtype, raster.one(PREDICTOR, 1))
+        yield first_band + 1, top + at, left, samples[: raster.rows - top - at, : raster.columns - left]
+
+
+def _plain(handle, offset: int, size: int, row_bytes: int, starts, counts: list[int]) -> Iterator[bytes]:
+    for at, rows in zip(starts, counts, strict=True):
+        handle.seek(offset + at * row_bytes)
+        yield handle.read(max(0, min(rows * row_bytes, size - at * row_bytes)))
+
+
+def _inflated(handle, offset: int, size: int, wanted: list[int]) -> Iterator[bytes]:
+    """Parts of so many bytes of a compressed block, one after the other."""
+    inflater, waiting, end = zlib.decompressobj(), b"", offset + size
+    for count in wanted:
+        part = bytearray()
+        while len(part) < count and not inflater.eof:
+            if not waiting:
+                handle.seek(offset)
+                waiting = handle.read(min(INFLATE_BYTES, end - offset))
+                offset += len(waiting)
+            more = inflater.decompress(waiting, count - len(part))
+            if not more and not waiting:
+                raise ValueError("a compressed block ends early")
+            part += more
+            waiting = inflater.unconsumed_tail
+        yield bytes(part)
+
+
+def _samples(data: bytes, shape: tuple[int, int, int], dtype: np.dtype, predictor: int) -> np.ndarray:
+    height, width, depth = shape
+    if predictor == 3:
+        return _undo_float_predictor(data, shape, dtype)
+    samples = np.frombuffer(data, dtype, height * width * depth).reshape(shape)
+    if predictor == 2:
+        return np.cumsum(samples, axis=1, dtype=dtype.newbyteorder("="))
+    return samples
 
 
 def _undo_float_predictor(data: bytes, shape: tuple[int, int, int], dtype: np.dtype) -> np.ndarray:
@@ -302,11 +376,12 @@ PART_SCHEMA = """
     path STRING, band INT, valid BIGINT, min DOUBLE, max DOUBLE, mean DOUBLE, m2 DOUBLE,
     nodata DOUBLE, error STRING
 """
-TIFF_ENDINGS = (".tif", ".tiff")
+PIECE_SCHEMA = "path STRING, first BIGINT, last BIGINT, bytes BIGINT, segment_bytes BIGINT, problem STRING"
+MISSING = "No such file"
 
 
-class BlockShares(InputPartition):
-    """Shares ``(path, share, of)`` of the blocks of files."""
+class FileShares(InputPartition):
+    """Shares ``(path, share, of)`` of the segments of files."""
 
     def __init__(self, shares: list[tuple[str, int, int]]):
         super().__init__(None)
@@ -330,41 +405,62 @@ class RasterSource(DataSource):
 class RasterReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.arrow = to_arrow_schema(schema)
-        self.path = options["path"]
+        self.path = options.get("path")
+        self.plan = planned(options)
         self.parts = options.get("mode") == "parts"
         self.bytes_per_partition = int(options.get("bytesperpartition", BYTES_PER_PARTITION))
 
-    def partitions(self) -> list[BlockShares]:
-        """Share out large files and put small ones together, by size."""
-        files = {p: s for p, s in list_sizes(self.path).items() if p.lower().endswith(TIFF_ENDINGS)}
+    def partitions(self) -> list[InputPartition]:
+        """The shares of the plan; without one, share out large files and put small ones together, by size."""
+        if self.plan:
+            return [Share(n) for n in range(max(1, self.plan.shares))]
+        endings = tuple(f".{e}" for e in RASTER_EXTENSIONS)
+        files = {p: s for p, s in list_sizes(self.path).items() if p.lower().endswith(endings)}
         groups, group, filled = [], [], 0
         for path, size in sorted(files.items()):
             shares = max(1, -(-size // self.bytes_per_partition))
             if shares > 1:
-                groups += [BlockShares([(path, i, shares)]) for i in range(shares)]
+                groups += [FileShares([(path, i, shares)]) for i in range(shares)]
                 continue
             if group and filled + size > self.bytes_per_partition:
-                groups.append(BlockShares(group))
+                groups.append(FileShares(group))
                 group, filled = [], 0
             group.append((path, 0, 1))
             filled += size
         if group or not groups:
-            groups.append(BlockShares(group))
+            groups.append(FileShares(group if files else [(self.path, 0, 1)]))
         return groups
 
-    def read(self, partition: BlockShares) -> Iterator[pa.RecordBatch]:
-        for path, share, of in partition.shares:
+    def _ranges(self, partition: InputPartition) -> Iterator[tuple]:
+        """Path, problem, bytes of a segment, and the first and last segment as functions of their number."""
+        if isinstance(partition, Share):
+            for piece in share_rows(self.plan, partition.number):
+                bounds = lambda _, p=piece: (p["first"], p["last"])
+                yield piece["path"], piece["problem"], piece["segment_bytes"], bounds
+        else:
+            for path, share, of in partition.shares:
+                yield path, None, SEGMENT_BYTES, lambda n, i=share, of=of: (n * i // of, n * (i + 1) // of)
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        for path, problem, segment_bytes, bounds in self._ranges(partition):
             try:
+                if problem:
+                    raise ValueError(problem)
                 with open_file(path) as handle:
-                    raster = read_raster_header(handle)
+                    raster = read_raster_header(handle, segment_bytes)
                     if raster.problem:
                         raise ValueError(raster.problem)
-                    first, last = (raster.block_count * i // of for i in (share, share + 1))
-                    blocks = (read_block(handle, raster, i) for i in range(first, last))
+                    segments = range(*bounds(raster.segment_count))
+                    parts = (part for i in segments for part in read_segment(handle, raster, i))
                     make = self._part_rows if self.parts else self._pixel_rows
-                    yield from make(path, raster, blocks)
+                    yield from make(path, raster, parts)
+            except FileNotFoundError:
+                yield self._error(path, MISSING)
             except (OSError, ValueError, KeyError, IndexError, struct.error, zlib.error) as problem:
-                yield pa.RecordBatch.from_pylist([{"path": path, "error": str(problem)}], schema=self.arrow)
+                yield self._error(path, str(problem))
+
+    def _error(self, path: str, problem: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"path": path, "error": problem}], schema=self.arrow)
 
     def _pixel_rows(self, path, raster, blocks) -> Iterator[pa.RecordBatch]:
         for first_band, top, left, samples in blocks:
@@ -422,7 +518,7 @@ def _as_sample(nodata: float | None, dtype: np.dtype) -> float | None:
 
 
 def _add_block(total: list, values: np.ndarray) -> None:
-    """Merge the values of a block into ``[count, min, max, mean, m2]``."""
+    """Merge the values of a part of a block into ``[count, min, max, mean, m2]``."""
     n, low, high, mean, m2 = total
     block_mean = float(values.mean())
     gap, both = block_mean - mean, n + values.size
@@ -435,10 +531,64 @@ def _add_block(total: list, values: np.ndarray) -> None:
     ]
 
 
-def raster_band_stats(spark: SparkSession, path: str, by: list[str] | None = None) -> DataFrame:
-    """Exact band statistics of all TIFFs at or below a path; an unreadable file has no
+def _plan_files(bytes_per_share: int, segment_bytes: int, arrow: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                rows = _file_pieces(path, bytes_per_share, segment_bytes)
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return run
+
+
+def _file_pieces(path: str, bytes_per_share: int, segment_bytes: int) -> list[dict]:
+    """The ranges of segments of a file, of like bytes; or one that says why there are none."""
+    try:
+        with open_file(path) as handle:
+            raster = read_raster_header(handle, segment_bytes)
+        if raster.problem:
+            raise ValueError(raster.problem)
+        firsts, sizes = cut_points(raster.segment_sizes(), bytes_per_share)
+    except FileNotFoundError:
+        return [{"path": path, "bytes": 0, "problem": MISSING}]
+    except (OSError, ValueError, KeyError, struct.error) as problem:
+        return [{"path": path, "bytes": 0, "problem": str(problem)}]
+    lasts = [*firsts[1:].tolist(), raster.segment_count]
+    ranges = zip(firsts.tolist(), lasts, sizes.tolist(), strict=True)
+    return [
+        {"path": path, "first": a, "last": b, "bytes": size, "segment_bytes": segment_bytes} for a, b, size in ranges
+    ]
+
+
+def raster_files(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of the rasters at or below a path, listed by tasks; of a missing path, the path itself."""
+    files = shown_files(list_tree(spark, root), root)
+    named = files.where(extension(F.col("path")).isin(RASTER_EXTENSIONS)).select("path")
+    return spark.createDataFrame([(root,)], "path string") if not path_exists(root) else named
+
+
+def raster_plan(
+    spark: SparkSession, root: str, bytes_per_share: int = BYTES_PER_SHARE, segment_bytes: int = SEGMENT_BYTES
+) -> Plan:
+    """Shares of like bytes of all rasters at or below a path. Tasks list, read headers and cut."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(PIECE_SCHEMA))
+    paths = raster_files(spark, root).repartition(spark.sparkContext.defaultParallelism, "path")
+    return write_plan(paths.mapInArrow(_plan_files(bytes_per_share, segment_bytes, arrow), PIECE_SCHEMA), bytes_per_share)
+
+
+def raster_pixels(spark: SparkSession, path: str, plan: Plan | None = None) -> DataFrame:
+    """Every pixel of the rasters at or below a path; an unreadable file has a row with an ``error``."""
+    plan = plan or raster_plan(spark, path)
+    return spark.read.format("raster").options(**plan.options()).load()
+
+
+def raster_band_stats(
+    spark: SparkSession, path: str, by: list[str] | None = None, plan: Plan | None = None
+) -> DataFrame:
+    """Exact band statistics of all rasters at or below a path; an unreadable file has no
     band but an ``error``."""
-    parts = spark.read.format("raster").option("mode", "parts").load(path)
+    plan = plan or raster_plan(spark, path)
+    parts = spark.read.format("raster").options(mode="parts", **plan.options()).load()
     return merge_band_parts(parts, by or ["path", "band"])
 
 
@@ -491,11 +641,10 @@ def raster_headers(spark: SparkSession, root: str) -> DataFrame:
 
     A raster whose pixels cannot be decoded keeps its row and says why in ``error``.
     """
-    listed = list_files(spark, root).where(extension(F.col("path")).isin(RASTER_EXTENSIONS))
+    listed = raster_files(spark, root).repartition(spark.sparkContext.defaultParallelism, "path")
     arrow = to_arrow_schema(T.StructType.fromDDL(HEADER_SCHEMA))
     return (
-        listed.select("path")
-        .mapInArrow(_read_headers(arrow), HEADER_SCHEMA)
+        listed.mapInArrow(_read_headers(arrow), HEADER_SCHEMA)
         .withColumn("layer", stem(F.col("path")))
     )
 

@@ -185,7 +185,7 @@ def test_undecodable_files_say_why(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: (r.n, r.error) for r in rows.collect()}
     assert got["lzw.tif"] == (0, "Unsupported compression: LZW") and got["good.tif"] == (16, None)
     stats = {r.path.rsplit("/", 1)[1]: r for r in raster_band_stats(spark, str(tmp_path)).collect()}
-    assert sorted(stats) == ["good.tif", "junk.tif", "lzw.tif"]
+    assert sorted(stats) == ["good.tif", "junk.tif", "lzw.tif", "photo.png"]
     assert (stats["lzw.tif"].band, stats["lzw.tif"].max, stats["lzw.tif"].error) == (
         None, None, "Unsupported compression: LZW")
     assert stats["good.tif"].band == 1 and stats["good.tif"].error is None
