@@ -1,6 +1,6 @@
 """Column expressions: labels, value text, paths, geometry and raster arithmetic."""
 
-from layerscan.functions.crs import crs_label, crs_units, wkt_authority_code, wkt_name
+from layerscan.functions.crs import crs_label, crs_units, wkt_authority_code, wkt_label, wkt_name
 from layerscan.functions.geometry import geometry_name, layer_geometry_type
 from layerscan.functions.paths import (
     FORMATS,
@@ -50,5 +50,6 @@ __all__ = [
     "type_label",
     "unsupported_message",
     "wkt_authority_code",
+    "wkt_label",
     "wkt_name",
 ]

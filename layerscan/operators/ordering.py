@@ -1,7 +1,7 @@
 """Order by key without one global sort task.
 
 A layer is read in the order of its row key (``fid``), nulls first; rows with the same key follow
-each other by a hash of the whole row, so that every row has one place. A window over the whole
+each other by two hashes of the whole row, so that every row has one place. A window over the whole
 layer would put every row into one task, so rows are dealt into buckets that follow the
 order: a window runs inside each bucket, and one small table with a row per bucket (whose number
 has a fixed limit) links the buckets together. A key that many rows share is cut into
@@ -25,16 +25,48 @@ MAX_CUTS = 1 << 13
 BUCKET = "_bucket"
 
 
-def tie_breaker(df: DataFrame) -> Column:
-    """A hash of the whole row, as a number from 0 up to 1. Equal rows are interchangeable."""
-    known = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    whole = F.xxhash64(*[F.col(f"`{name}`") for name in known])
-    return (whole / F.lit(2.0**64)) + F.lit(0.5)
+TIES = ("_tie", "_tie2")
+
+
+def _has_no_order(kind: T.DataType) -> bool:
+    """Whether a type has maps or variants in it, which can't be hashed as they are."""
+    if isinstance(kind, T.ArrayType):
+        return _has_no_order(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_no_order(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """The value with its maps as entries in order of their keys, and its variants as text."""
+    if not _has_no_order(kind):
+        return value
+    if isinstance(kind, T.VariantType):
+        return F.to_json(value)
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(
+            canonical(e["key"], kind.keyType).alias("k"), canonical(e["value"], kind.valueType).alias("v")
+        )
+        return F.array_sort(F.transform(F.map_entries(value), entry))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: canonical(x, kind.elementType))
+    fields = [canonical(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
+def tie_breakers(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of the whole row, of different seeds. Equal rows are interchangeable."""
+    values = [canonical(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    return F.xxhash64(*values), F.xxhash64(F.lit("second"), *values)
+
+
+def with_ties(df: DataFrame) -> DataFrame:
+    return df.withColumns(dict(zip(TIES, tie_breakers(df), strict=True)))
 
 
 def in_order(df: DataFrame, key: str) -> list[Column]:
     """What rows are sorted by."""
-    return [F.col(key).asc_nulls_first(), tie_breaker(df).asc()]
+    return [F.col(key).asc_nulls_first(), *tie_breakers(df)]
 
 
 @dataclass(frozen=True)
@@ -101,7 +133,7 @@ def with_bucket(df: DataFrame, key: str, layout: KeyLayout, tie: Column | None =
     inputs, and inputs that differ cannot share one exchange. Rows without a key are in buckets
     below zero. ``tie`` cuts what shares a key.
     """
-    tie = tie_breaker(df) if tie is None else tie
+    tie = (tie_breakers(df)[0] if tie is None else tie) / F.lit(2.0**64) + F.lit(0.5)  # from 0 to 1
     null_parts = max(1, -(-layout.nulls // ROWS_PER_BUCKET))
     no_key = (F.least(F.floor(tie * null_parts), F.lit(null_parts - 1)) - null_parts).cast("int")
     if not layout.cuts:
@@ -153,14 +185,13 @@ def with_position(df: DataFrame, key: str, layout: KeyLayout | None = None) -> D
     layout = layout or key_layout(df, key)
     if layout.dense:
         return df.withColumn("position", (F.col(key) - layout.low).cast("bigint"))
-    tied = df.withColumn("_tie", tie_breaker(df))
-    bucketed = with_bucket(tied, key, layout, F.col("_tie"))
+    bucketed = with_bucket(with_ties(df), key, layout, F.col(TIES[0]))
     before = bucket_table(bucketed.select(key, BUCKET), key).select(BUCKET, "_before")
     # Bounded: one row per bucket, see MAX_BUCKETS.
     joined = bucketed.join(F.broadcast(before), BUCKET)
-    inside = Window.partitionBy(BUCKET).orderBy(F.col(key).asc_nulls_first(), "_tie")
+    inside = Window.partitionBy(BUCKET).orderBy(F.col(key).asc_nulls_first(), *TIES)
     place = F.row_number().over(inside) - 1 + F.col("_before")
-    return joined.withColumn("position", place.cast("bigint")).drop(BUCKET, "_before", "_tie")
+    return joined.withColumn("position", place.cast("bigint")).drop(BUCKET, "_before", *TIES)
 
 
 @dataclass(frozen=True)
@@ -199,7 +230,7 @@ def key_at(df: DataFrame, key: str, position: int) -> Place | None:
             found = numbered.where(F.col("_n") == left + 1).first()
             return Place(found[0], passed + found["_rank"] - 1)
         edges = (
-            with_bucket(rest, key, layout, F.lit(0.0))
+            with_bucket(rest, key, layout, F.lit(0))
             .groupBy(BUCKET)
             .agg(F.count(key), F.min(key), F.max(key))
             .orderBy(BUCKET)

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerscan.operators.ordering import (
+    TIES,
     KeyLayout,
     in_order,
     key_at,
     key_layout,
-    tie_breaker,
     with_position,
+    with_ties,
 )
 
 # Rows shown by default, rows of the first page, rows of each later page.
@@ -64,7 +65,7 @@ def scan_from(df: DataFrame, key: str, skip: int, keys: DataFrame | None = None)
 
     The position is turned into a key first, and the scan then filters on that key, which
     reaches the file reader. Only where the position lies among rows that share a key is a second
-    step needed: the same on the hash of these rows. ``keys`` as for :func:`preview`.
+    step needed: the same on the hashes of these rows. ``keys`` as for :func:`preview`.
     """
     if skip <= 0:
         return df
@@ -75,13 +76,15 @@ def scan_from(df: DataFrame, key: str, skip: int, keys: DataFrame | None = None)
     here = F.col(key).isNull() if start.key is None else F.col(key) == start.key
     if start.before == skip:
         return df.where(here | later)
-    tied = df.withColumn("_tie", tie_breaker(df))
-    among = key_at(tied.where(here), "_tie", skip - start.before)
-    rest = tied.where(later | (here & (F.col("_tie") > among.key))).drop("_tie")
-    equal = tied.where(here & (F.col("_tie") == among.key)).drop("_tie")
+    tied, left_out, rest = with_ties(df), skip - start.before, later
+    for tie in TIES:
+        among = key_at(tied.where(here), tie, left_out)
+        rest = rest | (here & (F.col(tie) > among.key))
+        here, left_out = here & (F.col(tie) == among.key), left_out - among.before
     # Rows that are equal in everything: any of them may be left out.
-    left = equal.count() - (skip - start.before - among.before)
-    return rest.unionByName(equal.limit(left))
+    equal = tied.where(here)
+    left = equal.count() - left_out
+    return tied.where(rest).unionByName(equal.limit(left)).drop(*TIES)
 
 
 def page_of(position: Column) -> Column:

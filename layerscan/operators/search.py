@@ -9,11 +9,12 @@ from pyspark.sql import types as T
 from layerscan.functions.text import cell_text
 from layerscan.operators.ordering import (
     BUCKET,
+    TIES,
     KeyLayout,
     bucket_table,
     key_layout,
-    tie_breaker,
     with_bucket,
+    with_ties,
 )
 
 DIGITS = "0123456789"
@@ -76,12 +77,12 @@ def match_ring(
     window inside each bucket read that same exchange.
     """
     layout = layout or key_layout(df, key)
-    tied = df.withColumn("_tie", tie_breaker(df))
+    tied = with_ties(df)
     names = df.columns if columns is None else columns
-    matches = search_rows(tied, query, names).select(key, "_tie")
-    bucketed = with_bucket(matches, key, layout, F.col("_tie")).repartition(BUCKET)
+    matches = search_rows(tied, query, names).select(key, *TIES)
+    bucketed = with_bucket(matches, key, layout, F.col(TIES[0])).repartition(BUCKET)
     links = bucket_table(bucketed, key)
-    inside = Window.partitionBy(BUCKET).orderBy(F.col(key).asc_nulls_first(), "_tie")
+    inside = Window.partitionBy(BUCKET).orderBy(F.col(key).asc_nulls_first(), *TIES)
     # Bounded: one row per bucket, see MAX_BUCKETS.
     return bucketed.join(F.broadcast(links), BUCKET).select(
         F.col(key),

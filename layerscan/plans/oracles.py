@@ -363,10 +363,14 @@ ORACLES = {
     """,
     "crs_labels": """
         SELECT s_suppkey,
-               CASE s_suppkey % 4 WHEN 0 THEN concat('EPSG:', 32600 + s_nationkey, ' - ', s_name) WHEN 1 THEN s_name
-                    WHEN 2 THEN concat('EPSG:', 4000 + s_nationkey, ' - ', s_name) END AS crs,
-               CASE s_suppkey % 4 WHEN 0 THEN 'metre' WHEN 1 THEN 'US survey foot' END AS linear_unit,
-               CASE s_suppkey % 4 WHEN 2 THEN 'degree' END AS angular_unit
+               CASE s_suppkey % 8 WHEN 0 THEN concat('EPSG:', 32600 + s_nationkey, ' - ', s_name) WHEN 1 THEN s_name
+                    WHEN 2 THEN concat('EPSG:', 4000 + s_nationkey, ' - ', s_name)
+                    WHEN 3 THEN concat('EPSG:', 6000 + s_nationkey, ' - ', s_name)
+                    WHEN 4 THEN concat('EPSG:', 4600 + s_nationkey, ' - ', s_name)
+                    WHEN 5 THEN concat('EPSG:', 25800 + s_nationkey, ' - a "[', s_name) WHEN 6 THEN s_name END AS crs,
+               CASE s_suppkey % 8 WHEN 0 THEN 'metre' WHEN 1 THEN 'US survey foot' WHEN 3 THEN 'foot' WHEN 5 THEN 'kilometre'
+                    END AS linear_unit,
+               CASE s_suppkey % 8 WHEN 2 THEN 'degree' WHEN 4 THEN 'grad' WHEN 6 THEN 'radian' END AS angular_unit
         FROM supplier
     """,
     "geometry_names": """
@@ -440,5 +444,16 @@ ORACLES = {
             UNION ALL SELECT 'shapefile', CAST(sum(length) AS BIGINT) FROM ({TREE}) WHERE key BETWEEN 70 AND 72
             UNION ALL SELECT 'missing', 0)
     """,
+    "refreshed_profile": """
+        SELECT event_type AS layer, CAST(count(*) AS BIGINT) AS feature_count, min(value) + 0.0 AS xmin, max(value) + 0.0 AS xmax,
+               CAST(min(user_id) AS DOUBLE) AS ymin, CAST(max(user_id) AS DOUBLE) AS ymax
+        FROM events WHERE event_id % 4 <> 1 OR value > 50 GROUP BY event_type
+    """,
+    "scan_progress": """
+        SELECT batch, n // 8 AS rows, (batch + 1) * (n // 8) AS loaded, n AS total,
+               CAST(floor(100.0 * ((batch + 1) * (n // 8)) / n) AS BIGINT) AS percent
+        FROM range(8) b(batch), (SELECT count(*) AS n FROM events)
+    """,
+    "search_indexed": "SELECT * FROM documents WHERE contains(lower(text), 'the ') OR contains(lower(lang), 'the ')",
     "stream_profile": box("events", "events", "value", "user_id"),
 }

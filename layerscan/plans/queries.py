@@ -25,12 +25,15 @@ from layerscan.operators.paging import (
 )
 from layerscan.operators.profile import array_bands, band_stats, layer_extents
 from layerscan.operators.search import match_ring, search_rows
+from layerscan.operators.search_index import build_index, search_indexed
 from layerscan.plans.dataset import Container, open_dataset
 from layerscan.plans.sample_files import write_array_rasters, write_plain_files, write_shapefiles
 from layerscan.session import configure, shared_folder
 from layerscan.sources import container, shapefile, tiff
 from layerscan.sources.discovery import classify_paths, discover, fold_datasets, raster_layers
+from layerscan.streaming.files import file_state, profile_of, refresh
 from layerscan.streaming.profile import arriving_rows, latest_profile, profile_stream, running_profile
+from layerscan.streaming.progress import progress_table, scan_with_progress
 
 LAYERS = [
     "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
@@ -452,17 +455,27 @@ def cell_texts(spark, sf_dir):
 
 
 def crs_labels(spark, sf_dir):
-    """Labels and units of systems spelled out as WKT per supplier."""
+    """Labels and units of systems spelled out as WKT per supplier: of both versions, alone, compound and bound."""
+    base = """
+        'GEOGCS["base",DATUM["d",SPHEROID["s",6378137,298.25]],PRIMEM["Greenwich",0],UNIT["degree",0.017],',
+        'AUTHORITY["EPSG","4326"]],PROJECTION["p"],PARAMETER["k",1],'
+    """
     wkt = F.expr(
-        """
-        CASE s_suppkey % 4
-          WHEN 0 THEN concat('PROJCS["', s_name, '",GEOGCS["base",DATUM["d",SPHEROID["s",6378137,298.25]],',
-               'PRIMEM["Greenwich",0],UNIT["degree",0.017],AUTHORITY["EPSG","4326"]],PROJECTION["p"],',
-               'PARAMETER["k",1],UNIT["metre",1],AUTHORITY["EPSG","', 32600 + s_nationkey, '"]]')
-          WHEN 1 THEN concat('PROJCS["', s_name, '",GEOGCS["base",DATUM["d",SPHEROID["s",6378137,298.25]],',
-               'PRIMEM["Greenwich",0],UNIT["degree",0.017]],PROJECTION["p"],UNIT["US survey foot",0.3048]]')
+        f"""
+        CASE s_suppkey % 8
+          WHEN 0 THEN concat('PROJCS["', s_name, '",', {base}, 'UNIT["metre",1],AUTHORITY["EPSG","', 32600 + s_nationkey, '"]]')
+          WHEN 1 THEN concat('PROJCS["', s_name, '",', {base}, 'UNIT["US survey foot",0.3048]]')
           WHEN 2 THEN concat('GEOGCS["', s_name, '",DATUM["d",SPHEROID["s",6378137,298.25]],',
                'PRIMEM["Greenwich",0],UNIT["degree",0.017],AUTHORITY["EPSG","', 4000 + s_nationkey, '"]]')
+          WHEN 3 THEN concat('COMPD_CS["', s_name, '",PROJCS["flat",', {base}, 'UNIT["foot",0.3],AUTHORITY["EPSG","2000"]],',
+               'VERT_CS["h",VERT_DATUM["v",2005],UNIT["fathom",2],AUTHORITY["EPSG","5703"]],AUTHORITY["EPSG","', 6000 + s_nationkey, '"]]')
+          WHEN 4 THEN concat('BOUNDCRS[SOURCECRS[GEOGCRS["', s_name, '",DATUM["d",ELLIPSOID["e",6378137,298.25]],CS[ellipsoidal,2],',
+               'AXIS["lat",north],AXIS["lon",east],ANGLEUNIT["grad",0.0157],ID["EPSG",', 4600 + s_nationkey, ']]],',
+               'TARGETCRS[GEOGCRS["WGS 84",ANGLEUNIT["degree",0.017],ID["EPSG",4326]]],ABRIDGEDTRANSFORMATION["t",METHOD["m"]]]')
+          WHEN 5 THEN concat('PROJCRS["a ""[', s_name, '" , BASEGEOGCRS["b",DATUM["d",ELLIPSOID["e",1,2,LENGTHUNIT["mile",1600]]],',
+               'ID["EPSG",4258]], CONVERSION["c",METHOD["m",ID["EPSG",9807]]], CS[Cartesian,2],AXIS["(E)",east,ORDER[1],',
+               'LENGTHUNIT["kilometre",1000]],AXIS["(N)",north,LENGTHUNIT["kilometre",1000]],ID["EPSG",', 25800 + s_nationkey, ']]')
+          WHEN 6 THEN concat('geogcs ( "', s_name, '", UNIT ( "radian", 1 ) )')
         END
         """
     )
@@ -471,7 +484,7 @@ def crs_labels(spark, sf_dir):
     units = fn.crs_units(text)
     return rows.select(
         "s_suppkey",
-        fn.crs_label(fn.wkt_authority_code(text), fn.wkt_name(text)).alias("crs"),
+        fn.wkt_label(text).alias("crs"),
         units.getField("linear_unit").alias("linear_unit"),
         units.getField("angular_unit").alias("angular_unit"),
     )
@@ -693,6 +706,47 @@ def stream_profile(spark, sf_dir):
     return latest_profile(spark, f"{output}/profile").select("layer", "feature_count", *edges(F.col("extent")))
 
 
+def refreshed_profile(spark, sf_dir):
+    """Count and extent of layers of which a part was rewritten after the first look."""
+    configure(spark)
+    base = shared_folder(spark, "layers")
+    events = table(spark, sf_dir, "events").withColumns(
+        {"layer": F.col("event_type"), "part": F.col("event_id") % 4}
+    )
+    writer = lambda df: df.write.partitionBy("layer", "part").mode("overwrite")
+    writer(events).parquet(f"{base}/files")
+    axes = {f"layer={r.layer}": ("value", "user_id") for r in events.select("layer").distinct().collect()}
+    refresh(spark, f"{base}/files", f"{base}/state", axes)
+    again = events.where((F.col("part") == 1) & (F.col("value") > 50))
+    writer(again).option("partitionOverwriteMode", "dynamic").parquet(f"{base}/files")
+    refresh(spark, f"{base}/files", f"{base}/state", axes)
+    profile = profile_of(file_state(spark, f"{base}/state"))
+    return profile.select(F.substring("layer", 7, 100).alias("layer"), "feature_count", *edges(F.col("extent")))
+
+
+def scan_progress(spark, sf_dir):
+    """Rows read so far after each of eight micro-batches."""
+    configure(spark)
+    base = shared_folder(spark, "progress")
+    events = table(spark, sf_dir, "events")
+    parts = events.withColumn("part", F.col("event_id") % 8).repartition(8, "part")
+    parts.write.partitionBy("part").parquet(f"{base}/files")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True)
+    rows = stream.option("maxFilesPerTrigger", 1).parquet(f"{base}/files")
+    scan_with_progress(rows, f"{base}/rows", f"{base}/progress", f"{base}/checkpoint").awaitTermination()
+    return progress_table(spark, f"{base}/progress", events.count())
+
+
+def search_indexed_documents(spark, sf_dir):
+    """The documents with a text, by the filters of the files they are in."""
+    base = shared_folder(spark, "indexed")
+    documents = table(configure(spark), sf_dir, "documents")
+    documents.repartitionByRange(16, "doc_id").write.parquet(f"{base}/files")
+    rows = spark.read.schema(documents.schema).parquet(f"{base}/files")
+    build_index(rows, f"{base}/index", ["text", "lang"])
+    return search_indexed(rows, f"{base}/index", "THE ", ["text", "lang"])
+
+
 QUERIES = {
     "container_info": container_info,
     "container_counts": container_counts,
@@ -765,4 +819,7 @@ QUERIES = {
     "raster_layers": folder_rasters,
     "dataset_size": dataset_size,
     "stream_profile": stream_profile,
+    "refreshed_profile": refreshed_profile,
+    "scan_progress": scan_progress,
+    "search_indexed": search_indexed_documents,
 }

@@ -178,8 +178,13 @@ def container_footers(
     """
     files = container_files(spark, root)
     if only is not None:
-        files = files.join(only, "layer", "left_semi").select("path", "length", "layer")
-    return files.mapInArrow(_footer_rows(axes or {}), FOOTER_SCHEMA)
+        files = files.join(only, "layer", "left_semi")
+    return footers_of(files, axes)
+
+
+def footers_of(files: DataFrame, axes: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """The footers of given files (``path``, ``length``, ``layer``)."""
+    return files.select("path", "length", "layer").mapInArrow(_footer_rows(axes or {}), FOOTER_SCHEMA)
 
 
 def catalog_of(footers: DataFrame) -> DataFrame:
@@ -237,8 +242,8 @@ def _scan_groups(axes: dict[str, tuple[str, str]]):
 def _scanned(part: pa.RecordBatch, columns: dict[str, str], row: dict) -> list[dict]:
     if row["wanted"] == "shapes":
         heads = pc.binary_slice(part["geometry_wkb"], 0, WKB_HEAD_BYTES).unique().drop_null()
-        return [{"layer": row["layer"], "head": head} for head in heads.to_pylist()]
-    box: dict = {"layer": row["layer"]}
+        return [{"layer": row["layer"], "path": row["path"], "head": head} for head in heads.to_pylist()]
+    box: dict = {"layer": row["layer"], "path": row["path"]}
     for edge, column in columns.items():
         values = part[column].cast(pa.float64(), safe=False)
         values = values.filter(pc.invert(pc.is_nan(values)))
@@ -246,14 +251,16 @@ def _scanned(part: pa.RecordBatch, columns: dict[str, str], row: dict) -> list[d
     return [box]
 
 
-_SCANNED_ARROW = pa.schema([("layer", pa.string()), ("head", pa.binary()), *((n, pa.float64()) for n in BOX)])
-_SCANNED = "layer STRING, head BINARY, xmin DOUBLE, xmax DOUBLE, ymin DOUBLE, ymax DOUBLE"
+_SCANNED_ARROW = pa.schema([("layer", pa.string()), ("path", pa.string()), ("head", pa.binary()), *((n, pa.float64()) for n in BOX)])
+_SCANNED = "layer STRING, path STRING, head BINARY, xmin DOUBLE, xmax DOUBLE, ymin DOUBLE, ymax DOUBLE"
 ROWS_AT_ONCE = 1 << 16
 WKB_HEAD_BYTES = 5
 
 
-def extents_of(footers: DataFrame, axes: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """Extent and geometry names per layer, from the footers of its files (a written table).
+def extents_of(
+    footers: DataFrame, axes: dict[str, tuple[str, str]] | None = None, by: tuple[str, ...] = ("layer",)
+) -> DataFrame:
+    """Extent and geometry names per layer, or per file, from the footers of files (a written table).
 
     Where the footers hold the least and the greatest of the columns, nothing else is read. The row groups of
     other files, and of those with shapes, are rows of a table, and tasks read one after the
@@ -271,12 +278,12 @@ def extents_of(footers: DataFrame, axes: dict[str, tuple[str, str]] | None = Non
         .repartition(footers.sparkSession.sparkContext.defaultParallelism, "path", "group", "wanted")
     )
     scanned = open_groups.mapInArrow(_scan_groups(axes or {}), _SCANNED)
-    known = footers.select("layer", F.lit(None).cast("binary").alias("head"), *BOX)
+    known = footers.select("layer", "path", F.lit(None).cast("binary").alias("head"), *BOX)
     edges = map(F.col, BOX)
     names = F.array_compact(F.collect_set(geometry_name(F.col("head"))))
     return (
         known.unionByName(scanned)
-        .groupBy("layer")
+        .groupBy(*by)
         .agg(extent_of(*edges).alias("extent"), names.alias("geometry_names"))
     )
 

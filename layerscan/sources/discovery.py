@@ -45,7 +45,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``path, length`` of every file at or below a path, whatever its name.
+    """``path, length, modified`` (nanoseconds) of every file at or below a path, whatever its name.
 
     The frontier is a table: each round lists the folders that the one before it found, in
     tasks, and writes what lies in them to the shared folder, until no folder is left. No list is
@@ -63,7 +63,7 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
         tasks = max(spark.sparkContext.defaultParallelism, -(-folders // FOLDERS_PER_TASK))
         level, number = found.select("path").repartition(min(tasks, folders)), number + 1
     entries = spark.read.schema(_ENTRIES).option("basePath", written).parquet(f"{written}/level=*")
-    return entries.where("not folder").select("path", "length")
+    return entries.where("not folder").select("path", "length", "modified")
 
 
 def shown_files(files: DataFrame, root: str) -> DataFrame:
@@ -74,8 +74,8 @@ def shown_files(files: DataFrame, root: str) -> DataFrame:
 
 
 FOLDERS_PER_TASK = 1000
-_ENTRIES = "path string, length bigint, folder boolean"
-_ENTRY_TYPES = (pa.string(), pa.int64(), pa.bool_())
+_ENTRIES = "path string, length bigint, folder boolean, modified bigint"
+_ENTRY_TYPES = (pa.string(), pa.int64(), pa.bool_(), pa.int64())
 
 
 def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,7 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for at in range(0, len(found), 10_000):
                 columns = zip(*found[at : at + 10_000], strict=True)
                 arrays = [pa.array(c, k) for c, k in zip(columns, _ENTRY_TYPES, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, ["path", "length", "folder"])
+                yield pa.RecordBatch.from_arrays(arrays, ["path", "length", "folder", "modified"])
 
 
 def classify_paths(paths: DataFrame, path: str = "path") -> DataFrame:

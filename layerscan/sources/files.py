@@ -43,8 +43,8 @@ def list_sizes(path: str) -> dict[str, int]:
     return {}
 
 
-def list_entries(path: str) -> list[tuple[str, int, bool]]:
-    """Path, size and whether it is a folder of what lies in a folder, or of a file itself.
+def list_entries(path: str) -> list[tuple[str, int, bool, int | None]]:
+    """Path, size, whether it is a folder, and time of change of what lies in a folder, or of a file itself.
 
     Paths are written as Spark writes them: local ones with the scheme ``file:``. A link to a folder is
     left out, so a loop of links ends; a folder that has gone meanwhile is empty.
@@ -62,7 +62,7 @@ def list_entries(path: str) -> list[tuple[str, int, bool]]:
     for e in entries:
         folder = e.type == pafs.FileType.Directory
         if e.type != pafs.FileType.NotFound and not (folder and local and os.path.islink(e.path)):
-            found.append((scheme + host + e.path, e.size or 0, folder))
+            found.append((scheme + host + e.path, e.size or 0, folder, e.mtime_ns))
     return found
 
 

@@ -42,7 +42,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from layerscan.functions.crs import crs_label, wkt_authority_code, wkt_name
+from layerscan.functions.crs import wkt_label
 from layerscan.functions.geometry import layer_geometry_type
 from layerscan.functions.paths import extension, stem
 from layerscan.session import shared_folder
@@ -845,7 +845,7 @@ def shapefile_headers(spark: SparkSession, root: str) -> DataFrame:
         F.when(F.col("error").isNull(), layer_geometry_type(F.col("shape_type"))).alias("geometry_type"),
         "feature_count",
         "extent",
-        crs_label(wkt_authority_code(wkt), wkt_name(wkt)).alias("crs"),
+        wkt_label(wkt).alias("crs"),
         F.size("fields").alias("field_count"),
         "fields",
         "error",

@@ -104,6 +104,33 @@ def test_crs_labels(spark):
     assert got == ["EPSG:4326 - WGS 84", "Local", "Local", None]
 
 
+AXES = 'AXIS["x",east,LENGTHUNIT["metre",1]],AXIS["y",north,LENGTHUNIT["metre",1]]'
+
+
+@pytest.mark.parametrize(
+    ("wkt", "label", "linear", "angular"),
+    [
+        ('GEOGCS["WGS 84",UNIT["degree",0.0174],AUTHORITY["EPSG","4326"]]', "EPSG:4326 - WGS 84", None, "degree"),
+        ('PROJCS["a",GEOGCS["b",UNIT["degree",1],AUTHORITY["EPSG","1"]],UNIT["m",1]]', "a", "m", None),
+        ('PROJCS["unit [deep]",GEOGCS["b"],UNIT["m",1],AUTHORITY["EPSG","7"]] ', "EPSG:7 - unit [deep]", "m", None),
+        ('COMPD_CS["c",GEOGCS["g",UNIT["degree",1],AUTHORITY["EPSG","2"]],VERT_CS["v",UNIT["m",1]]]', "c", None, "degree"),
+        ('COMPOUNDCRS["c",PROJCRS["p",BASEGEOGCRS["b",ID["EPSG",1]],CS[Cartesian,2],' + AXES + ',ID["EPSG",2]],ID["EPSG",9]]',
+         "EPSG:9 - c", "metre", None),
+        ('BOUNDCRS[SOURCECRS[PROJCRS["p",CS[Cartesian,2],' + AXES + ',ID["EPSG",5]]],TARGETCRS[GEOGCRS["t",ID["EPSG",4326]]]]',
+         "EPSG:5 - p", "metre", None),
+        ('ENGCRS["local",CS[Cartesian,2],' + AXES + "]", "local", None, None),
+        ('LOCAL_CS["", UNIT["m",1]]', None, None, None),
+        ("", None, None, None),
+        (None, None, None, None),
+        ("not a system", None, None, None),
+    ],
+)
+def test_systems_by_nesting(spark, wkt, label, linear, angular):
+    w = F.col("w")
+    row = spark.createDataFrame([(wkt,)], "w string").select(fn.wkt_label(w), fn.crs_units(w).alias("u")).first()
+    assert (row[0], row.u and row.u.linear_unit, row.u and row.u.angular_unit) == (label, linear, angular)
+
+
 @pytest.mark.parametrize(
     ("path", "kind", "label"),
     [

@@ -190,3 +190,27 @@ def test_search_looks_at_numbers_only_for_number_queries(spark):
     assert found("TRUE") == [1] and found("7x") == []
     plan = search_rows(df, "word")._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(lower(s" in plan and "cast(n" not in plan and "cast(d" not in plan
+
+
+def test_rows_that_differ_in_a_map_alone_have_an_order(spark, small_buckets):
+    rows = [(7, n % 3) for n in range(60)]
+    plain = spark.createDataFrame(rows, "fid bigint, n int").repartition(4)
+    df = plain.selectExpr(
+        "fid",
+        "CASE WHEN n = 0 THEN map('a', array(1), 'b', array(2)) WHEN n = 1 THEN map('b', array(2), 'a', array(1)) "
+        "ELSE map('a', array(1), 'b', array(3)) END AS m",
+        "array(named_struct('x', map(1, n))) AS nested",
+        "parse_json(concat('{\"k\": ', n, '}')) AS v",
+    )
+    placed = ordering.with_position(df, "fid").selectExpr("position", "to_json(v) AS v").collect()
+    assert sorted(r.position for r in placed) == list(range(60))
+    order = [r.v for r in sorted(placed, key=lambda r: r.position)]
+    assert len({tuple(order[i : i + 20]) for i in (0, 20, 40)}) == 3 and all(len(set(order[i : i + 20])) == 1 for i in (0, 20, 40))
+    left = paging.scan_from(df, "fid", 25).selectExpr("to_json(v) AS v").collect()
+    assert Counter(r.v for r in left) == Counter(order[25:])
+
+
+def test_maps_are_hashed_in_order_of_their_keys(spark):
+    df = spark.sql("SELECT map('a', 1, 'b', 2) AS m UNION ALL SELECT map('b', 2, 'a', 1) UNION ALL SELECT NULL")
+    ties = ordering.with_ties(df).select(*ordering.TIES).collect()
+    assert ties[0] == ties[1] != ties[2] and ties[0][0] != ties[0][1]

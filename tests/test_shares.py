@@ -258,4 +258,4 @@ def test_pages_are_read_only_without_statistics(layers, monkeypatch):
 def test_files_are_listed_by_folder(tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x").write_text("x")
-    assert [(p.rsplit("/", 1)[1], folder) for p, _, folder in files.list_entries(str(tmp_path))] == [("a", True)]
+    assert [(p.rsplit("/", 1)[1], folder) for p, _, folder, _ in files.list_entries(str(tmp_path))] == [("a", True)]
