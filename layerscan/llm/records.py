@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import random
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +35,13 @@ from layerscan.llm.tokens import library_words
 MASK = 0xA282EAD8
 HEAD = "<QI"
 KEY = "<BBq"
-ENTRY = "<QQ"
 CHECK = "<I"
 
-#: Bytes of ids handed to Spark at once while reading.
+#: Bytes of ids handed to Spark at once while reading, and of records put to a file at once.
 BATCH_BYTES = 8 << 20
+WRITE_BYTES = 1 << 20
+#: Records of a file, about.
+FILE_RECORDS = 1 << 16
 
 _FILES = "part int, data string, entries string, records long, tokens long"
 _RECORDS = "doc_id long, start long, n_tokens long, ids binary"
@@ -86,11 +90,12 @@ def write(
 
     Null and empty texts become ``end_id`` alone. Null keys come first; rows with equal keys
     are ordered by text, and repeated rows are all written. Other columns are not written.
-    ``files`` is the number of ranges (default: the session's shuffle partitions); ranges
-    without rows leave no file. ``id_bytes`` is 2 where no id is over 65,535.
+    ``files`` is the number of ranges (default: one for ``FILE_RECORDS`` rows, at least the session's
+    shuffle partitions); ranges without rows leave no file. ``id_bytes`` is 2 where no id is over 65,535.
     """
     spark = documents.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // FILE_RECORDS))
     code = {2: "H", 4: "I"}[id_bytes]
     end = b"" if end_id is None else end_id.to_bytes(id_bytes, "little")
 
@@ -100,7 +105,8 @@ def write(
         part = TaskContext.get().partitionId()
         words = library_words(tokenizer, code)
         data = entries = None
-        at = records = tokens = 0
+        at = records = tokens = waiting = 0
+        framed, places = [], array("Q")
         for batch in batches:
             for key, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 if data is None:
@@ -111,13 +117,22 @@ def write(
                     entries = system.open_output_stream(f"{name}.idx")
                 ids = words.text(text.as_py()) + end
                 record = frame(struct.pack(KEY, id_bytes, key is not None, key or 0) + ids)
-                entries.write(struct.pack(ENTRY, at, len(ids) // id_bytes))
-                data.write(record)
+                framed.append(record)
+                places.extend((at, len(ids) // id_bytes))
                 at += len(record)
+                waiting += len(record)
                 records += 1
                 tokens += len(ids) // id_bytes
+                if waiting >= WRITE_BYTES:
+                    data.write(b"".join(framed))
+                    framed.clear()
+                    waiting = 0
         if data is not None:
+            data.write(b"".join(framed))
             data.close()
+            if sys.byteorder == "big":
+                places.byteswap()
+            entries.write(places.tobytes())
             entries.close()
             row = [part, f"{name}.rec", f"{name}.idx", records, tokens]
             row[1:3] = [x.rsplit("/", 1)[1] for x in row[1:3]]
