@@ -3,18 +3,22 @@
 A BPE tokenizer that first cuts text into words never joins what lies before a space with
 the space. So a text may be cut in front of every space that a visible character follows, and
 the parts encoded on their own. Most parts repeat, and a repeated one costs a
-dictionary look-up. The memory has a fixed size; forgetting only costs time.
+dictionary look-up. The memory has a fixed size: it keeps the parts that come first, among which are
+the common ones, and starts anew when it has missed very many. Forgetting only costs time.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from functools import lru_cache
 
-#: Parts kept in each of the two generations of the memory.
-REMEMBERED = 300_000
-REMEMBERED_LIBRARY = 300_000
+#: Parts kept in the memory.
+REMEMBERED = 600_000
+REMEMBERED_LIBRARY = 600_000
+#: A full memory starts anew after so many times its size of parts that it doesn't hold.
+STALE = 4
 _SAFE = re.compile(r" (?=\S)")
 _LINE = re.compile(r"(?<=\S)(?=\n)")
 _TAIL = re.compile(r"(.*[A-Za-z])([!-/:-@\[-^`{-~]+)", re.S)
@@ -38,20 +42,21 @@ class Words(dict):
         self.keep_whole = tuple(keep_whole)
         self.fold = fold
         self.remembered = remembered
-        self.before: dict[str, bytes] = {}
+        self.missed = 0
         self.starts: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
         if not part or part[0].isspace():
             raise _Unsafe
-        found = self.before.get(part)
-        if found is None:
-            found = self._ids(part)
-        if len(self) >= self.remembered:
-            self.before = dict(self)
-            self.clear()
-            self.starts.clear()
-        self[part] = found
+        found = self._ids(part)
+        if len(self) < self.remembered:
+            self[part] = found
+        else:
+            self.missed += 1
+            if self.missed > STALE * self.remembered:
+                self.clear()
+                self.starts.clear()
+                self.missed = 0
         return found
 
     def _ids(self, part: str) -> bytes:
@@ -75,7 +80,9 @@ class Words(dict):
         """Ids of a text that no space comes before."""
         found = self.starts.get(text)
         if found is None:
-            found = self.starts[text] = self.encode(text)
+            found = self.encode(text)
+            if len(self.starts) < self.remembered // 8:
+                self.starts[text] = found
         return found
 
     def text(self, text: str | None) -> bytes:
@@ -109,16 +116,24 @@ def library_words(path: str, code: str) -> Words:
     added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
     plain, spelled, before = _plain_words(tokenizer)
     merge = tokenizer.model.tokenize
+    as_is = all(chr(c) == s for c, s in spelled.items() if c < 128)  # ASCII letters stand for themselves
 
     def encode(text: str) -> bytes:
         if plain is not None and text[0] == " " and plain(text, 1):
-            tokens = merge(before + text[1:].translate(spelled))
-            return array(code, [t.id for t in tokens]).tobytes()
+            word = text[1:] if as_is and text.isascii() else text[1:].translate(spelled)
+            return array(code, [t.id for t in merge(before + word)]).tobytes()
         return array(code, tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     return Words(encode, added, fold, REMEMBERED_LIBRARY)
 
 
+def forget() -> None:
+    """Drop the memories of this process: for tasks that encode nothing, in workers that have done so before."""
+    if library_words.cache_info().currsize:
+        library_words.cache_clear()
+        gc.collect()
+
+
 def _plain_words(tokenizer):
     """What words go straight to the model of a byte-level tokenizer: a test for them, how
     their letters are spelled for the model, and what stands for the space before.
