@@ -30,13 +30,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Rows sent to a Python worker at once: few, as texts may be long.
-ARROW_ROWS = "1000"
+#: Rows and bytes sent to a Python worker at once: few, as texts may be long.
+ARROW_ROWS, ARROW_BYTES = "1000", "4m"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
     """The session, with this package on its executors and small batches for their workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return configure(spark)
 
 

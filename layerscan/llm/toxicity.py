@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from layerscan.llm.tokens import forget
 from layerscan.session import shared_folder
 
 SIZES = (4, 5, 6)
@@ -70,7 +71,8 @@ def features(text: str, weights: np.ndarray | None = None) -> np.ndarray:
                 mixed = (rolled ^ (rolled >> np.uint32(15)) ^ np.uint32(n)) * np.uint32(0x9E3779B1)
                 bucket = mixed >> np.uint32(32 - BITS)
                 found.append(bucket if weights is None else bucket[weights[bucket] != 0])
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint32)
+        found = [np.unique(np.concatenate(found))] if found else []  # of all blocks so far
+    return found[0] if found else np.empty(0, np.uint32)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -103,6 +105,7 @@ def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> DataFram
 
     @F.pandas_udf("array<int>")
     def of(texts: pd.Series) -> pd.Series:
+        forget()
         return pd.Series([features(t).astype(np.int32) for t in texts])
 
     return (
@@ -216,6 +219,7 @@ def score(documents: DataFrame, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
+        forget()
         return pd.Series([shared.value.score(t) for t in texts], dtype=float)
 
     return of(documents["text"])
