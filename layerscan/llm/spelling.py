@@ -45,7 +45,7 @@ FORM_FACTOR = 10
 #: Bits of filter for each word; words of 64 bits in a block; blocks built by one task.
 BITS_PER_WORD = 24
 LANES = 8
-SLICE_BLOCKS = 1 << 14
+SLICE_BLOCKS = 1 << 11
 #: Bytes of filters sent at once.
 ROUND_BYTES = 32 << 20
 #: Different words that a task counts before it hands them on.
