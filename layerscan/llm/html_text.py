@@ -7,10 +7,11 @@ a length, so that one long block doesn't belittle the rest. Ratios are smoothed
 blocks, so that a heading beside paragraphs gains.
 
 What a page declares about its parts are factors of the ratios (``ARTICLE`` and below): the kind
-of part whose best path has the highest product is the content, with what is declared higher. An
-article that is the content is taken whole; elsewhere paths over a share of the best ratio are
-taken, and blocks that lie between taken ones of one container. Menus, footers and the like by tag
-or role, and what is hidden, are never taken.
+of part whose best path has the highest product is the content, with what is declared higher. Paths
+over a share of the best ratio are taken, a smaller one in an article that is the content, and blocks
+that lie between taken ones of one container. Paths that are mostly links get nothing from their neighbours
+and reach the larger share anywhere, so boxes of links go from an article too. Menus, footers and the
+like by tag or role, and what is hidden, are never taken.
 
 A word of a class or id is a hint only. ``STRONG_WORDS`` lower the factor, the others ask for half
 of the best ratio; either asks for some text, unless a page has nothing else. An article inside a
@@ -75,8 +76,9 @@ CLOSES = {
 
 #: Factors of the ratio by what a part is declared as.
 ARTICLE, WRAPPED_ARTICLE, PLAIN, STRONG = 8.0, 4.0, 1.0, 1 / 8
-#: Shares of the best ratio that content reaches, and that a part with a weak word does.
+#: Shares of the best ratio that content reaches, that it does in an article, and a part with a weak word.
 LEAST_SHARE = 0.05
+ARTICLE_SHARE = 0.002
 WEAK_SHARE = 0.5
 #: Characters outside links that a marked part has at least.
 LEAST_MARKED = 200
@@ -282,14 +284,17 @@ class _Page:
         return self.open[-1][2]
 
 
-def _ratios(blocks: list[_Block]) -> list[float]:
-    """The ratio of the path of every block, among blocks of the same kind of part."""
+def _ratios(blocks: list[_Block]) -> tuple[list[float], list[bool]]:
+    """The ratio of the path of every block, among blocks of the same kind of part, and whether most of its
+    path's text is linked."""
     kind = [(b.path, b.part.factor, b.part.weak) for b in blocks]
     chars: dict[tuple, float] = {}
+    linked: dict[tuple, int] = {}
     marks: dict[tuple, int] = {}
     nodes: dict[tuple, int] = {}
     for key, b in zip(kind, blocks, strict=True):
         chars[key] = chars.get(key, 0) + len(b.text) - (1 - LINKED) * b.linked
+        linked[key] = linked.get(key, 0) + 2 * b.linked - len(b.text)
         marks[key] = marks.get(key, 0) + len(_PUNCTUATION.findall(b.text))
         nodes[key] = nodes.get(key, 0) + 1
     ratio = {
@@ -308,7 +313,8 @@ def _ratios(blocks: list[_Block]) -> list[float]:
                 near[side] = ratio[kind[other]]
         found = left * near[0] + middle * ratio[key] + right * near[1]
         smooth[key] = smooth.get(key, 0.0) + found / nodes[key]
-    return [ratio[k] if b.part.marked else smooth[k] for k, b in zip(kind, blocks, strict=True)]
+    plain = [b.part.marked or linked[k] > 0 for k, b in zip(kind, blocks, strict=True)]
+    return [ratio[k] if p else smooth[k] for k, p in zip(kind, plain, strict=True)], [linked[k] > 0 for k in kind]
 
 
 def extract(source: str | None) -> str:
@@ -316,7 +322,7 @@ def extract(source: str | None) -> str:
     if not source:
         return ""
     blocks = _Page(source).blocks
-    ratios = _ratios(blocks)
+    ratios, links = _ratios(blocks)
     size: dict[int, int] = {}
     for b in blocks:
         size[b.part.marked] = size.get(b.part.marked, 0) + len(b.text) - b.linked
@@ -335,21 +341,21 @@ def extract(source: str | None) -> str:
         return ""
     content = max(best, key=lambda factor: (factor * best[factor], factor))
 
-    def taken(b: _Block, ratio: float) -> bool:
+    def taken(b: _Block, ratio: float, link: bool) -> bool:
         if not may(b) or b.part.factor < content:
             return False
         if b.part.weak and clear:
             return ratio >= WEAK_SHARE * best[content]
-        whole = b.part.factor == content > PLAIN
-        return whole or ratio >= LEAST_SHARE * best[content]
+        inside = b.part.factor == content > PLAIN and not link
+        return ratio >= (ARTICLE_SHARE if inside else LEAST_SHARE) * best[content]
 
-    take = [taken(b, ratio) for b, ratio in zip(blocks, ratios, strict=True)]
+    take = [taken(*of_block) for of_block in zip(blocks, ratios, links, strict=True)]
     # Blocks between taken ones of one container.
     last = None
     for n in [n for n, t in enumerate(take) if t]:
         if last is not None and blocks[last].parent == blocks[n].parent:
             for m in range(last + 1, n):
-                take[m] = blocks[m].part.factor >= content and not blocks[m].part.marked
+                take[m] = blocks[m].part.factor >= content and not blocks[m].part.marked and not links[m]
         last = n
     return " ".join(b.text for b, t in zip(blocks, take, strict=True) if t)
 

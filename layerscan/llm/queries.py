@@ -130,7 +130,7 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return html_text.extract_pages(pages).withColumn("n_chars", F.char_length("text"))
+    return html_text.extract_pages(pages).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

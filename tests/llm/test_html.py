@@ -110,3 +110,31 @@ WHOLE = [
 @pytest.mark.parametrize("source, text", WHOLE)
 def test_whole_main_text(source, text):
     assert html_text.extract(source) == text
+
+
+PROSE = "<p>" + "A long sentence, with a comma and a stop; then some more words follow here. " * 4 + "</p>"
+LINKS = "<div><a href=a>Related story one</a></div><div><a href=b>Another story, two</a></div>"
+
+
+def test_boxes_of_links_go_from_an_article_and_short_paragraphs_stay(monkeypatch):
+    page = f"<body><article><h1>Head</h1>{PROSE}<p>Short.</p>{LINKS}{PROSE}<ul><li>item</li></ul><p><a href=c>linked</a></p></article></body>"
+    text = html_text.extract(page)
+    assert "story" not in text
+    assert text.startswith("Head A long") and " Short. A long" in text and text.endswith("item linked")
+    # It is the ratios that tell: with the same one for all paths the boxes stay.
+    monkeypatch.setattr(html_text, "_ratios", lambda blocks: ([1.0] * len(blocks), [False] * len(blocks)))
+    assert "Related story one" in html_text.extract(page)
+
+
+def test_an_article_around_teasers_does_not_win_over_prose_beside_it(monkeypatch):
+    cards = "".join(f"<article><h2><a href=x{i}>Teaser card number {i}</a></h2></article>" for i in range(5))
+    page = f"<body>{cards}<div>{PROSE * 3}</div></body>"
+    assert "Teaser" not in html_text.extract(page) and html_text.extract(page).startswith("A long sentence")
+
+
+def test_query_types(spark):
+    from layerscan.llm import queries
+
+    found = queries.op9_html(spark, "/root/testdata/sf0.001")
+    assert dict(found.dtypes) == {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"}
+    assert found.filter("n_chars <> char_length(text)").count() == 0 < found.count()
