@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from layerscan.functions.paths import (
@@ -55,11 +55,13 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     written = shared_folder(spark, "listing")
     level, number = spark.createDataFrame([(root,)], "path string"), 0
     while True:
-        level.mapInArrow(_list_folders, _ENTRIES).write.parquet(f"{written}/level={number}")
-        found = spark.read.schema(_ENTRIES).parquet(f"{written}/level={number}").where("folder")
-        folders = found.count()
+        seen = Observation()
+        listed = level.mapInArrow(_list_folders, _ENTRIES).observe(seen, F.count_if("folder").alias("folders"))
+        listed.write.parquet(f"{written}/level={number}")
+        folders = seen.get["folders"]
         if not folders:
             break
+        found = spark.read.schema(_ENTRIES).parquet(f"{written}/level={number}").where("folder")
         tasks = max(spark.sparkContext.defaultParallelism, -(-folders // FOLDERS_PER_TASK))
         level, number = found.select("path").repartition(min(tasks, folders)), number + 1
     entries = spark.read.schema(_ENTRIES).option("basePath", written).parquet(f"{written}/level=*")

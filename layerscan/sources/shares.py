@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow.dataset as pads
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import InputPartition
 
@@ -61,8 +61,6 @@ def write_plan(pieces: DataFrame, bytes_per_share: int = BYTES_PER_SHARE) -> Pla
     before = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     local = F.floor(F.coalesce(F.sum(cost).over(before), F.lit(0)) / bytes_per_share)
     packed = spark.read.schema(numbered.schema).parquet(f"{folder}/pieces").withColumn("_local", local)
-    packed.write.parquet(f"{folder}/packed")
-    packed = spark.read.schema(packed.schema).parquet(f"{folder}/packed")
     # A long piece passes over numbers; those in use follow each other without gaps.
     used = packed.select("_part", "_local").distinct()
     in_part = F.row_number().over(Window.partitionBy("_part").orderBy("_local")) - 1
@@ -72,10 +70,13 @@ def write_plan(pieces: DataFrame, bytes_per_share: int = BYTES_PER_SHARE) -> Pla
     parts = parts.withColumn("_first", F.coalesce(F.sum("_shares").over(earlier), F.lit(0)))
     numbers = used.join(parts, "_part").select("_part", "_local", (F.col("_first") + F.col("_in_part")).alias("share"))
     placed = packed.join(numbers, ["_part", "_local"]).drop("_part", "_local", "_at")
-    grouped = placed.withColumn("group", F.floor(F.col("share") / SHARES_PER_GROUP))
+    seen = Observation()
+    grouped = placed.withColumn("group", F.floor(F.col("share") / SHARES_PER_GROUP)).observe(
+        seen, F.max("share").alias("last")
+    )
     grouped.repartition("group").write.partitionBy("group").parquet(f"{folder}/shares")
-    total = parts.agg(F.sum("_shares")).first()[0] or 0
-    return Plan(f"{folder}/shares", total)
+    last = seen.get["last"]
+    return Plan(f"{folder}/shares", 0 if last is None else last + 1)
 
 
 def share_rows(plan: Plan, number: int) -> list[dict]:
