@@ -450,9 +450,9 @@ ORACLES = {
         FROM events WHERE event_id % 4 <> 1 OR value > 50 GROUP BY event_type
     """,
     "scan_progress": """
-        SELECT batch, n // 8 AS rows, (batch + 1) * (n // 8) AS loaded, n AS total,
-               CAST(floor(100.0 * ((batch + 1) * (n // 8)) / n) AS BIGINT) AS percent
-        FROM range(8) b(batch), (SELECT count(*) AS n FROM events)
+        SELECT batch, n // 4 AS rows, (batch + 1) * (n // 4) AS loaded, n AS total,
+               CAST(floor(100.0 * ((batch + 1) * (n // 4)) / n) AS BIGINT) AS percent
+        FROM range(4) b(batch), (SELECT count(*) AS n FROM events)
     """,
     "search_indexed": "SELECT * FROM documents WHERE contains(lower(text), 'the ') OR contains(lower(lang), 'the ')",
     "stream_profile": box("events", "events", "value", "user_id"),

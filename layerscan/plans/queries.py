@@ -511,6 +511,11 @@ def layer_geometry_types(spark, sf_dir):
 # --- file sources over files that Spark writes from a table -----------------------
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows of a table, which may be one file, dealt to all tasks that write."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _event_shapes(spark: SparkSession, sf_dir: str) -> str:
     configure(spark)
     folder = shared_folder(spark, "shapefiles")
@@ -519,7 +524,7 @@ def _event_shapes(spark: SparkSession, sf_dir: str) -> str:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.to_date("ts").alias("day"),
         F.col("value").alias("x"), F.when(F.col("event_id") % 10 > 0, F.col("user_id").cast("double")).alias("y"),
     )
-    write_shapefiles(points, folder, "event_id").agg(F.sum("rows")).collect()
+    write_shapefiles(_spread(points, "event_id"), folder, "event_id").agg(F.sum("rows")).collect()
     return folder
 
 
@@ -545,7 +550,7 @@ def _part_polygons(spark: SparkSession, sf_dir: str) -> str:
         F.col("p_partkey").alias("partkey"), F.col("p_name").alias("name"),
         rings.otherwise(F.array(F.expr(ring.format(shift=0)))).alias("rings"),
     )
-    write_shapefiles(parts, folder, "partkey", "polygon", "parts").agg(F.sum("rows")).collect()
+    write_shapefiles(_spread(parts, "partkey"), folder, "partkey", "polygon", "parts").agg(F.sum("rows")).collect()
     return folder
 
 
@@ -652,7 +657,7 @@ def raster_band_statistics_nodata(spark, sf_dir):
         F.monotonically_increasing_id().alias("row"),
         F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax", F.col("l_tax") * 0).alias("cell"),
     )
-    write_array_rasters(grid, folder, "row", "cell", "0", "<f8", None).agg(F.sum("rows")).collect()
+    write_array_rasters(_spread(grid, "row"), folder, "row", "cell", "0", "<f8", None).agg(F.sum("rows")).collect()
     plan = tiff.raster_plan(spark, folder, bytes_per_share=1 << 16, segment_bytes=1 << 14)
     return _rounded_stats(tiff.raster_band_stats(spark, folder, ["band"], plan))
 
@@ -671,7 +676,7 @@ def _file_tree(spark: SparkSession, sf_dir: str) -> str:
     configure(spark)
     folder = shared_folder(spark, "tree")
     files = table(spark, sf_dir, "customer").select(F.expr(TREE_FILES).alias("path"), F.expr(TREE_BYTES).alias("length"))
-    write_plain_files(files, folder).agg(F.sum("rows")).collect()
+    write_plain_files(_spread(files, "path"), folder).agg(F.sum("rows")).collect()
     return folder
 
 
@@ -725,11 +730,11 @@ def refreshed_profile(spark, sf_dir):
 
 
 def scan_progress(spark, sf_dir):
-    """Rows read so far after each of eight micro-batches."""
+    """Rows read so far after each of four micro-batches."""
     configure(spark)
     base = shared_folder(spark, "progress")
     events = table(spark, sf_dir, "events")
-    parts = events.withColumn("part", F.col("event_id") % 8).repartition(8, "part")
+    parts = events.withColumn("part", F.col("event_id") % 4).repartition(4, "part")
     parts.write.partitionBy("part").parquet(f"{base}/files")
     stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True)
     rows = stream.option("maxFilesPerTrigger", 1).parquet(f"{base}/files")

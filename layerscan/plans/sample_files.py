@@ -64,7 +64,7 @@ def point_bytes(x: float | None, y: float | None) -> bytes:
 
 def polygon_bytes(rings: list[list[tuple[float, float]]]) -> tuple[bytes, tuple[float, float, float, float]]:
     """A polygon's record and its box."""
-    points = np.array([p for ring in rings for p in ring], "<f8")
+    points = np.concatenate([np.array(ring, "<f8") for ring in rings])
     box = (*points.min(0).tolist(), *points.max(0).tolist())
     starts = np.cumsum([0, *map(len, rings)])[:-1].astype("<i4")
     head = struct.pack("<i4d2i", 5, *box, len(rings), len(points))

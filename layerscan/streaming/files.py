@@ -9,7 +9,7 @@ a refresh that fails can be run again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -57,7 +57,8 @@ def refresh(
     changed = files.join(before, same, "left_anti")
     footers = shared_folder(spark, "footers")
     tasks = spark.sparkContext.defaultParallelism
-    footers_of(changed.repartition(tasks, "path"), axes).write.parquet(footers)
+    read, stay = Observation(), Observation()
+    footers_of(changed.repartition(tasks, "path"), axes).observe(read, F.count(F.lit(1)).alias("n")).write.parquet(footers)
     written = spark.read.schema(FOOTER_SCHEMA).parquet(footers)
     boxes = extents_of(written, axes, by=("path",)).select("path", *[F.col("extent")[edge].alias(edge) for edge in BOX])
     parts = (
@@ -67,9 +68,10 @@ def refresh(
     )
     columns = [field.split()[0] for field in STATE.split(", ")]
     number = versions[-1] + 1 if versions else 0
-    state = kept.select(columns).unionByName(parts.select(columns))
+    kept = kept.select(columns).observe(stay, F.count(F.lit(1)).alias("n"))
+    state = kept.unionByName(parts.select(columns))
     state.write.mode("overwrite").parquet(f"{table}/version={number}")
-    counts = {"read": written.count(), "kept": kept.count()}
+    counts = {"read": read.get["n"], "kept": stay.get["n"]}
     return {**counts, "dropped": before.count() - counts["kept"]}
 
 
