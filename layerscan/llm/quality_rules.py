@@ -3,10 +3,16 @@
 Word rules look at one row and never move it. For the cross-document rule, lines are
 normalised and hashed, and the distinct documents of a host that hold a line are counted.
 Documents with the same text count once, so a text isn't held against its own copies. Lines
-in more documents than the limit are removed, except in the first document of the host that
-has them, so that of a group of near copies one stays whole. ``verdicts`` and ``keep`` give texts
-without these lines. A document that has too little left is rejected; the word rules look at its
-whole text.
+in more than a share of the host's distinct texts, and in more than a few, are removed, except in
+the first document of the host that has them, so that of a group of near copies one stays whole.
+As the limit is a share, it means the same in a host of any size. ``verdicts`` and ``keep`` give
+texts without these lines. A document that has too little left is rejected; the word rules look at
+its whole text.
+
+Very long texts are cut into lines whole. Of several rows with the least ``doc_id`` among a line's
+carriers, the one with the least text hash is the first; a null ``doc_id`` comes before all others.
+An empty table gives no rows. Only ``doc_id``, ``text`` and the host are read, so other columns may
+have any names but those that start with two underscores.
 """
 
 from __future__ import annotations
@@ -23,14 +29,17 @@ LEAST_WORDS = 20
 WINDOW = 8
 REPEATED_SHARE = 30
 
-#: Documents of a host that may hold a line.
-MOST_DOCUMENTS = 100
+#: Share of a host's distinct texts that may hold a line, and the texts that always may.
+MOST_SHARE = 0.05
+FEW_DOCUMENTS = 10
 #: Share of its text that a document must keep.
 LEAST_LEFT = 0.3
 #: Pieces that the rows of one line are dealt to.
 SALTS = 32
 #: The same, of one text.
 COPY_SALTS = 8
+#: Rows of a few numbers each that are sent to every executor, at most (some 10 MB).
+FEW_ROWS = 100_000
 #: Lists that the removed lines of a text are dealt to, so that looking one up stays short.
 BUCKETS = 64
 
@@ -125,12 +134,13 @@ def base_failed() -> Column:
 def depleted(
     documents: DataFrame,
     host: str = "source",
-    most_documents: int = MOST_DOCUMENTS,
+    most_share: float = MOST_SHARE,
+    few_documents: int = FEW_DOCUMENTS,
     least_left: float = LEAST_LEFT,
 ) -> DataFrame:
     """Texts of which the removal of frequent lines leaves too little: ``host`` and
     ``text_hash``, as ``keys`` makes them, and ``removed_share``."""
-    found = removals(documents, host, most_documents).drop("gone")
+    found = removals(documents, host, most_share, few_documents).drop("gone")
     return found.filter(_too_little_left(least_left))
 
 
@@ -142,8 +152,30 @@ def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
+def _written(rows: DataFrame, purpose: str) -> DataFrame:
+    folder = shared_folder(rows.sparkSession, purpose)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
+def _meet(rows: DataFrame, few: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """Inner join with a written table of a few numbers a row.
+
+    Its rows are counted: few are sent to every executor as they are. More are shuffled, with
+    ``rows`` of one key dealt out by ``spread``; the copies made for that are never sent to all.
+    """
+    if few.count() <= FEW_ROWS:
+        return rows.join(F.broadcast(few), on)
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies.hint("merge"), [*on, "__salt"]).drop("__salt")
+
+
 def removals(
-    documents: DataFrame, host: str = "source", most_documents: int = MOST_DOCUMENTS
+    documents: DataFrame,
+    host: str = "source",
+    most_share: float = MOST_SHARE,
+    few_documents: int = FEW_DOCUMENTS,
 ) -> DataFrame:
     """Texts that lose frequent lines: ``host`` and ``text_hash``, as ``keys`` makes them, ``gone``
     with the hashes of those lines, and ``removed_share``.
@@ -157,43 +189,40 @@ def removals(
         F.array_remove(lines, ""),
         lambda x: F.struct(F.xxhash64(x).alias("line"), F.char_length(x).alias("size")),
     )
-    spark = documents.sparkSession
-    folder = shared_folder(spark, "lines")
     # One row for each line and text: copies of a text meet here, before lines are counted.
-    (
+    carriers = _written(
         documents.select(*keys(host), "doc_id", F.inline(lines))
         .groupBy("host", "line", "text_hash")
         .agg(
             F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first"),
             F.sum("size").alias("size"),
-        )
-        .write.parquet(folder)
+        ),
+        "lines",
+    )
+    # All copies of a text are summed up here and below.
+    texts = _written(
+        carriers.groupBy("host", "text_hash").agg(F.sum("size").alias("size")), "line_texts"
     )
-    carriers = spark.read.parquet(folder)
-    frequent_folder = shared_folder(spark, "frequent_lines")
-    (
+    hosts = _written(texts.groupBy("host").agg(F.count("*").alias("texts")), "line_hosts")
+    repeated = (
         carriers.groupBy("host", "line")
         .agg(F.count("*").alias("documents"), F.min(F.struct("first", "text_hash")).alias("keeper"))
-        .filter(F.col("documents") > most_documents)
-        .select("host", "line", "keeper")
-        .write.parquet(frequent_folder)
+        .filter(F.col("documents") > few_documents)
+    )
+    frequent = _written(
+        _meet(repeated, hosts, ["host"], "line")
+        .filter(F.col("documents") > F.col("texts") * F.lit(float(most_share)))
+        .select("host", "line", "keeper"),
+        "frequent_lines",
     )
-    # Where these are few, as their size on disk tells, the lines that meet them aren't shuffled.
-    frequent = spark.read.parquet(frequent_folder)
-    # A frequent line has more than most_documents carriers, so its copies below are fewer
-    # rows than the lines they meet; they spread a line that very many documents hold.
-    frequent = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     removed = (
-        carriers.withColumn("salt", F.pmod(F.xxhash64("text_hash"), F.lit(SALTS)).cast("int"))
-        .join(frequent, ["host", "line", "salt"])
+        _meet(carriers, frequent, ["host", "line"], "text_hash")
         .filter(F.struct("first", "text_hash") > F.col("keeper"))
         .groupBy("host", "text_hash")
         .agg(F.sum("size").alias("removed"), F.collect_list("line").alias("gone"))
     )
-    # All copies of a text are summed up above and below.
-    whole = carriers.groupBy("host", "text_hash").agg(F.sum("size").alias("size"))
     return (
-        removed.join(whole, ["host", "text_hash"])
+        removed.join(texts, ["host", "text_hash"])
         .withColumn("removed_share", F.col("removed") / F.col("size"))
         .select("host", "text_hash", "gone", "removed_share")
     )

@@ -15,7 +15,7 @@ def test_stages_and_run(spark):
     model = toxicity.fit(documents, spark.read.parquet(f"{SF}/labels.parquet"))
     scored = toxicity.scores(documents, model).select("doc_id", "text", "source", "predicted")
     clean = [tuple(r)[:3] for r in scored.collect() if not r["predicted"]]
-    kept = brute_kept(clean, 100, 0.3)
+    kept = brute_kept(clean)
     good = [(d, t) for d, t, _ in clean if kept[d]]
     classes = brute_classes(good, near_dedup.SIMILARITY)
     left = {d for d, _ in good if d in set(classes.values())}

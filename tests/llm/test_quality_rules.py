@@ -34,7 +34,7 @@ def normal(line):
     return re.sub(r"[\W_]+", " ", line.lower()).strip()
 
 
-def brute_kept(rows, most, left):
+def brute_kept(rows, share=0.05, few=10, left=0.3):
     """Verdicts by the rule as it is told in words."""
     carriers = defaultdict(set)
     first = {}
@@ -43,6 +43,7 @@ def brute_kept(rows, most, left):
         for line in (text or "").split("\n"):
             if normal(line):
                 carriers[host, normal(line)].add(text)
+    texts = Counter(h for h, t in {(h, t) for (h, _), own in carriers.items() for t in own})
     kept = {}
     for doc_id, text, host in rows:
         words, *_, repeated = brute(text)
@@ -50,7 +51,7 @@ def brute_kept(rows, most, left):
         for line in (text or "").split("\n"):
             own = carriers[host, normal(line)] if normal(line) else ()
             size += len(normal(line))
-            if len(own) > most and first[host, text] != min(first[host, t] for t in own):
+            if len(own) > max(few, share * texts[host]) and first[host, text] != min(first[host, t] for t in own):
                 gone += len(normal(line))
         base = words >= 20 and 100 * repeated <= 30 * words
         kept[doc_id] = base and gone <= (1 - left) * size
@@ -67,11 +68,12 @@ def test_frequent_lines(spark):
         rows.append((100 + n, "\n".join([*shared[: n % 4], own]), host))
     rows += [(200 + n, rows[1][1], rows[1][2]) for n in range(40)]  # copies count once
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for most, left in ((5, 0.3), (5, 0.7), (25, 0.3)):
-        gone = quality_rules.depleted(frame, most_documents=most, least_left=left)
+    for share, few, left in ((0.0, 5, 0.3), (0.0, 5, 0.7), (0.0, 25, 0.3), (0.6, 2, 0.7)):
+        gone = quality_rules.depleted(frame, "source", share, few, left)
         base = frame.select("doc_id", *quality_rules.keys("source"))
         lost = {r[0] for r in base.join(gone, ["host", "text_hash"]).select("doc_id").collect()}
-        kept = brute_kept(rows, most, left)
+        kept = brute_kept(rows, share, few, left)
+        assert 0 < sum(kept.values())
         assert lost == {d for d, k in kept.items() if not k}
 
 
@@ -83,7 +85,7 @@ def test_odd_documents(spark):
         assert r["kept"] == (not r["base_failed"])
     kept = quality_rules.keep(documents)
     assert kept.columns == documents.columns
-    texts = Counter(r[1] for r in samples.odd_rows() if brute_kept([(0, r[1], "")], 9, 0)[0])
+    texts = Counter(r[1] for r in samples.odd_rows() if brute_kept([(0, r[1], "")])[0])
     assert Counter(r["text"] for r in kept.collect()) == texts
     assert quality_rules.verdicts(samples.no_documents(spark)).count() == 0
     assert quality_rules.keep(samples.no_documents(spark)).count() == 0
@@ -111,3 +113,51 @@ def test_frequent_lines_leave_the_text(spark):
     assert {0, 201, 300} <= passing
     kept = quality_rules.keep(frame).collect()
     assert {r["doc_id"]: r["text"] for r in kept} == {d: less[d] for d in passing}
+
+
+def test_limit_is_a_share_of_the_host(spark):
+    # The same share of texts holds the line in a small host and in a large one; half of it does not.
+    line, rows = samples.prose(1, 60), []
+    for host, count in (("small", 220), ("large", 660)):
+        for often, sort in ((15, "above"), (30, "below")):
+            for n in range(count):
+                own = samples.prose(1000 + len(rows), 20)
+                text = f"{line}\n{own}" if n % often == 0 else own
+                rows.append((len(rows), text, f"{host} {sort}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["kept"] for r in quality_rules.verdicts(frame).collect()}
+    assert found == brute_kept(rows)
+    hosts = Counter(host for d, _, host in rows if not found[d])
+    assert hosts == {"small above": 220 // 15, "large above": 660 // 15 - 1}
+
+
+def test_many_frequent_lines_are_not_sent_to_all(spark, monkeypatch):
+    line = samples.prose(1, 20)
+    rows = [(n, f"{samples.prose(10 + n, 30)}\n{line}", "a") for n in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = quality_rules.removals(frame).select("text_hash", "removed_share").collect()
+    monkeypatch.setattr(quality_rules, "FEW_ROWS", 0)
+    many = quality_rules.removals(frame)
+    assert "merge" in many._jdf.queryExecution().analyzed().toString()
+    assert sorted(many.select("text_hash", "removed_share").collect()) == sorted(few) != []
+
+
+def test_query_on_the_given_table(spark):
+    """Types of its contract, and lines that do leave texts."""
+    from layerscan.llm import queries
+
+    sf_dir = "/root/testdata/sf0.01"
+    found = queries.op7_quality_rules(spark, sf_dir)
+    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    types = dict(found.dtypes)
+    assert [types[n] for n in measures] == ["bigint"] * 5
+    assert types["base_failed"] == types["kept"] == "boolean"
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [tuple(r) for r in documents.select("doc_id", "text", "source").collect()]
+    kept, texts = brute_kept(rows), {d: t for d, t, _ in rows}
+    got = found.collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == kept and len(got) == len(rows)
+    assert {r["doc_id"]: tuple(r[n] for n in measures) for r in got} == {
+        d: brute(t) for d, t in texts.items()
+    }
+    assert any(r["text"] != texts[r["doc_id"]] for r in got)
