@@ -12,7 +12,12 @@ more data neighbours are nearer, so the radius finds no fewer of them. Where a b
 fewer than k codes within it, the radius grows there until k are found.
 
 Rows are dealt into blocks, queries too, and every pair of blocks is searched on its own:
-bounded memory, and only k rows for each query and block are passed on.
+bounded memory, and only k rows for each query and block are passed on. Vectors of each size are
+a space of their own, with codes learned from it; they travel as a row to the blocks of that size.
+
+Every row is a candidate and may be a query, rows with one id too: a query leaves out one row, its
+own. Rows equal in id and vector are counted once and given back as often as there are. Very long
+vectors make smaller blocks. An empty table has no neighbours; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -21,10 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors that rotations and radius are learned from, at most; of them, queries tried.
+from layerscan.session import shared_folder
+
+#: Vectors of a size that its rotations and radius are learned from, at most; of them, queries tried.
 SAMPLE = 4096
 TRIED = 512
 #: Rotations (each gives as many bits as there are dimensions), and bits of a substring.
@@ -32,8 +39,10 @@ ROTATIONS = 4
 SUBSTRING = 16
 #: Share of the sample's true neighbours that lie within the radius.
 WITHIN = 0.98
+#: Rows and queries of a block at most, and components of its vectors.
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 4096
+BLOCK_VALUES = 1 << 22
 
 _BITS_SET = np.array([bin(n).count("1") for n in range(1 << SUBSTRING)], np.uint8)
 
@@ -81,8 +90,8 @@ def learn(sample: np.ndarray, k: int) -> Codes:
 class Index:
     """One block of rows: for each substring, its values in order and the rows that have them."""
 
-    def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray):
-        self.codes, self.ids, self.vectors = codes, ids, vectors
+    def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray):
+        self.codes, self.ids, self.vectors, self.copies = codes, ids, vectors, copies
         self.bits = codes.of(vectors)
         self.tables = []
         for column in self.bits.T:
@@ -105,42 +114,81 @@ class Index:
     def nearest(self, query_id: int, query: np.ndarray, code: np.ndarray, k: int):
         """Ids and distances of the k nearest found, nearest first, ties to the smaller id."""
         radius = self.codes.radius
-        others = len(self.ids) - (self.ids == query_id).sum()
+        same = np.flatnonzero(self.ids == query_id)
+        own = same[(self.vectors[same] == query).all(axis=1)]
+        left = self.copies
+        if len(own):
+            left = left.copy()
+            left[own] -= 1
+        wanted = min(k, left.sum())
         while True:
             rows = self.within(code, radius)
-            rows = rows[self.ids[rows] != query_id]
-            if len(rows) >= min(k, others):
+            rows = rows[left[rows] > 0]
+            if left[rows].sum() >= wanted:
                 break
             radius += SUBSTRING
         apart = np.sqrt(((self.vectors[rows] - query) ** 2).sum(axis=1))
         best = np.lexsort((self.ids[rows], apart))[:k]
-        return self.ids[rows[best]], apart[best]
+        many = np.minimum(left[rows[best]], k)
+        return np.repeat(self.ids[rows[best]], many)[:k], np.repeat(apart[best], many)[:k]
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id`` and ``vector`` (doubles) of the rows that take part, one for each id.
+    """``id``, ``vector`` (doubles) and ``copies`` of the rows that take part, written once.
 
-    Left out: null ids; vectors that are null, zero, or hold null or non-finite components; and
-    vectors of another size than most have. Of rows with one id the least vector counts.
+    Left out: null ids; vectors that are null, empty, zero, or hold null or non-finite components.
+    Rows equal in id and vector are one, with their number in ``copies``.
     """
     fine = F.forall(
         vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     ) & F.exists(vector, lambda x: x != 0)
     rows = rows.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).filter(fine)
-    rows = rows.select(
-        F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")
-    )
-    common = (
-        rows.groupBy(F.size("vector").alias("size"))
-        .count()
-        .orderBy(F.desc("count"), "size")
-        .first()
+    folder = shared_folder(rows.sparkSession, "vectors")
+    (
+        rows.select(
+            F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")
+        )
+        .groupBy("id", "vector")
+        .agg(F.count("*").alias("copies"))
+        .write.parquet(folder)
     )
-    if common is None:
-        return rows
-    return rows.filter(F.size("vector") == common["size"]).groupBy("id").agg(
-        F.min("vector").alias("vector")
-    )
+    return rows.sparkSession.read.parquet(folder)
+
+
+def _sizes(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """``size`` of vectors, their number, and of how many blocks they are."""
+    each = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_VALUES) / F.col("size"))))
+    counted = rows.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias(f"n_{name}"))
+    return counted.withColumn(name, F.ceil(F.col(f"n_{name}") / each))
+
+
+def _mark(*seed: str) -> Column:
+    return F.xxhash64(*(F.lit(x) for x in seed), "id", "vector")
+
+
+_MODEL = "size int, radius int, mean binary, rotation binary"
+
+
+def _learned(rows: DataFrame, k: int) -> DataFrame:
+    """Codes of each size as a row, learned from the ``SAMPLE`` rows of least hash.
+
+    Hashes below a share that about twice as many rows reach are all that is shuffled for it.
+    """
+    share = F.pmod(_mark(), F.lit(1 << 40)) / float(1 << 40)
+    some = rows.withColumn("mark", _mark()).filter(share * F.col("n_blocks") < 2 * SAMPLE)
+
+    def fit(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values(["mark", "id"]).head(SAMPLE)
+        codes = learn(np.stack(sample["vector"]), k)
+        model = (sample["size"].iloc[0], codes.radius, codes.mean.tobytes(), codes.rotation.tobytes())
+        return pd.DataFrame([model], columns=["size", "radius", "mean", "rotation"])
+
+    return some.select("size", "mark", "id", "vector").groupBy("size").applyInPandas(fit, _MODEL)
+
+
+def _codes(model) -> Codes:
+    mean = np.frombuffer(model["mean"])
+    return Codes(mean, np.frombuffer(model["rotation"]).reshape(len(mean), -1), model["radius"])
 
 
 def search(
@@ -148,45 +196,75 @@ def search(
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of each query's ``k`` nearest rows found.
 
-    Both tables as ``usable`` gives them. A query's own id is no candidate. Equal distances are
-    ordered by id. Without rows or queries there are none.
+    Both tables as ``usable`` gives them. A query's own row is no candidate; candidates have the
+    size of its vector. Equal distances are ordered by id. Without rows or queries there are none.
+    A query row that comes several times has its answer as often.
     """
-    count = rows.count()
-    blocks = max(1, -(-count // block_rows))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
-    codes = learn(np.array([r["vector"] for r in sample]), k) if sample else None
-    shared = rows.sparkSession.sparkContext.broadcast(codes)  # set by the dimensions alone
-    query_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-
-    dealt = rows.select(
-        F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"), "id", "vector",
-    )
-    asked = queries.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
-        F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("part"), "id", "vector",
-    )
+    # One row for each size of vectors. Different sizes sum up to at most all components, so their
+    # number is below the square root of twice that, and the table may go to every executor.
+    sizes = F.broadcast(
+        _sizes(rows, block_rows, "blocks").join(_sizes(queries, BLOCK_QUERIES, "parts"), "size")
+    )
+    rows = rows.withColumn("size", F.size("vector")).join(sizes, "size")
+    # Columns of their own, as queries may be rows of the same table.
+    queries = queries.select(*[F.col(c).alias(c) for c in ("id", "vector", "copies")])
+    queries = queries.withColumn("size", F.size("vector")).join(sizes, "size")
+    folder = shared_folder(rows.sparkSession, "codes")
+    _learned(rows, k).write.parquet(folder)
+    models = rows.sparkSession.read.parquet(folder).join(sizes, "size")
+
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    dealt = rows.withColumn("block", F.pmod(_mark(), F.col("blocks"))).select(
+        "size", "block", every("parts").alias("part"), "id", "vector", "copies"
+    )
+    kinds = {"radius": "int", "mean": "binary", "rotation": "binary"}
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
+    # Rows with a model have numbers, not nulls, so that pandas keeps long numbers whole.
+    number = [F.lit(0).cast("long").alias(n) for n in ("id", "copies", "twin")]
+    asked = (
+        queries.withColumn("part", F.pmod(_mark(), F.col("parts")))
+        .withColumn("twin", _mark("twin"))
+        .select(
+            "size", every("blocks").alias("block"), "part", "id", "vector", "copies", "twin", *nothing
+        )
+        .unionByName(
+            models.withColumn("block", every("blocks")).select(
+                "size", "block", every("parts").alias("part"), *number, "radius", "mean", "rotation"
+            ),
+            allowMissingColumns=True,
+        )
+    )
 
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
+        told = right["radius"].notna()
+        right, model = right[~told], right[told]
         if len(left) and len(right):
-            index = Index(shared.value, left["id"].to_numpy(), np.stack(left["vector"]))
+            left = left.sort_values("id", kind="stable")
+            codes = _codes(model.astype({"radius": int}).iloc[0])
+            index = Index(
+                codes, left["id"].to_numpy(), np.stack(left["vector"]), left["copies"].to_numpy()
+            )
             asked_for = np.stack(right["vector"])
-            for query_id, query, code in zip(
-                right["id"].tolist(), asked_for, shared.value.of(asked_for), strict=True
-            ):
+            for query_id, twin, copies, query, code in zip(
+                right["id"].tolist(), right["twin"].tolist(), right["copies"].tolist(),
+                asked_for, codes.of(asked_for), strict=True,
+            ):
                 ids, apart = index.nearest(query_id, query, code, k)
-                found += [(query_id, i, d) for i, d in zip(ids.tolist(), apart.tolist(), strict=True)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                found += [
+                    (query_id, twin, copies, i, d)
+                    for i, d in zip(ids.tolist(), apart.tolist(), strict=True)
+                ]
+        return pd.DataFrame(found, columns=["query_id", "twin", "copies", "vec_id", "score"])
 
     near = (
-        dealt.groupBy("block", "part")
-        .cogroup(asked.groupBy("block", "part"))
-        .applyInPandas(find, "query_id long, vec_id long, score double")
+        dealt.groupBy("size", "block", "part")
+        .cogroup(asked.groupBy("size", "block", "part"))
+        .applyInPandas(find, "query_id long, twin long, copies long, vec_id long, score double")
     )
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (
-        near.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+    # Queries with one id are told apart by a hash of their vector.
+    order = Window.partitionBy("query_id", "twin").orderBy("score", "vec_id")
+    best = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(
+        "query_id", "rank", "vec_id", "score"
     )

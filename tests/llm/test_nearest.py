@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from layerscan.llm import nearest
+from layerscan.llm import nearest, queries
 
 
 def brute(ids, vectors, query_id, query, k):
@@ -20,7 +20,7 @@ def clustered(count, size=32):
 def test_probing_finds_every_code_within_the_radius():
     vectors = clustered(600)
     codes = nearest.learn(vectors, 10)
-    index = nearest.Index(codes, np.arange(600), vectors)
+    index = nearest.Index(codes, np.arange(600), vectors, np.ones(600, int))
     for n in range(0, 600, 50):
         apart = nearest._BITS_SET[index.bits ^ index.bits[n]].sum(axis=1)
         for radius in (0, 7, 20, codes.radius):
@@ -47,6 +47,13 @@ def test_recall_and_scores(spark):
     assert hits / 600 >= 0.9
 
 
+def all_by_rank(found):
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    return got
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [
@@ -56,9 +63,64 @@ def test_odd_vectors(spark):
     ]
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     rows = nearest.usable(frame.withColumn("vector", F.lit("taken")), "vec_id", "embedding")
-    assert sorted(r["id"] for r in rows.collect()) == [0, 1, 2, 3]
+    assert sorted((r["id"], r["copies"]) for r in rows.collect()) == [
+        (0, 1), (1, 1), (2, 1), (3, 2), (9, 1)
+    ]
     found = nearest.search(rows, rows, block_rows=2).collect()
-    got = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in range(4)}
-    assert got == {0: [1, 2, 3], 1: [0, 2, 3], 2: [0, 1, 3], 3: [0, 1, 2]}
+    twice = [3, 3, 0, 0, 1, 1, 2, 2]  # both rows ask
+    assert all_by_rank(found) == {0: [1, 2, 3, 3], 1: [0, 2, 3, 3], 2: [0, 1, 3, 3], 3: twice}
     none = nearest.usable(frame.filter("false"), "vec_id", "embedding")
     assert nearest.search(none, none).count() == 0
+    assert nearest.search(rows, none).count() == nearest.search(none, rows).count() == 0
+
+
+def test_sizes_and_repeated_ids(spark):
+    # Every size is searched on its own; rows with one id are rows, also of the query's id.
+    wide, narrow = clustered(300), clustered(90, 8)
+    huge = 1 << 60
+    rows = [(huge + n // 2, v) for n, v in enumerate(wide.tolist())]
+    rows += [(huge + n, v) for n, v in enumerate(narrow.tolist())]
+    rows += [(7, wide[0].tolist())] * 40 + [(huge + 400, [1.0, 2.0, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    usable = nearest.usable(frame, "vec_id", "embedding")
+    asked = usable.filter(f"id in ({huge}, {huge + 20}, 7, {huge + 400})")
+    found = nearest.search(usable, asked, block_rows=100)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want, hits = {}, 0
+    for n, (query_id, query) in enumerate(rows):
+        if query_id in (huge, huge + 20, 7):
+            others = [(i, v) for m, (i, v) in enumerate(rows) if m != n and len(v) == len(query)]
+            ids, apart = zip(*sorted(others, key=lambda x: (np.linalg.norm(np.subtract(x[1], query)), x[0]))[:10])
+            far = [np.linalg.norm(np.subtract(v, query)) for v in apart]
+            want.setdefault(query_id, []).extend(zip(range(1, 11), ids, far))
+    assert set(got) == set(want)
+    for query_id, lines in want.items():
+        assert len(got[query_id]) == len(lines)
+        assert sorted(r for r, _, _ in got[query_id]) == sorted(r for r, _, _ in lines)
+        key = lambda x: (x[1], round(x[2], 9))
+        hits += len(set(map(key, got[query_id])) & set(map(key, lines))) / len(set(map(key, lines)))
+    assert hits / len(want) >= 0.9
+    assert {v for _, v, _ in got[7]} == {7} and {d for _, v, d in got[7]} == {0.0}
+
+
+def test_query_on_the_given_table(spark):
+    """Recall and types of the contract."""
+    sf_dir = "/root/testdata/sf0.1"
+    found = queries.op5_nearest(spark, sf_dir)
+    assert dict(found.dtypes) == {
+        "query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"
+    }
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    table = table[table["embedding"].notna()]
+    ids, vectors = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(float)
+    hits, found = 0, found.toPandas()
+    for query_id, mine in found.groupby("query_id"):
+        mine = mine.sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 11))
+        true, apart = brute(ids, vectors, query_id, vectors[ids == query_id][0], 10)
+        hits += len(set(true) & set(mine["vec_id"]))
+        assert (mine["score"].to_numpy() >= apart - 1e-12).all()
+    assert set(found["query_id"]) == {i for i in ids.tolist() if i % 100 == 0}
+    assert hits >= 0.9 * len(found)
