@@ -2,13 +2,13 @@
 
 A document's features are the hashed 4-, 5- and 6-grams of its lower-cased text, each counted
 once. For each feature, the ratio is the log of how much more frequent it is in toxic
-documents than in clean ones. The features whose ratio is furthest from zero, measured in its own
-standard errors, are kept with the ratio as their value, and a ridge logistic regression is
+documents than in clean ones. All features whose ratio is far enough from zero, measured in its
+own standard errors, are kept with the ratio as their value, and a ridge logistic regression is
 fitted on them, both classes weighing the same.
 
-Fitting uses a sample with a fixed bound for each class and a fixed number of features. Its size
-does not grow with the corpus, so one task fits it. Scoring runs in the scan: whole
-texts, in blocks, without a shuffle.
+Fitting uses a sample with a fixed bound for each class, and holds of its documents the features
+in use only. Its size does not grow with the corpus, so one task fits it. Scoring runs in the scan:
+whole texts, in blocks, without a shuffle. An empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,13 +28,15 @@ SIZES = (4, 5, 6)
 BITS = 20
 #: Documents of each class that a classifier is fitted on, at most.
 SAMPLE = 4096
-#: Features in use, at most; the documents that must have one; the standard errors of its ratio.
-FEATURES = 1024
+#: Documents that must have a feature, and standard errors of its ratio from zero: of 2^BITS
+#: features without any meaning some 185 are as far off by chance, but 2,800 are three errors.
 LEAST_DOCUMENTS = 3
-LEAST_ERRORS = 3.0
+LEAST_ERRORS = 3.75
 RIDGE = 1.0
 #: Characters hashed at once.
 BLOCK = 1 << 20
+#: Counts handed on at once.
+SLICE = 1 << 16
 
 HELD_OUT_FOLDS = 5
 
@@ -94,7 +96,12 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """``toxic`` and ``features`` of at most ``per_class`` documents of each class."""
+    """``toxic`` and ``text`` of at most ``per_class`` documents of each class.
+
+    They are drawn from the labels that have a text.
+    """
+    texts = documents.filter(F.col("text").isNotNull()).select("doc_id", "text")
+    labels = labels.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     drawn = [
         labels.filter(F.col("toxic") == value)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -102,38 +109,75 @@ def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> DataFram
         for value in (0, 1)
     ]
     chosen = F.broadcast(drawn[0].union(drawn[1]))  # at most 2 x per_class ids
+    return (
+        texts.join(chosen, "doc_id")
+        .groupBy("doc_id")  # one row of a repeated document
+        .agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+        .select("toxic", "text")
+    )
 
-    @F.pandas_udf("array<int>")
-    def of(texts: pd.Series) -> pd.Series:
+
+def _counts(sample: DataFrame) -> DataFrame:
+    """``feature``, and how many toxic documents (``bad``) and ``documents`` have it: at most
+    2^BITS rows, added up in each task before they are shuffled."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forget()
-        return pd.Series([features(t).astype(np.int32) for t in texts])
+        bad, every = (np.zeros(1 << BITS, np.int64) for _ in range(2))
+        for batch in batches:
+            for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
+                found = features(text)
+                every[found] += 1
+                bad[found] += toxic
+        found = np.flatnonzero(every)
+        for at in range(0, len(found), SLICE):
+            some = found[at : at + SLICE]
+            yield pd.DataFrame({"feature": some, "bad": bad[some], "documents": every[some]})
 
     return (
-        documents.filter(F.col("text").isNotNull())
-        .select("doc_id", "text")
-        .join(chosen, "doc_id")
-        .groupBy("doc_id")  # one row of a repeated document
-        .agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
-        .select("toxic", of("text").alias("features"))
+        sample.mapInPandas(count, "feature long, bad long, documents long")
+        .groupBy("feature")
+        .agg(F.sum("bad").alias("bad"), F.sum("documents").alias("documents"))
     )
 
 
-def _regress(value: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Weights of the columns: ridge logistic regression by Newton's method, with both classes
-    weighing half. Works in the precision of ``value``, with one copy of it at most."""
+def _regress(
+    columns: np.ndarray, lengths: np.ndarray, ratios: np.ndarray, toxic: np.ndarray
+) -> np.ndarray:
+    """Weights of the features and of the intercept: ridge logistic regression by Newton's method,
+    each step solved by conjugate gradients, with both classes weighing half.
+
+    ``columns`` are the features of one document after the other, ``lengths`` their numbers.
+    """
+    rows = np.repeat(np.arange(len(toxic)), lengths)
+
+    def guesses(w: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, (ratios * w[:-1])[columns], len(toxic)) + w[-1]
+
+    def gathered(v: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(columns, v[rows], len(ratios)) * ratios, v.sum())
+
+    def solved(bend: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        change, left, way = np.zeros_like(slope), slope.copy(), slope.copy()
+        now = first = left @ left
+        for _ in range(200):
+            if now <= 1e-10 * first:
+                break
+            curved = gathered(bend * guesses(way)) + RIDGE * way
+            step = now / (way @ curved)
+            change += step * way
+            left -= step * curved
+            now, before = left @ left, now
+            way = left + now / before * way
+        return change
+
     share = toxic.mean()
     importance = np.where(toxic == 1, 0.5 / share, 0.5 / (1 - share))
-    weights = np.zeros(value.shape[1])
-    scaled = np.empty_like(value)
+    weights = np.zeros(len(ratios) + 1)
     for _ in range(30):
-        guess = value @ weights.astype(value.dtype)
-        guess = 1 / (1 + np.exp(-np.clip(guess.astype(float), -30, 30)))
-        slope = (importance * (guess - toxic)).astype(value.dtype) @ value + RIDGE * weights
-        bend = np.sqrt(importance * np.maximum(guess * (1 - guess), 1e-6))
-        np.multiply(value, bend.astype(value.dtype)[:, None], out=scaled)
-        curve = (scaled.T @ scaled).astype(float)
-        curve[np.diag_indices_from(curve)] += RIDGE
-        change = np.linalg.solve(curve, slope)
+        guess = 1 / (1 + np.exp(-np.clip(guesses(weights), -30, 30)))
+        slope = gathered(importance * (guess - toxic)) + RIDGE * weights
+        change = solved(importance * np.maximum(guess * (1 - guess), 1e-6), slope)
         weights -= change
         if np.abs(change).max() < 1e-4:
             break
@@ -157,12 +201,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Mod
     if len(sizes) < 2:
         return nothing
 
-    counts = (
-        sample.select("toxic", F.explode("features").alias("feature"))
-        .groupBy("feature")  # at most 2^BITS rows
-        .agg(F.sum("toxic").alias("bad"), F.count("*").alias("documents"))
-        .filter(F.col("documents") >= LEAST_DOCUMENTS)
-    )
+    counts = _counts(sample).filter(F.col("documents") >= LEAST_DOCUMENTS)
     bad, good = F.col("bad") + 1, F.col("documents") - F.col("bad") + 1
     ratio = F.log(bad / (sizes[1] + 2)) - F.log(good / (sizes[0] + 2))
     errors = F.abs(F.col("ratio")) / F.sqrt(1 / bad + 1 / good)
@@ -170,42 +209,39 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Mod
         counts.withColumn("ratio", ratio)
         .withColumn("errors", errors)
         .filter(F.col("errors") >= LEAST_ERRORS)
-        .orderBy(F.desc("errors"), "feature")
-        .limit(FEATURES)
         .select("feature", "ratio")
-        .toPandas()
+        .orderBy("feature")
+        .toPandas()  # at most 2^BITS rows
     )
     if not len(used):
         return nothing
-    place = {feature: n for n, feature in enumerate(used["feature"].tolist())}
-    ratios = used["ratio"].to_numpy(np.float32)
+    numbers, ratios = used["feature"].to_numpy(), used["ratio"].to_numpy()
+    in_use = np.zeros(1 << BITS, bool)
+    in_use[numbers] = True
+    shared = spark.sparkContext.broadcast(in_use)  # 1 MB, whatever the input
 
     @F.pandas_udf("array<int>")
-    def used_only(found: pd.Series) -> pd.Series:
-        return pd.Series([[place[f] for f in row.tolist() if f in place] for row in found])
-
-    total = sum(sizes.values())
+    def used_only(texts: pd.Series) -> pd.Series:
+        return pd.Series([features(t, shared.value).astype(np.int32) for t in texts], dtype=object)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # The last column is the intercept's.
-        value = np.zeros((total, len(ratios) + 1), np.float32)
-        value[:, -1] = 1
-        toxic: list[int] = []
+        columns, toxic = [], []
         for batch in batches:
-            for label, columns in zip(batch["toxic"], batch["columns"], strict=True):
-                value[len(toxic), columns] = ratios[columns]
-                toxic.append(label)
+            columns += [np.searchsorted(numbers, row).astype(np.int32) for row in batch["columns"]]
+            toxic += batch["toxic"].tolist()
         if toxic:
-            yield pd.DataFrame({"weights": [_regress(value, np.array(toxic, float))]})
+            lengths = np.array([len(row) for row in columns])
+            weights = _regress(np.concatenate(columns), lengths, ratios, np.array(toxic, float))
+            yield pd.DataFrame({"weights": [weights]})
 
     learned = (
-        sample.select("toxic", used_only("features").alias("columns"))
+        sample.select("toxic", used_only("text").alias("columns"))
         .repartition(1)  # at most 2 x per_class rows
         .mapInPandas(learn, "weights array<double>")
         .first()["weights"]
     )
     weights = np.zeros(1 << BITS, np.float32)
-    weights[used["feature"]] = np.array(learned[:-1]) * ratios
+    weights[numbers] = np.array(learned[:-1]) * ratios
     # Both classes weighed the same; the labels hold them in other shares.
     return Model(weights, learned[-1] + float(np.log(toxic_share / (1 - toxic_share))))
 

@@ -1,5 +1,9 @@
 """Toxicity and quality: accuracy on labels that were held out, and odd rows."""
 
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +32,56 @@ def test_toxicity_on_held_out_labels(spark):
     assert above > 0.97
 
 
+def test_toxicity_by_plain_form(spark):
+    """Scores of the query against dense Newton steps over sets of n-grams in plain Python."""
+    rows, toxic = [], {}
+    for n in range(300):
+        toxic[n] = int(n % 3 == 0)
+        words = ["vile muck", "rotten scum", "foul dregs"] if toxic[n] else ["kind folk", "fair play"]
+        rows.append((n, f"{samples.prose(n, 30)} {words[n % len(words)]}"))
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(list(toxic.items()) + [(-5, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(documents, labels)
+    found = {r["doc_id"]: r["score"] for r in toxicity.scores(documents, model).collect()}
+
+    sets = {n: set(toxicity.features(text).tolist()) for n, text in rows}
+    learned = [n for n in toxic if zlib.crc32(str(n).encode()) % 5]
+    bad, every = Counter(), Counter()
+    for n in learned:
+        every.update(sets[n])
+        bad.update(sets[n] if toxic[n] else ())
+    n_bad = sum(toxic[n] for n in learned)
+    ratio = {}
+    for f, many in every.items():
+        b, g = bad[f] + 1, many - bad[f] + 1
+        r = math.log(b / (n_bad + 2)) - math.log(g / (len(learned) - n_bad + 2))
+        if many >= toxicity.LEAST_DOCUMENTS and abs(r) / math.sqrt(1 / b + 1 / g) >= toxicity.LEAST_ERRORS:
+            ratio[f] = r
+    assert ratio
+    value = lambda n: [ratio[f] * (f in sets[n]) for f in ratio] + [1.0]
+    x, y = np.array([value(n) for n in learned]), np.array([toxic[n] for n in learned])
+    share, weights = y.mean(), np.zeros(len(ratio) + 1)
+    importance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+    for _ in range(40):
+        guess = 1 / (1 + np.exp(-x @ weights))
+        curve = (x.T * (importance * guess * (1 - guess))) @ x + toxicity.RIDGE * np.eye(len(weights))
+        weights -= np.linalg.solve(curve, x.T @ (importance * (guess - y)) + toxicity.RIDGE * weights)
+    # The prior is that of all labels to learn from, also of those without a text.
+    all_bad, all_labels = n_bad + (zlib.crc32(b"-5") % 5 != 0), len(learned) + (zlib.crc32(b"-5") % 5 != 0)
+    prior = (all_bad + 0.5) / (all_labels + 1)
+    for n in toxic:
+        z = np.array(value(n)) @ weights + math.log(prior / (1 - prior))
+        assert abs(found[n] - 1 / (1 + math.exp(-z))) < 1e-3
+
+
+def test_labels_without_a_text_take_no_place_in_the_sample(spark):
+    documents, labels = toy(spark)
+    more = spark.range(1000, 1400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int"))
+    known = toxicity.training_labels(labels.union(more))
+    sample = toxicity._sample(documents, known, 10).collect()
+    assert sorted(r["toxic"] for r in sample) == [0] * 10 + [1] * 10
+
+
 def test_held_out_labels_are_not_learned(spark):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     flipped = labels.withColumn(
