@@ -22,7 +22,7 @@ import struct
 from collections import Counter
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ from layerscan.functions.paths import extension, stem
 from layerscan.session import shared_folder
 from layerscan.sources.discovery import list_tree, shown_files
 from layerscan.sources.files import list_sizes, open_file, plain_path
-from layerscan.sources.shares import BYTES_PER_SHARE, Plan, Share, planned, share_rows, write_plan
+from layerscan.sources.shares import BYTES_PER_SHARE, Plan, Share, planned, share_rows, task_shares, write_plan
 from layerscan.sources.wkb import polygon_wkb, polyline_wkb, multipoint_wkb, point_wkb
 
 ROWS_PER_PARTITION = 200_000
@@ -480,7 +480,7 @@ class ShapefileReader(DataSourceReader):
         if not isinstance(partition, Share):
             return partition.pieces
         found = []
-        for row in share_rows(self.plan, partition.number):
+        for row in share_rows(self.plan, partition.first, partition.last):
             zone, places = row.pop("zone", None), {c: row[c] for c in ("layer", "shp", "shx", "dbf", "cpg")}
             low = max(row["low"] or 0, self.low)
             high = row["high"] or 0 if self.high is None else min(row["high"] or 0, self.high)
@@ -494,7 +494,7 @@ class ShapefileReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         """The shares of the plan; without one, cut large files into record ranges and put small ones together."""
         if self.plan:
-            return [Share(n) for n in range(max(1, self.plan.shares))]
+            return task_shares(self.plan)
         groups, group, filled = [], [], 0
         for f in find_shapefiles(self.path, self.layer):
             end = f["records"] if self.high is None else min(f["records"], self.high)
@@ -763,7 +763,7 @@ def with_zones(spark: SparkSession, found: ShapefilePlan) -> ShapefilePlan:
     spread = rows.repartition(max(1, found.plan.shares), "share")
     zoned = spread.mapInArrow(_in_tasks(_zone, ddl), ddl)
     zoned.repartition("group").write.partitionBy("group").parquet(folder)
-    return ShapefilePlan(Plan(folder, found.plan.shares), found.schema)
+    return ShapefilePlan(replace(found.plan, folder=folder), found.schema)
 
 
 def read_shapefiles(spark: SparkSession, found: ShapefilePlan, columns: list[str] | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ from layerscan.functions.raster import cell_size, raster_extent
 from layerscan.operators.profile import merge_band_parts
 from layerscan.sources.discovery import list_tree, shown_files
 from layerscan.sources.files import list_sizes, open_file, path_exists
-from layerscan.sources.shares import BYTES_PER_SHARE, Plan, Share, cut_points, planned, share_rows, write_plan
+from layerscan.sources.shares import BYTES_PER_SHARE, Plan, Share, cut_points, planned, share_rows, task_shares, write_plan
 
 BYTES_PER_PARTITION = BYTES_PER_SHARE
 PIXELS_PER_BATCH = 1 << 18
@@ -413,7 +413,7 @@ class RasterReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         """The shares of the plan; without one, share out large files and put small ones together, by size."""
         if self.plan:
-            return [Share(n) for n in range(max(1, self.plan.shares))]
+            return task_shares(self.plan)
         endings = tuple(f".{e}" for e in RASTER_EXTENSIONS)
         files = {p: s for p, s in list_sizes(self.path).items() if p.lower().endswith(endings)}
         groups, group, filled = [], [], 0
@@ -434,7 +434,7 @@ class RasterReader(DataSourceReader):
     def _ranges(self, partition: InputPartition) -> Iterator[tuple]:
         """Path, problem, bytes of a segment, and the first and last segment as functions of their number."""
         if isinstance(partition, Share):
-            for piece in share_rows(self.plan, partition.number):
+            for piece in share_rows(self.plan, partition.first, partition.last):
                 bounds = lambda _, p=piece: (p["first"], p["last"])
                 yield piece["path"], piece["problem"], piece["segment_bytes"], bounds
         else:

@@ -64,6 +64,21 @@ def test_every_piece_is_in_one_share_of_like_bytes(spark):
     assert shares.share_rows(plan, plan.shares) == []
 
 
+def test_tasks_read_runs_of_small_shares(spark):
+    pieces = spark.range(0, 3000, 1, 7).select("id", F.when(F.col("id") == 2000, 90 << 20).otherwise(1000).alias("bytes"))
+    plan = shares.write_plan(pieces, 1000)
+    assert plan.shares == 3000
+    tasks = shares.task_shares(plan)
+    cost, cores = 3000 * (1000 + shares.OPENING) + (90 << 20), spark.sparkContext.defaultParallelism
+    assert len(tasks) <= cost // shares.BYTES_PER_TASK + shares.TASKS_PER_CORE * cores + 7
+    rows = [shares.share_rows(plan, t.first, t.last) for t in tasks]
+    assert sorted(r["id"] for task in rows for r in task) == list(range(3000))
+    costs = [sum(r["bytes"] + shares.OPENING for r in task if r["id"] != 2000) for task in rows]
+    assert all(rows) and max(costs) <= shares.BYTES_PER_TASK + shares.OPENING + 1000
+    wide = shares.write_plan(pieces)
+    assert [(t.first, t.last) for t in shares.task_shares(wide)] == [(n, n + 1) for n in range(wide.shares)]
+
+
 def test_no_pieces(spark):
     plan = shares.write_plan(spark.range(0).select("id", F.lit(1).alias("bytes")))
     assert plan.shares == 0 and shares.share_rows(plan, 0) == []
@@ -100,6 +115,23 @@ def test_one_strip_gives_several_shares(spark, tmp_path, kind):
         assert cut[band].stddev == pytest.approx(whole[band].stddev)
 
 
+def test_small_shares_of_a_raster_need_few_tasks(spark, tmp_path):
+    image = grid(3000, 10, 2, "<i2")
+    (tmp_path / "one.tif").write_bytes(tiff_bytes(image, 3000, "-9"))
+    plan = tiff.raster_plan(spark, str(tmp_path), bytes_per_share=400, segment_bytes=200)
+    assert plan.shares == 300
+    pixels = tiff.raster_pixels(spark, str(tmp_path), plan)
+    most = 4 * spark.sparkContext.defaultParallelism + 1
+    assert pixels.rdd.getNumPartitions() <= most
+    assert {(r.band, r.row, r.col): r.value for r in pixels.collect()} == expected_pixels(image)
+    assert pixels.count() == image.size
+    whole, cut = (
+        {r.band: r for r in tiff.raster_band_stats(spark, str(tmp_path), ["band"], p).collect()} for p in (None, plan)
+    )
+    for band in (1, 2):
+        assert cut[band][1:4] == whole[band][1:4] and cut[band].stddev == pytest.approx(whole[band].stddev)
+
+
 def test_a_block_is_inflated_in_parts():
     data = np.arange(1 << 18, dtype="<i4").tobytes()
     packed = zlib.compress(data)
@@ -200,6 +232,18 @@ def test_box_filters_leave_out_ranges(spark, tmp_path):
     assert counts[1] <= 3 < counts[0]
 
 
+def test_small_shares_of_shapefiles_need_few_tasks(spark, tmp_path):
+    contents = [point_bytes(float(n), -float(n)) for n in range(1000)]
+    save(tmp_path, "p", 1, contents, (0, -999, 999, 0), [("id", "N", 9, 0)], [[str(n)] for n in range(1000)])
+    plain = shapefile.shapefile_plan(spark, str(tmp_path), bytes_per_share=1, bytes_per_range=400)
+    most = 4 * spark.sparkContext.defaultParallelism + 1
+    for found in (plain, shapefile.with_zones(spark, plain)):
+        df = shapefile.read_shapefiles(spark, found, ["fid", "xmin"])
+        assert found.plan.shares > 2 * most and df.rdd.getNumPartitions() <= most
+        assert sorted(r.fid for r in df.collect()) == list(range(1000))
+        assert sorted(r.fid for r in df.where("xmin >= 990").collect()) == list(range(990, 1000))
+
+
 def test_sidecars_of_any_spelling(spark, tmp_path):
     save(tmp_path, "up", 1, [point_bytes(1.0, 2.0)], (1, 2, 1, 2), [("id", "N", 9, 0)], [["5"]], upper=True)
     save(tmp_path, "Low", 1, [point_bytes(3.0, 4.0)], (3, 4, 3, 4), [("ID", "N", 12, 3)], [["6.5"]])
