@@ -9,7 +9,8 @@ hosts differ beyond chance, the less they are shrunk; sparse ones are shrunk mos
 document's own part is taken out of the record it is judged with.
 
 All steps are columns and grouped sums. What reaches the driver is one row for each bin and one
-for each level, whatever the size of the corpus.
+for each level, whatever the size of the corpus, and the records of hosts and paths if they are few
+by count, to be sent to every executor. Bins and labels are always shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerscan.llm.quality_rules import SPACE, let, words
+from layerscan.llm.quality_rules import FEW_ROWS, SPACE, let, words
 from layerscan.llm.toxicity import held_out
 from layerscan.session import shared_folder
 
@@ -29,6 +30,8 @@ KINDS = ("0123456789", "#*$%&<>", "|", "!?", ".,;:", "/@_=+~^")
 MEASURES = 6 + len(KINDS)
 #: Rows of records that a host's or path's prior counts for, at least and at most.
 STRENGTH = (2.0, 10_000.0)
+#: Bytes of names in the records that are sent to every executor, at most.
+FEW_BYTES = 8 << 20
 
 
 def with_bins(rows: DataFrame) -> DataFrame:
@@ -62,16 +65,19 @@ def _logit(p: Column) -> Column:
 
 
 def _training(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``bins`` and ``good`` of the labelled rows that may be learned from, one for each id."""
+    """``bins`` and ``good`` of the labelled rows that may be learned from, one for each id.
+
+    Both sides take a few bytes a row in files and a hundred in memory. By the size of its file
+    Spark would collect a table of millions of rows to send it to all, so both are shuffled.
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     known = (
         known.filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min((F.col("quality") > 0).cast("int")).alias("good"))
     )
-    return rows.join(known, "doc_id").groupBy("doc_id").agg(
-        F.min("bins").alias("bins"), F.first("good").alias("good")
-    )
+    own = rows.groupBy("doc_id").agg(F.min("bins").alias("bins"))
+    return own.join(known.hint("merge"), "doc_id")
 
 
 def _evidence(rows: DataFrame, labels: DataFrame) -> tuple[list[list[float]], float]:
@@ -108,6 +114,18 @@ def _strength(groups: DataFrame, prior: Column) -> float:
     return min(STRENGTH[1], max(STRENGTH[0], 1 / share - 1 if share else STRENGTH[1]))
 
 
+def _meet(rows: DataFrame, records: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join with a written table of records, one for each ``on``.
+
+    Its rows and their names' bytes are counted: few are sent to every executor as they are, more
+    are shuffled. Files tell neither, as they are compressed.
+    """
+    names = F.sum(sum((F.octet_length(n) for n in on), F.lit(0)).cast("long"))
+    size = records.agg(F.count("*").alias("rows"), names.alias("bytes")).first()
+    few = size["rows"] <= FEW_ROWS and (size["bytes"] or 0) <= FEW_BYTES
+    return rows.join(records.hint("broadcast" if few else "merge"), on)
+
+
 def scores(
     documents: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang"
 ) -> DataFrame:
@@ -136,15 +154,16 @@ def scores(
     paths.write.parquet(f"{folder}/paths")
     paths = spark.read.parquet(f"{folder}/paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    hosts.write.parquet(f"{folder}/hosts")
+    hosts = spark.read.parquet(f"{folder}/hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = (total["s"] + 0.5) / (total["n"] + 1) if total["n"] else 0.5
     m_host = _strength(hosts, F.lit(mean))
-    shrunk = (F.col("s") + m_host * mean) / (F.col("n") + m_host)
-    hosts = hosts.select(
-        "host", F.col("n").alias("host_n"), F.col("s").alias("host_s"), shrunk.alias("prior")
-    )
-    m_path = _strength(paths.join(hosts, "host"), F.col("prior"))
-    paths.join(hosts.drop("prior"), "host").write.parquet(f"{folder}/records")
+    hosts = hosts.withColumnsRenamed({"n": "host_n", "s": "host_s"})
+    shrunk = (F.col("host_s") + m_host * mean) / (F.col("host_n") + m_host)
+    paths = _meet(paths, hosts, ["host"])
+    m_path = _strength(paths, shrunk)
+    paths.write.parquet(f"{folder}/records")
     records = spark.read.parquet(f"{folder}/records")
 
     # The record without the document itself.
@@ -155,7 +174,7 @@ def scores(
     )
     score = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_posterior")))))
     return (
-        judged.join(records, ["host", "path"])
+        _meet(judged, records, ["host", "path"])
         .withColumn("host_posterior", host_posterior)
         .withColumn("path_posterior", path_posterior)
         .withColumn("score", score)

@@ -154,3 +154,39 @@ def test_quality_of_odd_rows(spark):
     assert quality_model.scores(samples.no_documents(spark), labels).count() == 0
     alone = quality_model.scores(samples.odd_documents(spark), labels.filter("false")).collect()
     assert {r["evidence"] for r in alone} == {0.0}
+
+
+def test_bins_and_labels_are_never_collected_by_their_files_size(spark, tmp_path):
+    """Tables whose files are far below the limit for sending a table to every executor."""
+    ids = spark.range(1, 2001).withColumnRenamed("id", "doc_id")
+    bins = F.array(*[F.lit(n) for n in range(quality_model.MEASURES - 1)], (F.col("doc_id") % 7).cast("int"))
+    rows = ids.withColumn("bins", bins)
+    again = rows.filter("doc_id <= 9").withColumn("bins", F.transform("bins", lambda x: x + 1))
+    none = spark.createDataFrame([(None, [0] * quality_model.MEASURES)], "doc_id long, bins array<int>")
+    rows.union(again).union(none).write.parquet(f"{tmp_path}/rows")
+    labels = ids.filter("doc_id % 3 = 0").withColumn("quality", (F.col("doc_id") % 2).cast("int"))
+    odd = spark.createDataFrame([(6, 1), (9, 0), (9, None), (None, 1), (5000, 1)], "a long, b int")
+    labels.union(odd).write.parquet(f"{tmp_path}/labels")
+
+    found = quality_model._training(*(spark.read.parquet(f"{tmp_path}/{n}") for n in ("rows", "labels")))
+    got = {r["doc_id"]: (r["bins"][-1], r["good"]) for r in found.collect()}
+    good = {n: n % 2 for n in range(3, 2001, 3)} | {9: 0}
+    assert got == {n: (n % 7, g) for n, g in good.items() if zlib.crc32(str(n).encode()) % 5}
+    assert found.count() == len(got)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", ["FEW_ROWS", "FEW_BYTES"])
+def test_records_are_sent_to_all_only_if_few(spark, monkeypatch, limit):
+    rows = [(n, samples.prose(n, 30), f"h{n % 50}", f"p{n % 3}") for n in range(400)]
+    rows += [(1000, "", None, "p1"), (1001, "one", "h1", None), (1001, "one", "h1", None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    plan = lambda found: found._jdf.queryExecution().executedPlan().toString()
+    few = quality_model.scores(documents, labels)
+    assert "BroadcastHashJoin" in plan(few)
+    monkeypatch.setattr(quality_model, limit, 0)
+    many = quality_model.scores(documents, labels)
+    assert "Broadcast" not in plan(many)
+    one, other = (sorted(map(tuple, x.collect())) for x in (few, many))
+    assert len(one) == len(rows) and all(a == pytest.approx(b) for a, b in zip(one, other, strict=True))
